@@ -13,10 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_ascii, read
+from .common import any_of, fold_ascii, read
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Phrases whose places are counted, with their labels.
 PHRASES = [
@@ -53,27 +52,33 @@ AGREEING = 2
 _VOCABULARY = sorted({w for phrase, _ in PHRASES for w in phrase.split()} | {w for _, words, _ in TEMPLATES for w in words.split()})
 
 
-def with_words(df: DataFrame, text: str, words: str = "_words", placed: str = "_placed") -> DataFrame:
-    """Add the number of words and the licence words with their places."""
-    pattern = "(?i)(?:" + "|".join(_VOCABULARY) + ")"
-    all_words = F.col(f"{placed}_all")
-    numbered = F.transform(all_words, lambda w, i: F.struct(i.alias("at"), w.alias("w")))
+def with_words(df: DataFrame, text: str) -> DataFrame:
+    """Add _words (their number), _placed (the licence words with their places) and _kinds (the distinct licence words)."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # lower() is faster than folding A-Z alone, and differs for these two letters only as far as these words go.
+    folded = F.when(F.contains(whole, F.lit("\u212a")) | F.contains(whole, F.lit("\u0130")), fold_ascii(whole)).otherwise(F.lower(whole))
+    numbered = F.transform("_all", lambda w, i: F.struct(i.alias("at"), w.alias("w")))
     return (
-        df.withColumn(f"{placed}_all", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({WORD_ANY_CASE})"), F.lit(1)))
-        .withColumn(words, F.size(all_words).cast("long"))
-        .withColumn(placed, F.filter(numbered, lambda x: F.length(x["w"]).between(1, 14) & x["w"].rlike(f"^{pattern}$")))
-        .drop(f"{placed}_all")
-        .withColumn(placed, F.transform(F.col(placed), lambda x: F.struct(x["at"].alias("at"), fold_ascii(x["w"]).alias("w"))))
+        df.withColumn("_all", F.regexp_extract_all(folded, F.lit(f"({WORD})"), F.lit(1)))
+        .withColumn("_words", F.size("_all").cast("long"))
+        .withColumn("_placed", F.filter(numbered, lambda x: x["w"].isin(_VOCABULARY)))
+        .drop("_all")
+        .withColumn("_kinds", F.array_distinct(F.transform("_placed", lambda x: x["w"])))
     )
 
 
+def _has_all(words: list[str]) -> Column:
+    """Does the row have all these licence words?"""
+    return F.size(F.array_except(F.array(*map(F.lit, dict.fromkeys(words))), F.col("_kinds"))) == 0
+
+
 def phrase_places(placed: Column, phrase: str) -> Column:
     """Places where the words of the phrase stand one after another."""
     first, *rest = phrase.split()
     starts = F.transform(F.filter(placed, lambda x: x["w"] == first), lambda x: x["at"])
     for step, word in enumerate(rest, 1):
         starts = F.array_intersect(starts, _places_before(placed, word, step))
-    return starts
+    return F.when(_has_all(phrase.split()), starts).otherwise(F.array().cast("array<int>"))
 
 
 def _places_before(placed: Column, word: str, step: int) -> Column:
@@ -82,7 +87,7 @@ def _places_before(placed: Column, word: str, step: int) -> Column:
 
 def document_frequencies(df: DataFrame, text: str = "text") -> dict[str, float]:
     """Inverse document frequency of every licence word over all rows of df. The result has one entry a word of the templates."""
-    counted = with_words(df.select(text), text).select(F.explode(F.array_distinct(F.transform("_placed", lambda x: x["w"]))).alias("_w"))
+    counted = with_words(df.select(text), text).select(F.explode("_kinds").alias("_w"))
     total = df.count()
     found = {r[0]: r[1] for r in counted.groupBy("_w").count().collect()}
     return {w: math.log((1 + total) / (1 + found.get(w, 0))) for w in _VOCABULARY}
@@ -112,13 +117,14 @@ def scan_licenses(df: DataFrame, idf: dict[str, float], text: str = "text") -> D
     index = F.from_json(F.lit(_postings()), "map<string,array<struct<t:int,i:int>>>")
 
     # The file's rarest licence words; ties in weight go by word.
-    own = F.array_distinct(F.transform(placed, lambda x: F.struct((-F.coalesce(F.element_at(weights, x["w"]), F.lit(0.0))).alias("m"), x["w"].alias("w"))))
+    own = F.transform("_kinds", lambda w: F.struct((-F.coalesce(F.element_at(weights, w), F.lit(0.0))).alias("m"), w.alias("w")))
     df = df.withColumn("_rare", F.transform(F.slice(F.array_sort(own), 1, LOOKED_UP), lambda x: x["w"]))
     looked_up = F.filter(placed, lambda x: F.array_contains(F.col("_rare"), x["w"]))
     votes = F.flatten(F.transform(looked_up, lambda x: F.transform(
         F.coalesce(F.element_at(index, x["w"]), F.array().cast("array<struct<t:int,i:int>>")),
         lambda p: F.struct(p["t"].alias("t"), (x["at"] - p["i"]).alias("start"), x["w"].alias("w")))))
-    df = df.withColumn("_votes", F.array_distinct(votes))
+    possible = any_of([_has_all(" ".join(keys).split()) for _, _, keys in TEMPLATES])
+    df = df.withColumn("_votes", F.when(possible, F.array_distinct(votes)).otherwise(F.array().cast("array<struct<t:int,start:int,w:string>>")))
 
     # A template's words at a place are verified against all licence words of the file.
     def judged(t: int) -> Column:
@@ -140,8 +146,9 @@ def scan_licenses(df: DataFrame, idf: dict[str, float], text: str = "text") -> D
                     ok = ok & at(s, first + i, w)
             return ok
 
-        return F.transform(F.filter(starts, holds), lambda s: F.struct(
+        hits = F.transform(F.filter(starts, holds), lambda s: F.struct(
             F.lit(TEMPLATES[t][0]).alias("label"), s.cast("int").alias("word"), share(s).alias("share")))
+        return F.when(_has_all(" ".join(keys).split()), hits).otherwise(none)
 
     none = F.array().cast("array<struct<label:string,word:int,share:double>>")
     found = F.concat(*[judged(t) for t in range(len(TEMPLATES))])
@@ -157,7 +164,7 @@ def scan_licenses(df: DataFrame, idf: dict[str, float], text: str = "text") -> D
         "labels": F.array_join(F.array_sort(F.array_union(base, F.transform("found", lambda x: x["label"]))), ","),
     })
     df = df.withColumn("score", F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0))))
-    return df.drop("_words", "_placed", "_base", "_rare", "_votes")
+    return df.drop("_words", "_placed", "_kinds", "_base", "_rare", "_votes")
 
 
 def _find(words: list[str], key: list[str]) -> int:

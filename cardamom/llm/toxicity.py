@@ -50,12 +50,31 @@ class FactorizationMachine:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 12, rate: float = 0.1,
-                l2: float = 2e-4, min_rows: int = 4, seed: int = 7) -> FactorizationMachine:
-    """AdaGrad on the logistic loss, in small batches of rows; without rows or with one label only, a constant score."""
+def _log_likelihood_ratio(rows: list[np.ndarray], labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """G of each term's two-by-two table of presence and label."""
+    def times_log(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1e-300))
+
+    if not rows:
+        return np.zeros(n_terms)
+    n, ones = float(len(rows)), float(labels.sum())
+    terms = np.concatenate(rows)
+    df = np.bincount(terms, minlength=n_terms).astype(float)
+    hits = np.bincount(terms, np.repeat(labels, [len(r) for r in rows]), minlength=n_terms)
+    cells = (hits, df - hits, ones - hits, n - ones - df + hits)
+    margins = (df, n - df, np.array([ones]), np.array([n - ones]))
+    return 2 * (sum(map(times_log, cells)) - sum(map(times_log, margins)) + n * np.log(n))
+
+
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 30, rate: float = 0.1,
+                l2: float = 1e-4, significance: float = 20.0, seed: int = 7) -> FactorizationMachine:
+    """AdaGrad on the logistic loss, in small batches of rows; without rows or with one label only, a constant score.
+
+    Only terms whose presence and the label have a log-likelihood ratio of ``significance`` or more get weights: few
+    labelled rows have very many terms, which would fit the labels of single texts.
+    """
     n_terms = 1 << HASH_BITS
-    df = np.bincount(np.concatenate(rows), minlength=n_terms) if rows else np.zeros(n_terms, int)
-    seen = np.flatnonzero(df >= min_rows)
+    seen = np.flatnonzero(_log_likelihood_ratio(rows, labels, n_terms) >= significance)
     slot = np.zeros(n_terms, np.int32)
     slot[seen] = np.arange(1, len(seen) + 1)
     rng = np.random.default_rng(seed)
@@ -117,7 +136,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAININ
         return texts.map(hashed_terms)
 
     found = sample.select("_id", "_toxic", terms("_text").alias("_terms")).orderBy(F.xxhash64("_id"), "_id").limit(2 * max_rows).collect()
-    return fit_machine([np.array(r[2], np.int64) for r in found], np.array([r[1] for r in found], float))
+    # Copies would count as evidence again and again.
+    distinct = {(tuple(r[2]), r[1]): None for r in found}
+    return fit_machine([np.array(t, np.int64) for t, _ in distinct], np.array([y for _, y in distinct], float))
 
 
 def score_toxicity(df: DataFrame, model: FactorizationMachine, text: str = "text", into: str = "score") -> DataFrame:
