@@ -1,5 +1,10 @@
 """All queries of the library by name, and the DuckDB SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from . import content_queries, document_queries, release_queries, study_queries
+
 FLAGSHIP = "C01_stats_overview"
-QUERIES: dict = {}
-ORACLES: dict = {}
+_PARTS = (study_queries, content_queries, release_queries, document_queries)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
