@@ -59,7 +59,7 @@ def _next_stability(s: Column, rating: int, days: Column) -> Column:
     """Stability after a rating: short-term within a UTC day, else recall or forgetting."""
     stability, difficulty = s["stability"], s["difficulty"]
     grown = F.exp(F.lit(W[17] * (rating - 3 + W[18]))) * F.pow(stability, F.lit(-W[19]))
-    short = stability * (F.greatest(grown, F.lit(1.0)) if rating >= 3 else grown)
+    short = stability * (F.greatest(grown, F.lit(1.0)) if rating >= 2 else grown)
     r = recall(days, stability)
     if rating == 1:
         long = F.least(

@@ -66,7 +66,7 @@ _GAIN = f"exp({_w[8]}) * (11 - p.difficulty) * pow(p.stability, -{_w[9]}) * (exp
 
 
 def _s(g: int) -> str:
-    short = _SHORT.format(g=g) if g < 3 else f"greatest({_SHORT.format(g=g)}, p.stability)"
+    short = _SHORT.format(g=g) if g < 2 else f"greatest({_SHORT.format(g=g)}, p.stability)"
     if g == 1:
         long = f"least({_w[11]} * pow(p.difficulty, -{_w[12]}) * (pow(p.stability + 1, {_w[13]}) - 1) * exp((1 - {_R}) * {_w[14]}), p.stability / exp({_w[17]} * {_w[18]}))"
     else:
