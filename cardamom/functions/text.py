@@ -89,7 +89,7 @@ def similarity_ratio(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(left, right)], dtype="float64")
+        return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(left, right)], dtype="float64")
 
     return ratio(a, b)
 
