@@ -20,17 +20,18 @@ from itertools import repeat
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fresh, read
 
 #: Words in one recursive query; words longer than MAX_WORD_BYTES are merged with a heap instead (same rule, same ids).
-WORDS_A_QUERY, MAX_WORD_BYTES = 40_000, 200
-#: Encoded words that a worker remembers, and characters and tokens that it takes at a time.
-MAX_REMEMBERED, CHARS_AT_ONCE, TOKENS_AT_ONCE = 1_200_000, 3_000_000, 2_000_000
+WORDS_A_QUERY, MAX_WORD_BYTES = 20_000, 200
+#: Words and chunks that a worker remembers (twice as many words at times), and characters and tokens that it takes at a time.
+MAX_WORDS, MAX_CHUNKS, CHARS_AT_ONCE, TOKENS_AT_ONCE = 150_000, 250_000, 500_000, 250_000
 
 # A row's place is word * 1024 + position, kept gapless, so a word's next token is at place + 1.
 _ENCODE = """
@@ -53,10 +54,11 @@ WITH RECURSIVE step(place, token, done) AS (
 SELECT place >> 10 AS word, token FROM step WHERE done ORDER BY place
 """
 
-# Token bytes are text of one character a byte.
+# Token bytes are text of one character a byte. The session has one thread, so the aggregate takes its rows in their order.
 _DECODE = """
-SELECT r.row, array_to_string(list(v.bytes ORDER BY r.pos), '') AS bytes
-FROM tokens r JOIN vocabulary v ON v.token = r.token GROUP BY r.row
+SELECT row, string_agg(bytes, '') AS bytes
+FROM (SELECT r.row, v.bytes FROM tokens r JOIN vocabulary v ON v.token = r.token ORDER BY r.pos)
+GROUP BY row
 """
 
 # Between two other characters, a single space starts the next match of the usual patterns and a single line end is one.
@@ -76,7 +78,7 @@ class ByteBpe:
             for t, rank in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks
         ]
         a, b, rank = (pa.array(x, pa.int32()) for x in zip(*merges))
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
         table = pa.table({"a": a, "b": b, "rank": rank.cast(pa.int64())})
         self.db.register("_merges", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM _merges")
@@ -84,11 +86,14 @@ class ByteBpe:
         self.db.register("_words", words)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM _words")
         self.byte_token = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.words: dict[str, bytes] = {}  # word -> its ids as 4-byte numbers
+        self.old_words: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
+        """Forget the chunks; their words are still remembered."""
         self.place: dict[str, int] = {}
-        self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, np.int32)
+        self.starts, self.flat = np.zeros(MAX_CHUNKS + 1, np.int64), np.empty(4 * MAX_CHUNKS, np.int32)
 
     def merge_long(self, word: bytes) -> list[int]:
         """Leftmost minimum-rank merging of one very long word, with a heap of its pairs."""
@@ -123,34 +128,52 @@ class ByteBpe:
         self.db.unregister("start")
         return np.bincount(np.asarray(out["word"]), minlength=len(words)), np.asarray(out["token"])
 
-    def merge_words(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Token ids of distinct words (matches of the pattern). Words that are a token are that token."""
-        out, short = {}, []
+    def merge_words(self, words: list[str]) -> None:
+        """Remember the token ids of distinct words (matches of the pattern). Words that are a token are that token."""
+        short = []
         for w in words:
             b = w.encode()
             if b in self.ranks:
-                out[w] = np.array([self.ranks[b]])
+                self.words[w] = self.ranks[b].to_bytes(4, "little")
             elif len(b) > MAX_WORD_BYTES:
-                out[w] = np.array(self.merge_long(b))
+                self.words[w] = np.array(self.merge_long(b), "<i4").tobytes()
             else:
                 short.append(w)
         for at in range(0, len(short), WORDS_A_QUERY):
             part = short[at : at + WORDS_A_QUERY]
             sizes, ids = self._contract([w.encode() for w in part])
-            out.update(zip(part, np.split(ids, np.cumsum(sizes)[:-1])))
-        return out
+            flat, ends = ids.astype("<i4").tobytes(), np.cumsum(sizes * 4).tolist()
+            self.words.update((w, flat[i:j]) for w, i, j in zip(part, [0, *ends], ends))
+
+    def matches(self, chunk: str) -> list[str]:
+        """The pattern's matches in a chunk."""
+        if chunk.isalpha():
+            return [" " + chunk]
+        if chunk[:2] == "\n\n":
+            return self.findall(chunk[2:])
+        if chunk[:-1].isalpha() and chunk[-1] in ".,":
+            return [" " + chunk[:-1], chunk[-1]]
+        return self.findall(chunk if chunk[:1] == "\n" else " " + chunk)
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks of text and remember their ids."""
-        texts = [c[2:] if c[:2] == "\n\n" else c if c[:1] == "\n" else " " + c for c in chunks]
-        found = [self.findall(t) for t in texts]
-        ids = self.merge_words(sorted({w for f in found for w in f}))
-        parts = [ids[w] for f in found for w in f]
-        sizes = np.array([sum(len(ids[w]) for w in f) for f in found])
-        first = len(self.place)
-        self.place.update(zip(chunks, range(first, first + len(chunks))))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, *parts]).astype(np.int32)
+        found = list(map(self.matches, chunks)) if self.splits else [self.findall(c[2:]) for c in chunks]
+        if len(self.words) > MAX_WORDS:
+            self.old_words, self.words = self.words, {}
+        new = {w for f in found for w in f}.difference(self.words)
+        self.words.update((w, self.old_words[w]) for w in new.intersection(self.old_words))
+        self.merge_words(sorted(new.difference(self.old_words)))
+        get = self.words.__getitem__
+        codes = [b"".join(map(get, f)) for f in found]
+        ids = np.frombuffer(b"".join(codes), "<i4")
+        n, first = len(self.place), self.starts[len(self.place)]
+        self.place.update(zip(chunks, range(n, n + len(chunks))))
+        if n + len(chunks) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(n + len(chunks), np.int64)])
+        if first + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:first], np.empty(first + 2 * len(ids), np.int32)])
+        self.starts[n + 1 : n + 1 + len(chunks)] = first + np.cumsum([len(c) // 4 for c in codes], dtype=np.int64)
+        self.flat[first : first + len(ids)] = ids
 
     def chunks(self, text: str) -> list[str]:
         """The text in chunks that the pattern matches apart from each other, as it does within the text.
@@ -181,7 +204,7 @@ class ByteBpe:
         """(number of tokens by text, all tokens)."""
         found = [self.chunks(t) if t else [] for t in texts]
         chunks = [c for f in found for c in f]
-        if len(self.place) > MAX_REMEMBERED:
+        if len(self.place) > MAX_CHUNKS:
             self.forget()
         at = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(at < 0)
@@ -224,27 +247,37 @@ def _parts(sizes: list[int], at_once: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", into: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add the token ids of each whole text as column ``into`` (array<int>, replaced if df has it).
 
-    Null and empty texts have no tokens. Strings that look like special tokens are ordinary text. Repeated rows are
-    encoded alike; an empty table stays empty; other columns are untouched.
+    With ``decoded``, also add the bytes that decoding those ids gives, in the same pass. Null and empty texts have
+    no tokens. Strings that look like special tokens are ordinary text. Repeated rows are encoded alike; an empty
+    table stays empty; other columns are untouched.
     """
+    kind = "struct<ids:array<int>,bytes:binary>" if decoded else "struct<ids:array<int>>"
 
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf(kind)
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = worker_bpe(path, pattern)
         for batch in batches:
-            texts = batch.to_pylist()
-            counts, tokens = [], []
-            for part in _parts([len(t or "") for t in texts], CHARS_AT_ONCE):
-                n, found = bpe.encode(texts[part])
-                counts.append(n)
-                tokens.append(found)
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts or [np.empty(0, np.int64)]))])
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tokens or [np.empty(0, np.int32)]), pa.int32()))
-
-    return df.withColumn(into, ids(F.col(text)))
+            lengths = pc.binary_length(batch).fill_null(0).to_pylist()
+            lists, texts = [], []
+            for part in _parts(lengths, CHARS_AT_ONCE):
+                sizes, tokens = bpe.encode(batch[part].to_pylist())
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(tokens, pa.int32())))
+                if decoded:
+                    ends = np.concatenate([[0], np.cumsum(sizes)])
+                    for some in _parts(sizes.tolist(), TOKENS_AT_ONCE):
+                        texts.append(pa.array(bpe.decode(sizes[some], tokens[ends[some.start] : ends[some.stop]]), pa.binary()))
+            columns = [pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))]
+            if decoded:
+                columns.append(pa.concat_arrays(texts) if texts else pa.array([], pa.binary()))
+            yield pa.StructArray.from_arrays(columns, names=["ids", "bytes"][: len(columns)])
+
+    (name,) = fresh(df, "_coded")
+    out = df.withColumn(name, coded(F.col(text))).withColumn(into, F.col(f"{name}.ids"))
+    return (out.withColumn(decoded, F.col(f"{name}.bytes")) if decoded else out).drop(name)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "bytes") -> DataFrame:
@@ -270,7 +303,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "bytes") -> D
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, path), path)
+    coded = encode(docs, path, decoded="bytes")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
