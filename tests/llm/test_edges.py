@@ -84,6 +84,29 @@ def test_pairs_of_terms_weigh_more_than_their_parts():
     assert right > 1100  # no additive weights get more than 600
 
 
+def test_words_that_are_toxic_only_together():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for k in range(600):
+        # 1 with 2 and 3 with 4 are toxic, 1 with 4 and 3 with 2 are not: no term says anything alone.
+        a, b = ((1, 2), (3, 4))[rng.integers(2)] if k % 2 else ((1, 4), (3, 2))[rng.integers(2)]
+        rows.append(np.unique(np.concatenate([[a, b], 10 + rng.choice(300, 8, replace=False)])))
+        labels.append(k % 2)
+    model = toxicity.fit_machine(rows[:400], np.array(labels[:400], float))
+    right = sum((model.score(r) >= 0.7) == bool(y) for r, y in zip(rows[400:], labels[400:]))
+    assert right >= 190
+
+
+def test_terms_below_the_significance_are_kept():
+    import numpy as np
+
+    rows = [np.array([1, 7] if k % 10 == 0 else [2, 8 if k % 3 else 9]) for k in range(60)]
+    model = toxicity.fit_machine(rows, np.array([float(k % 10 == 0 and k < 50) for k in range(60)]), significance=1000.0)
+    assert (model.slot[[1, 2, 7, 8, 9]] > 0).all() and model.score(np.array([1, 7])) > model.score(np.array([2, 8]))
+
+
 def test_language(spark, docs, none):
     rows = [(k, "the cat and the dog are here with this thing" if k % 2 else "le chat et les chiens sont avec cette chose", "en" if k % 2 else "fr") for k in range(60)]
     trees = language_id.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
