@@ -1,14 +1,16 @@
 """License scan with a positional index of rare licence words, in DataFrame operations.
 
-Licence templates are indexed word by word: word -> (template, position). Of each file the licence words with the
-highest inverse document frequency are looked up. A look-up votes for (template, position in file - position in template); votes that agree on
-both put the template at one place of the file. The best place of each template is verified: its mandatory key phrases
-must stand in the file at their relative positions.
+Licence templates are indexed word by word: word -> (template, position). Of each template the key-phrase words with the
+highest inverse document frequency are looked up in the file. A look-up votes for (template, position in file - position in
+template); votes that agree on both put the template at one place of the file. Every such place is verified: the mandatory
+key phrases must stand in the file at their relative positions. A key phrase that stands in full always has these votes, so
+no template can crowd out another.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +46,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
 
-#: So many licence words of a file, those with the highest inverse document frequency, are looked up.
-LOOKED_UP = 6
-#: So many looked-up words must agree on template and place (all, if the template has fewer).
+#: So many of a template's key-phrase words, those with the highest inverse document frequency, are looked up and must agree on its place.
 AGREEING = 2
 
 _VOCABULARY = sorted({w for phrase, _ in PHRASES for w in phrase.split()} | {w for _, words, _ in TEMPLATES for w in words.split()})
@@ -93,14 +93,12 @@ def document_frequencies(df: DataFrame, text: str = "text") -> dict[str, float]:
     return {w: math.log((1 + total) / (1 + found.get(w, 0))) for w in _VOCABULARY}
 
 
-def _postings() -> str:
-    """The index as JSON: word -> [(template, position)]."""
-    parts = []
-    for word in _VOCABULARY:
-        places = [(t, i) for t, (_, words, _) in enumerate(TEMPLATES) for i, w in enumerate(words.split()) if w == word]
-        if places:
-            parts.append(f'"{word}":[' + ",".join(f'{{"t":{t},"i":{i}}}' for t, i in places) + "]")
-    return "{" + ",".join(parts) + "}"
+def _looked_up(t: int, idf: dict[str, float]) -> list[tuple[str, int]]:
+    """The rarest words of the template's key phrases with their positions in it; ties in weight go by word."""
+    _, words, keys = TEMPLATES[t]
+    words = words.split()
+    places = {w: _find(words, key.split()) + i for key in keys for i, w in enumerate(key.split())}
+    return sorted(places.items(), key=lambda x: (-idf.get(x[0], 0.0), x[0]))[:AGREEING]
 
 
 def scan_licenses(df: DataFrame, idf: dict[str, float], text: str = "text") -> DataFrame:
@@ -113,26 +111,12 @@ def scan_licenses(df: DataFrame, idf: dict[str, float], text: str = "text") -> D
     df = with_words(df, text)
     placed = F.col("_placed")
     df = df.withColumn("_base", F.array(*[phrase_places(placed, phrase) for phrase, _ in PHRASES]))
-    weights = F.create_map(*[F.lit(x) for w, v in idf.items() for x in (w, v)]) if idf else F.lit(None).cast("map<string,double>")
-    index = F.from_json(F.lit(_postings()), "map<string,array<struct<t:int,i:int>>>")
-
-    # The file's rarest licence words; ties in weight go by word.
-    own = F.transform("_kinds", lambda w: F.struct((-F.coalesce(F.element_at(weights, w), F.lit(0.0))).alias("m"), w.alias("w")))
-    df = df.withColumn("_rare", F.transform(F.slice(F.array_sort(own), 1, LOOKED_UP), lambda x: x["w"]))
-    looked_up = F.filter(placed, lambda x: F.array_contains(F.col("_rare"), x["w"]))
-    votes = F.flatten(F.transform(looked_up, lambda x: F.transform(
-        F.coalesce(F.element_at(index, x["w"]), F.array().cast("array<struct<t:int,i:int>>")),
-        lambda p: F.struct(p["t"].alias("t"), (x["at"] - p["i"]).alias("start"), x["w"].alias("w")))))
-    possible = any_of([_has_all(" ".join(keys).split()) for _, _, keys in TEMPLATES])
-    df = df.withColumn("_votes", F.when(possible, F.array_distinct(votes)).otherwise(F.array().cast("array<struct<t:int,start:int,w:string>>")))
-
     # A template's words at a place are verified against all licence words of the file.
     def judged(t: int) -> Column:
         _, words, keys = TEMPLATES[t]
         words = words.split()
-        mine = F.transform(F.filter(F.col("_votes"), lambda v: v["t"] == t), lambda v: v["start"])
-        needed = min(AGREEING, len(words))
-        starts = F.filter(F.array_distinct(mine), lambda s: F.size(F.filter(mine, lambda m: m == s)) >= needed)
+        votes = [_places_before(placed, w, i) for w, i in _looked_up(t, idf)]
+        starts = F.array_distinct(reduce(F.array_intersect, votes))
         at = lambda s, i, w: F.exists(placed, lambda x: (x["at"] == s + i) & (x["w"] == w))
 
         def share(s: Column) -> Column:
@@ -152,7 +136,8 @@ def scan_licenses(df: DataFrame, idf: dict[str, float], text: str = "text") -> D
 
     none = F.array().cast("array<struct<label:string,word:int,share:double>>")
     found = F.concat(*[judged(t) for t in range(len(TEMPLATES))])
-    df = df.withColumn("found", F.when(F.size("_votes") >= 2, found).otherwise(none))
+    possible = any_of([_has_all(" ".join(keys).split()) for _, _, keys in TEMPLATES])
+    df = df.withColumn("found", F.when(possible, found).otherwise(none))
     places = F.flatten("_base")
     base = F.filter(F.array(*[F.when(F.size(F.get("_base", k)) > 0, label) for k, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())
     df = df.withColumns({
@@ -164,7 +149,7 @@ def scan_licenses(df: DataFrame, idf: dict[str, float], text: str = "text") -> D
         "labels": F.array_join(F.array_sort(F.array_union(base, F.transform("found", lambda x: x["label"]))), ","),
     })
     df = df.withColumn("score", F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0))))
-    return df.drop("_words", "_placed", "_kinds", "_base", "_rare", "_votes")
+    return df.drop("_words", "_placed", "_kinds", "_base")
 
 
 def _find(words: list[str], key: list[str]) -> int:

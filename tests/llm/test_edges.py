@@ -84,6 +84,15 @@ def test_pairs_of_terms_weigh_more_than_their_parts():
     assert right > 1100  # no additive weights get more than 600
 
 
+def test_file_of_many_licences(spark):
+    lines = ["Licensed under the Apache License, Version 2.0", "Licensed under CC BY-NC 4.0", "Released under the MIT License", "Licensed under the GNU General Public License, version 3"]
+    df = spark.createDataFrame([(0, "\n".join(lines)), (1, "\n".join(" ".join([w] * 2) for _, w, _ in licenses.TEMPLATES))], "doc_id long, text string")
+    idf = {w: 1.0 for w in licenses._VOCABULARY} | {w: 9.0 for w in ("2", "apache")} | {w: 8.0 for w in ("4", "cc", "nc", "released")}
+    out = {r.doc_id: r for r in licenses.scan_licenses(df, idf).collect()}
+    assert {x.label for x in out[0].found} == {"apache-2.0", "cc-by-nc", "mit", "gpl-3.0"}
+    assert {x.label for x in out[1].found} == {label for label, _, _ in licenses.TEMPLATES} and len(out[1].found) == 2 * len(licenses.TEMPLATES)
+
+
 def test_words_that_are_toxic_only_together():
     import numpy as np
 
