@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import heapq
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -94,6 +96,89 @@ def similarity_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def _longest_match(a: str, b: str) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the longest common block, earliest in a, then in b; by a suffix automaton of b."""
+    step, link, length, end = [{}], [-1], [0], [-1]
+    last = 0
+    for at, ch in enumerate(b):
+        new = len(step)
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        end.append(at)
+        p = last
+        while p >= 0 and ch not in step[p]:
+            step[p][ch] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][ch]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                copy = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                end.append(end[q])
+                while p >= 0 and step[p].get(ch) == q:
+                    step[p][ch] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    best, state, n = (0, 0, 0), 0, 0
+    for at, ch in enumerate(a):
+        while state and ch not in step[state]:
+            state = link[state]
+            n = length[state]
+        if ch in step[state]:
+            state = step[state][ch]
+            n += 1
+            if n > best[2]:
+                best = (at - n + 1, end[state] - n + 1, n)
+    return best
+
+
+def ratio_reaches(a: str | None, b: str | None, threshold: float) -> bool:
+    """Is difflib's ratio of the two texts at least the threshold?
+
+    The blocks are difflib's. What is still open can match by no more than its common characters, so most pairs are decided early.
+    """
+    a, b = a or "", b or ""
+    if a == b:
+        return 1.0 >= threshold
+    total = len(a) + len(b)
+    if 2.0 * min(len(a), len(b)) / total < threshold:
+        return False
+
+    def most(x: str, y: str) -> int:
+        return sum((Counter(x) & Counter(y)).values())
+
+    sure, bound = 0, most(a, b)
+    open_ = [(-bound, a, b)]
+    while open_ and 2.0 * bound / total >= threshold > 2.0 * sure / total:
+        had, x, y = heapq.heappop(open_)
+        i, j, n = _longest_match(x, y)
+        bound += had
+        if n:
+            sure, bound = sure + n, bound + n
+            for part in ((x[:i], y[:j]), (x[i + n :], y[j + n :])):
+                can = most(*part)
+                if can:
+                    bound += can
+                    heapq.heappush(open_, (-can, *part))
+    return 2.0 * sure / total >= threshold
+
+
+def similar(a: Column, b: Column, threshold: float) -> Column:
+    """Does the similarity ratio of two texts reach the threshold?"""
+
+    @F.pandas_udf("boolean")
+    def reaches(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([ratio_reaches(x, y, threshold) for x, y in zip(left, right)], dtype="bool")
+
+    return reaches(a, b)
+
+
 def slug(text: Column) -> Column:
     """Lower-case letters and digits, other runs as single hyphens, marks removed."""
     folded = F.regexp_replace(normal_form("NFKD")(text), r"\p{M}", "")

@@ -22,7 +22,7 @@ def consensus(readings: DataFrame, threshold: float = 0.82) -> DataFrame:
 
     def alike(x: str, y: str) -> Column:
         equal = F.col(x) == F.col(y)
-        return F.coalesce(F.when(equal, True).otherwise(text.similarity_ratio(F.col(x), F.col(y)) >= threshold), F.lit(False))
+        return F.coalesce(F.when(equal, True).otherwise(text.similar(F.col(x), F.col(y), threshold)), F.lit(False))
 
     pairs = wide.withColumns({"_ab": alike("a", "b"), "_ac": alike("a", "c"), "_bc": alike("b", "c")})
     n = F.col("_ab").cast("int") + F.col("_ac").cast("int") + F.col("_bc").cast("int")

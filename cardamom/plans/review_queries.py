@@ -26,8 +26,8 @@ def _add(name: str, sql: str | None = None):
 
 
 def _readings(spark, d):
-    """Lines of up to 400 characters: long ones are whole paragraphs, which no reading is."""
-    lines = s.page_line(spark, d).where("length(text) BETWEEN 10 AND 400").selectExpr("concat(doc_id, '.', line) AS packet", "doc_id", "line", "text")
+    """All lines that are not empty."""
+    lines = s.page_line(spark, d).where("text <> ''").selectExpr("concat(doc_id, '.', line) AS packet", "doc_id", "line", "text")
     models = F.explode(F.array(*map(F.lit, "abc"))).alias("model")
     reading = F.expr("CASE WHEN model = 'b' AND line % 3 = 0 THEN substring(text, 2) WHEN model = 'c' AND line % 4 = 0 THEN upper(text) WHEN model = 'b' AND line % 7 = 1 THEN reverse(text) ELSE text END")
     source = F.expr("CASE WHEN model = 'c' AND doc_id % 50 = 0 THEN 'x' ELSE 'h' END")

@@ -86,3 +86,26 @@ def test_stream_dedupes(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("deduped").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("deduped").count() == 10
+
+
+def test_ratio_reaches_is_the_ratio():
+    import difflib
+    import random
+
+    from cardamom.functions import text
+
+    r = random.Random(3)
+    for k in range(600):
+        a = "".join(r.choice("abcd ") for _ in range(r.randrange(60)))
+        b = [a[1:], a[::-1], a.upper(), "".join(c for c in a if r.random() > 0.2), "".join(r.sample(a, len(a)))][k % 5]
+        want = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        assert not b or text._longest_match(a, b)[2] == 0 or text._longest_match(a, b) == tuple(want.find_longest_match(0, len(a), 0, len(b)))
+        for threshold in (0.3, 0.5, 0.82, 0.95, 1.0, want.ratio()):
+            assert text.ratio_reaches(a, b, threshold) == (want.ratio() >= threshold)
+
+
+def test_consensus_of_every_line(spark):
+    from cardamom.plans import review_queries
+
+    lines = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("explode(split(text, '\n')) AS line").where("line <> ''").count()
+    assert review_queries.consensus(spark, "/root/testdata/sf0.001").count() == lines
