@@ -101,7 +101,7 @@ def page_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positioned blocks: lines with a box by their number, every tenth line seen a second time a little lower."""
-    lines = page_line(spark, sf_dir).where("line <= 400")
+    lines = page_line(spark, sf_dir)
     box = ("CAST(0.1 AS DOUBLE) AS x0", "CAST(line AS DOUBLE) / 500 AS y0", "CAST(0.9 AS DOUBLE) AS x1", "CAST(line + 1 AS DOUBLE) / 500 AS y1")
     score = "CAST((doc_id * 31 + line * 17) % 100 AS DOUBLE) / 100 AS confidence"
     first = lines.selectExpr("doc_id AS page", "line * 2 AS block", *box, "text", score)

@@ -109,3 +109,11 @@ def test_consensus_of_every_line(spark):
 
     lines = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("explode(split(text, '\n')) AS line").where("line <> ''").count()
     assert review_queries.consensus(spark, "/root/testdata/sf0.001").count() == lines
+
+
+def test_text_block_has_all_lines(spark, tmp_path):
+    from cardamom.sources import standins
+
+    spark.createDataFrame([(1, "\n".join(["line"] * 906))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    blocks = [r.block for r in standins.text_block(spark, str(tmp_path)).select("block").collect()]
+    assert sorted(blocks) == sorted([2 * k for k in range(1, 907)] + [2 * k + 1 for k in range(10, 907, 10)])
