@@ -1,21 +1,26 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries in each partition.
 
-Encoding: a text is split into words by the tokenizer's pattern. Words not met before in this worker become rows
-(word, position, token), one row a byte. A recursive query joins neighbouring tokens with the merge table and contracts
-each word's leftmost pair of minimum rank, until no word has a pair left. Decoding: token rows join the vocabulary,
-and an ordered aggregation puts their bytes together.
-
-The vocabulary is a rank file (base64 token and rank a line); it is read from its path in each worker.
+Encoding: a text is split into words by the tokenizer's pattern. Words not met before in this task become rows
+(place, token), one row a byte; a word's number and its byte's position make the place. A recursive query joins
+neighbouring tokens with the merge table and contracts each word's leftmost pair of minimum rank, until no word has a pair
+left. Decoding: token rows join the vocabulary, and an ordered aggregation puts their bytes together.
+
+Words are cut where no token of the vocabulary can reach across, which no merge can undo; so text without blanks becomes
+short pieces too. Pieces that stay long (runs of one letter) have all pairs of their minimum rank contracted in one
+step, in ``_ENCODE_LONG``. That gives the same ids if each token of the vocabulary is what its own bytes encode to: while
+a pair of rank r is the least, no new pair can have a rank below r, or the token it makes would have been made before.
+The vocabulary is held against this before the first such piece; if it fails, long pieces take single steps too.
+
+The vocabulary is a rank file (base64 token and rank a line), read from its path in each task. A task holds one
+DuckDB session and the ids of ``MAX_WORDS`` words at most; both go when it ends.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-import re
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import repeat
+from contextlib import closing
+from itertools import islice, repeat
 
 import duckdb
 import numpy as np
@@ -26,14 +31,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read
+from .common import fresh, read, small_batches
 
-#: Words in one recursive query; words longer than MAX_WORD_BYTES are merged with a heap instead (same rule, same ids).
-WORDS_A_QUERY, MAX_WORD_BYTES = 20_000, 200
-#: Words and chunks that a worker remembers (twice as many words at times), and characters and tokens that it takes at a time.
-MAX_WORDS, MAX_CHUNKS, CHARS_AT_ONCE, TOKENS_AT_ONCE = 150_000, 250_000, 500_000, 250_000
+#: Characters and tokens taken at a time; of longer texts, so many words at a time. Words that a task remembers.
+CHARS_AT_ONCE, TOKENS_AT_ONCE, WORDS_AT_ONCE, MAX_WORDS = 500_000, 150_000, 100_000, 200_000
+#: Bytes of words in one recursive query. Pieces longer than LONG_BYTES contract all pairs of a rank at once.
+BYTES_A_QUERY, LONG_BYTES = 200_000, 64
+#: A query on long pieces goes on for so many rows in all steps together, then starts anew from where it is.
+ROWS_A_QUERY = 4_000_000
 
-# A row's place is word * 1024 + position, kept gapless, so a word's next token is at place + 1.
 _ENCODE = """
 WITH RECURSIVE step(place, token, done) AS (
   SELECT place, token, false FROM start
@@ -43,196 +49,223 @@ WITH RECURSIVE step(place, token, done) AS (
       SELECT place, token, lead(place) OVER w AS next_place, lead(token) OVER w AS next_token
       FROM step WHERE NOT done WINDOW w AS (ORDER BY place)),
     best AS (
-      SELECT p.place >> 10 AS word, min(m.rank * 1024 + (p.place & 1023)) AS best
+      SELECT p.place >> 32 AS word, min(m.rank * 128 + (p.place & 127)) AS best, min_by(p.next_place, m.rank * 128 + (p.place & 127)) AS gone
       FROM pair p JOIN merges m ON m.a = p.token AND m.b = p.next_token
-      WHERE p.next_place = p.place + 1 GROUP BY p.place >> 10)
-    SELECT CASE WHEN (s.place & 1023) > (best & 1023) THEN s.place - 1 ELSE s.place END,
-           CASE WHEN (s.place & 1023) = (best & 1023) THEN best >> 10 ELSE s.token END, best IS NULL
-    FROM step s LEFT JOIN best b ON b.word = s.place >> 10
-    WHERE NOT s.done AND (best IS NULL OR (s.place & 1023) <> (best & 1023) + 1))
+      WHERE p.next_place >> 32 = p.place >> 32 GROUP BY p.place >> 32)
+    SELECT s.place, CASE WHEN s.place & 127 = best & 127 THEN best >> 7 ELSE s.token END, best IS NULL
+    FROM step s LEFT JOIN best b ON b.word = s.place >> 32
+    WHERE NOT s.done AND (best IS NULL OR s.place <> gone))
 )
-SELECT place >> 10 AS word, token FROM step WHERE done ORDER BY place
+SELECT place >> 32 AS word, token FROM step WHERE done ORDER BY place
 """
 
-# Token bytes are text of one character a byte. The session has one thread, so the aggregate takes its rows in their order.
-_DECODE = """
-SELECT row, string_agg(bytes, '') AS bytes
-FROM (SELECT r.row, v.bytes FROM tokens r JOIN vocabulary v ON v.token = r.token ORDER BY r.pos)
-GROUP BY row
+# Pairs that overlap stand in runs; every other one of a run is contracted, from its first on.
+_ENCODE_LONG = """
+WITH RECURSIVE step(place, token, done, n) AS (
+  SELECT place, token, false, 0 FROM start
+  UNION ALL
+  SELECT * FROM (
+    WITH pair AS (
+      SELECT place, token, lead(place) OVER w AS next_place, lead(token) OVER w AS next_token
+      FROM step WHERE NOT done AND n < {steps} WINDOW w AS (ORDER BY place)),
+    found AS (
+      SELECT p.place, p.next_place, m.rank FROM pair p JOIN merges m ON m.a = p.token AND m.b = p.next_token
+      WHERE p.next_place >> 32 = p.place >> 32),
+    best AS (SELECT place >> 32 AS word, {pick} AS best FROM found GROUP BY place >> 32),
+    hit AS (
+      SELECT f.place, f.next_place, f.rank, lag(f.next_place, 1, -1) OVER (ORDER BY f.place) <> f.place AS first
+      FROM found f JOIN best b ON b.word = f.place >> 32 AND {same}),
+    run AS (SELECT place, next_place, rank, sum(first::INT) OVER (ORDER BY place) AS run FROM hit),
+    taken AS (SELECT place, next_place, rank FROM run QUALIFY row_number() OVER (PARTITION BY run ORDER BY place) % 2 = 1)
+    SELECT s.place, coalesce(t.rank, s.token), b.word IS NULL, s.n + 1
+    FROM step s LEFT JOIN best b ON b.word = s.place >> 32 LEFT JOIN taken t ON t.place = s.place
+    WHERE NOT s.done AND s.n < {steps} AND s.place NOT IN (SELECT next_place FROM taken))
+)
+SELECT place, token, done FROM step WHERE done OR n = {steps} ORDER BY place
 """
+_ALL_OF_A_RANK = {"pick": "min(rank)", "same": "b.best = f.rank"}
+_LEFTMOST = {"pick": "min(rank * 4294967296 + (place & 4294967295))", "same": "b.best = f.rank * 4294967296 + (f.place & 4294967295)"}
 
-# Between two other characters, a single space starts the next match of the usual patterns and a single line end is one.
-_SPACE, _LINE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
+# Token bytes are text of one character a byte.
+_DECODE = """
+SELECT r.row, string_agg(v.bytes, '' ORDER BY r.pos) AS bytes
+FROM tokens r JOIN vocabulary v ON v.token = r.token GROUP BY r.row
+"""
 
 
 class ByteBpe:
-    """One worker's vocabulary, DuckDB session and remembered words."""
+    """One task's vocabulary, DuckDB session and remembered words."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        self.findall = regex.compile(pattern).findall
-        self.splits = pattern == public_tokenizers.PATTERN  # chunks() is right for this pattern
-        merges = [
-            (self.ranks[t[:k]], self.ranks[t[k:]], rank)
-            for t, rank in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks
-        ]
-        a, b, rank = (pa.array(x, pa.int32()) for x in zip(*merges))
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
-        table = pa.table({"a": a, "b": b, "rank": rank.cast(pa.int64())})
-        self.db.register("_merges", table)
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM _merges")
-        words = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})
-        self.db.register("_words", words)
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM _words")
+        self.pattern, get = regex.compile(pattern), self.ranks.get
+        parts = [(get(t[:k], -1), get(t[k:], -1), rank) for t, rank in self.ranks.items() for k in range(1, len(t))]
+        merges = np.array(parts or [(-1, -1, -1)], np.int64)
+        merges = merges[(merges[:, :2] >= 0).all(1)]
+        # What a query frees goes back to the system, as other workers share the executor's memory.
+        freed = {"allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"}
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": "", **freed})
+        self._run("CREATE TABLE merges AS SELECT * FROM given", given=pa.table(dict(zip(("a", "b", "rank"), merges.T.copy()))))
+        vocabulary = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})
+        self._run("CREATE TABLE vocabulary AS SELECT * FROM given", given=vocabulary)
         self.byte_token = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        self.words: dict[str, bytes] = {}  # word -> its ids as 4-byte numbers
-        self.old_words: dict[str, bytes] = {}
+        self.reach, self.own = None, None
         self.forget()
 
+    def close(self) -> None:
+        self.db.close()
+        self.forget()
+        pa.default_memory_pool().release_unused()
+
+    def _run(self, sql: str, **tables: pa.Table):
+        for name, table in tables.items():
+            self.db.register(name, table)
+        out = self.db.execute(sql).fetchnumpy()
+        for name in tables:
+            self.db.unregister(name)
+        return out
+
     def forget(self) -> None:
-        """Forget the chunks; their words are still remembered."""
         self.place: dict[str, int] = {}
-        self.starts, self.flat = np.zeros(MAX_CHUNKS + 1, np.int64), np.empty(4 * MAX_CHUNKS, np.int32)
-
-    def merge_long(self, word: bytes) -> list[int]:
-        """Leftmost minimum-rank merging of one very long word, with a heap of its pairs."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-        pairs = [(self.ranks[p], i, p) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in self.ranks]
-        heapq.heapify(pairs)
-        while pairs:
-            _, i, joined = heapq.heappop(pairs)
-            j = right[i]
-            if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != joined:
-                continue
-            parts[i], parts[j] = joined, None
-            right[i] = right[j]
-            if right[j] < len(parts):
-                left[right[j]] = i
-            for at in (left[i], i):
-                if at >= 0 and right[at] < len(parts) and (p := parts[at] + parts[right[at]]) in self.ranks:
-                    heapq.heappush(pairs, (self.ranks[p], at, p))
-        return [self.ranks[p] for p in parts if p is not None]
-
-    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, tokens) of the words, by the recursive query."""
-        sizes = np.array([len(w) for w in words])
+        self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def _rows(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(p) for p in pieces])
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        start = pa.table({
-            "place": pa.array(np.repeat(np.arange(len(words)) * 1024, sizes) + inside, pa.int64()),
-            "token": pa.array(self.byte_token[np.frombuffer(b"".join(words), np.uint8)], pa.int64()),
-        })
-        self.db.register("start", start)
-        out = self.db.execute(_ENCODE).fetchnumpy()
-        self.db.unregister("start")
-        return np.bincount(np.asarray(out["word"]), minlength=len(words)), np.asarray(out["token"])
-
-    def merge_words(self, words: list[str]) -> None:
-        """Remember the token ids of distinct words (matches of the pattern). Words that are a token are that token."""
-        short = []
-        for w in words:
-            b = w.encode()
-            if b in self.ranks:
-                self.words[w] = self.ranks[b].to_bytes(4, "little")
-            elif len(b) > MAX_WORD_BYTES:
-                self.words[w] = np.array(self.merge_long(b), "<i4").tobytes()
+        return (np.repeat(np.arange(len(pieces)) << 32, sizes) + inside, self.byte_token[np.frombuffer(b"".join(pieces), np.uint8)])
+
+    def contract(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of tokens by piece, all tokens), with one pair of each piece a step. For pieces of LONG_BYTES at most."""
+        place, token = self._rows(pieces)
+        out = self._run(_ENCODE, start=pa.table({"place": place, "token": token}))
+        return np.bincount(np.asarray(out["word"]), minlength=len(pieces)), np.asarray(out["token"])
+
+    def contract_long(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of any length, with all pairs of the least rank a step."""
+        if self.own is None:
+            tokens = [t for t in self.ranks if len(t) <= LONG_BYTES]
+            sizes, ids = self.contract(tokens)
+            # A token's first id suffices: it is alone and the token itself.
+            firsts = ids[np.cumsum(sizes) - sizes]
+            self.own = bool((sizes == 1).all() and (firsts == [self.ranks[t] for t in tokens]).all())
+            for t in self.ranks:
+                if self.own and len(t) > LONG_BYTES:
+                    self.own = self._long([t], _LEFTMOST)[1].tolist() == [self.ranks[t]]
+        return self._long(pieces, _ALL_OF_A_RANK if self.own else _LEFTMOST)
+
+    def _long(self, pieces: list[bytes], which: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+        place, token = self._rows(pieces)
+        ready = []
+        while len(place):
+            steps = max(1, ROWS_A_QUERY // len(place))
+            out = self._run(_ENCODE_LONG.format(steps=steps, **which), start=pa.table({"place": place, "token": token}))
+            done = np.asarray(out["done"])
+            place, token = np.asarray(out["place"]), np.asarray(out["token"])
+            ready.append((place[done], token[done]))
+            place, token = place[~done], token[~done]
+        place, token = map(np.concatenate, zip(*ready))
+        order = np.argsort(place)
+        return np.bincount(place >> 32, minlength=len(pieces)), token[order]
+
+    def cuts(self, word: bytes) -> list[bytes]:
+        """The word in pieces: cut between two bytes if no token holds both with what stands before or after them."""
+        if self.reach is None:
+            long = [np.frombuffer(t, np.uint8).astype(np.int64) for t in self.ranks if len(t) > 2]
+            threes = [(t[:-2] << 16) | (t[1:-1] << 8) | t[2:] for t in long]
+            self.reach = np.zeros(1 << 24, bool), np.zeros(1 << 16, bool)
+            self.reach[0][np.concatenate([*threes, np.empty(0, np.int64)])] = True
+            self.reach[1][[(t[0] << 8) | t[1] for t in self.ranks if len(t) == 2]] = True
+        b = np.frombuffer(word, np.uint8).astype(np.int64)
+        two = (b[:-1] << 8) | b[1:]
+        three = self.reach[0][(two[:-1] << 8) | b[2:]]
+        joined = self.reach[1][two]
+        joined[1:] |= three
+        joined[:-1] |= three
+        ends = (np.flatnonzero(~joined) + 1).tolist()
+        return [word[i:j] for i, j in zip([0, *ends], [*ends, len(word)])]
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of distinct words (matches of the pattern). Words that are a token are that token."""
+        pieces: dict[bytes, int] = {}
+        used, counts = [], np.ones(len(words), np.int64)  # pieces by word, and their number
+        for k, b in enumerate(map(str.encode, words)):
+            if len(b) <= LONG_BYTES:
+                used.append(pieces.setdefault(b, len(pieces)))
             else:
-                short.append(w)
-        for at in range(0, len(short), WORDS_A_QUERY):
-            part = short[at : at + WORDS_A_QUERY]
-            sizes, ids = self._contract([w.encode() for w in part])
-            flat, ends = ids.astype("<i4").tobytes(), np.cumsum(sizes * 4).tolist()
-            self.words.update((w, flat[i:j]) for w, i, j in zip(part, [0, *ends], ends))
-
-    def matches(self, chunk: str) -> list[str]:
-        """The pattern's matches in a chunk."""
-        if chunk.isalpha():
-            return [" " + chunk]
-        if chunk[:2] == "\n\n":
-            return self.findall(chunk[2:])
-        if chunk[:-1].isalpha() and chunk[-1] in ".,":
-            return [" " + chunk[:-1], chunk[-1]]
-        return self.findall(chunk if chunk[:1] == "\n" else " " + chunk)
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks of text and remember their ids."""
-        found = list(map(self.matches, chunks)) if self.splits else [self.findall(c[2:]) for c in chunks]
-        if len(self.words) > MAX_WORDS:
-            self.old_words, self.words = self.words, {}
-        new = {w for f in found for w in f}.difference(self.words)
-        self.words.update((w, self.old_words[w]) for w in new.intersection(self.old_words))
-        self.merge_words(sorted(new.difference(self.old_words)))
-        get = self.words.__getitem__
-        codes = [b"".join(map(get, f)) for f in found]
-        ids = np.frombuffer(b"".join(codes), "<i4")
-        n, first = len(self.place), self.starts[len(self.place)]
-        self.place.update(zip(chunks, range(n, n + len(chunks))))
-        if n + len(chunks) >= len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(n + len(chunks), np.int64)])
-        if first + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[:first], np.empty(first + 2 * len(ids), np.int32)])
-        self.starts[n + 1 : n + 1 + len(chunks)] = first + np.cumsum([len(c) // 4 for c in codes], dtype=np.int64)
-        self.flat[first : first + len(ids)] = ids
-
-    def chunks(self, text: str) -> list[str]:
-        """The text in chunks that the pattern matches apart from each other, as it does within the text.
-
-        A chunk after a space is written without it, one after a line end with it, and any other after two line ends.
-        """
-        if not self.splits:
-            return ["\n\n" + text]
-        lines = [line.split(" ") for line in text.split("\n")]
-        out = [x for line in lines for x in line]
-        if out == text.split():  # no other blanks, and none side by side
-            at = 0
-            for line in lines:
-                out[at] = "\n" + out[at]
-                at += len(line)
-            out[0] = "\n" + out[0]
-            return out
-        out = []
-        for line in _LINE.split(text):
-            first, *rest = _SPACE.split(line)
-            out.append("\n\n" + first)
-            out += ["\n\n " + x for x in rest]
-            out.append("\n\n\n")
-        out.pop()
-        return out
+                some = self.cuts(b)
+                counts[k] = len(some)
+                used += [pieces.setdefault(p, len(pieces)) for p in some]
+        known = np.fromiter(map(self.ranks.get, pieces, repeat(-1)), np.int64, len(pieces))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        numbers, sizes, ids = [np.flatnonzero(known >= 0)], [np.ones((known >= 0).sum(), np.int64)], [known[known >= 0]]
+        every = list(pieces)
+        for mine, contract in ((lengths <= LONG_BYTES, self.contract), (lengths > LONG_BYTES, self.contract_long)):
+            some = np.flatnonzero(mine & (known < 0))
+            for part in _parts(lengths[some].tolist(), BYTES_A_QUERY):
+                numbers.append(some[part])
+                own = contract([every[k] for k in some[part]])
+                sizes.append(own[0])
+                ids.append(own[1])
+        size, start = np.empty((2, len(pieces)), np.int64)
+        where, sizes, ids = map(np.concatenate, (numbers, sizes, ids))
+        size[where], start[where] = sizes, np.cumsum(sizes) - sizes
+        used = np.array(used, np.int64)
+        n = len(self.place)
+        self.place.update(zip(words, range(n, n + len(words))))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.add.reduceat(size[used], np.cumsum(counts) - counts))])
+        self.flat = np.concatenate([self.flat, _picked(ids, start[used], size[used])], dtype=np.int32, casting="unsafe")
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of tokens by word, all tokens)."""
+        if not words:
+            return np.empty(0, np.int64), np.empty(0, np.int32)
+        found = pa.array(words, pa.string()).dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        if len(self.place) > MAX_WORDS:
+            self.forget()
+        at = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(new := np.flatnonzero(at < 0)):
+            first = len(self.place)
+            self.learn([distinct[k] for k in new])
+            at[new] = np.arange(first, first + len(new))
+        at = at[found.indices.to_numpy()]
+        sizes = self.starts[at + 1] - self.starts[at]
+        return sizes, _picked(self.flat, self.starts[at], sizes)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(number of tokens by text, all tokens)."""
-        found = [self.chunks(t) if t else [] for t in texts]
-        chunks = [c for f in found for c in f]
-        if len(self.place) > MAX_CHUNKS:
-            self.forget()
-        at = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            self.learn(sorted({chunks[i] for i in missing}))
-            at[missing] = [self.place[chunks[i]] for i in missing]
-        sizes = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + sizes, sizes)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0] + [len(f) for f in found])]
-        return np.diff(bounds), ids
+        if sum(len(t or "") for t in texts) > CHARS_AT_ONCE:
+            each = [self.encode([t]) if len(t or "") <= CHARS_AT_ONCE else self._encode_long(t) for t in texts]
+            return np.concatenate([s for s, _ in each]), np.concatenate([i for _, i in each])
+        found = [self.pattern.findall(t) if t else [] for t in texts]
+        sizes, ids = self.ids([w for f in found for w in f])
+        return np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, found)])]), ids
+
+    def _encode_long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        matches = (m[0] for m in self.pattern.finditer(text))
+        ids = [np.empty(0, np.int32)]
+        while words := list(islice(matches, WORDS_AT_ONCE)):
+            ids.append(self.ids(words)[1])
+        ids = np.concatenate(ids)
+        return np.array([len(ids)]), ids
 
     def decode(self, sizes: np.ndarray, ids: np.ndarray) -> list[bytes]:
-        """The bytes of each row's tokens; rows of no tokens are empty."""
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        tokens = pa.table({"row": pa.array(rows, pa.int32()), "pos": pa.array(np.arange(len(ids)), pa.int64()), "token": pa.array(ids, pa.int32())})
-        self.db.register("tokens", tokens)
-        found = self.db.execute(_DECODE).fetchall()
-        self.db.unregister("tokens")
-        out = [b""] * len(sizes)
-        for row, characters in found:
-            out[row] = characters.encode("latin-1")
-        return out
+        """The bytes of each row's tokens; rows of no tokens are empty. Of a row, TOKENS_AT_ONCE tokens at a time."""
+        rows, pos = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(ids))
+        out = [[] for _ in sizes]
+        for at in range(0, len(ids), TOKENS_AT_ONCE):
+            part = slice(at, at + TOKENS_AT_ONCE)
+            found = self._run(_DECODE, tokens=pa.table({"row": rows[part], "pos": pos[part], "token": pa.array(ids[part], pa.int32())}))
+            for row, characters in zip(found["row"].tolist(), found["bytes"].tolist()):
+                out[row].append(characters.encode("latin-1"))
+        return [b"".join(x) for x in out]
 
 
-@lru_cache(maxsize=2)
-def worker_bpe(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+def _picked(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of flat with these starts and sizes, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)]
 
 
 def _parts(sizes: list[int], at_once: int) -> Iterator[slice]:
@@ -251,29 +284,29 @@ def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, t
     """Add the token ids of each whole text as column ``into`` (array<int>, replaced if df has it).
 
     With ``decoded``, also add the bytes that decoding those ids gives, in the same pass. Null and empty texts have
-    no tokens. Strings that look like special tokens are ordinary text. Repeated rows are encoded alike; an empty
-    table stays empty; other columns are untouched.
+    no tokens. Very long texts are taken in parts that the pattern doesn't cut; what a task holds beside a text's own ids
+    doesn't grow with it, but for one unbroken run of a character, held as a row a byte. Strings that look like special
+    tokens are ordinary text. Repeated rows are encoded alike; an empty table stays empty; other columns are untouched.
     """
+    small_batches(df.sparkSession)
     kind = "struct<ids:array<int>,bytes:binary>" if decoded else "struct<ids:array<int>>"
 
     @F.arrow_udf(kind)
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = worker_bpe(path, pattern)
-        for batch in batches:
-            lengths = pc.binary_length(batch).fill_null(0).to_pylist()
-            lists, texts = [], []
-            for part in _parts(lengths, CHARS_AT_ONCE):
-                sizes, tokens = bpe.encode(batch[part].to_pylist())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                lists.append(pa.ListArray.from_arrays(offsets, pa.array(tokens, pa.int32())))
+        with closing(ByteBpe(path, pattern)) as bpe:
+            for batch in batches:
+                lengths = pc.binary_length(batch).fill_null(0).to_pylist()
+                lists, texts = [], []
+                for part in _parts(lengths, CHARS_AT_ONCE):
+                    sizes, tokens = bpe.encode(batch[part].to_pylist())
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                    lists.append(pa.ListArray.from_arrays(offsets, pa.array(tokens, pa.int32())))
+                    if decoded:
+                        texts.append(pa.array(bpe.decode(sizes, tokens), pa.binary()))
+                columns = [pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))]
                 if decoded:
-                    ends = np.concatenate([[0], np.cumsum(sizes)])
-                    for some in _parts(sizes.tolist(), TOKENS_AT_ONCE):
-                        texts.append(pa.array(bpe.decode(sizes[some], tokens[ends[some.start] : ends[some.stop]]), pa.binary()))
-            columns = [pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))]
-            if decoded:
-                columns.append(pa.concat_arrays(texts) if texts else pa.array([], pa.binary()))
-            yield pa.StructArray.from_arrays(columns, names=["ids", "bytes"][: len(columns)])
+                    columns.append(pa.concat_arrays(texts) if texts else pa.array([], pa.binary()))
+                yield pa.StructArray.from_arrays(columns, names=["ids", "bytes"][: len(columns)])
 
     (name,) = fresh(df, "_coded")
     out = df.withColumn(name, coded(F.col(text))).withColumn(into, F.col(f"{name}.ids"))
@@ -285,17 +318,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "bytes") -> D
 
     Null and empty id arrays give no bytes. Ids that the vocabulary lacks add nothing.
     """
+    small_batches(df.sparkSession)
 
     @F.arrow_udf("binary")
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = worker_bpe(path, public_tokenizers.PATTERN)
-        for batch in batches:
-            sizes = np.asarray(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            tokens = batch.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            ends, out = np.concatenate([[0], np.cumsum(sizes)]), []
-            for part in _parts(sizes.tolist(), TOKENS_AT_ONCE):
-                out += bpe.decode(sizes[part], tokens[ends[part.start] : ends[part.stop]])
-            yield pa.array(out, pa.binary())
+        with closing(ByteBpe(path, public_tokenizers.PATTERN)) as bpe:
+            for batch in batches:
+                sizes = np.asarray(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+                yield pa.array(bpe.decode(sizes, batch.flatten().to_numpy(zero_copy_only=False)), pa.binary())
 
     return df.withColumn(into, joined(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, shared_folder  # noqa: F401
 
+#: A table of ids is broadcast up to so many rows (a few dozen bytes each), and joined by a shuffle beyond.
+MAX_BROADCAST_IDS = 500_000
+
+#: Bytes of texts in one Arrow batch, of which a task and its Python worker hold a few at a time.
+BATCH_BYTES = 8 << 20
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 BLANKS = r"\x20\x09-\x0D"
@@ -43,3 +51,21 @@ def crc32_of_id(column: str | Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def texts_in(batch: pa.Array, at_once: int = 256) -> Iterator[str | None]:
+    """The texts of an Arrow batch one by one, so that few of them stand in memory twice."""
+    for start in range(0, len(batch), at_once):
+        yield from batch.slice(start, at_once).to_pylist()
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A table of ids for a join, to be broadcast if its rows, which are counted, are few enough."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in an Arrow batch to BATCH_BYTES, unless the user has set one; the rows in a batch follow."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's own
+        spark.conf.set(key, f"{BATCH_BYTES}b")
