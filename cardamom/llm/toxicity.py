@@ -12,13 +12,14 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, fresh, read
+from .common import crc32_of_id, fresh, read, small_batches, texts_in
 
 WORD = re.compile(r"[^\W\d_]+")
 HASH_BITS = 20
@@ -69,7 +70,7 @@ def _counts(rows: list[np.ndarray], labels: np.ndarray, n_terms: int) -> tuple[n
     return np.bincount(terms, minlength=n_terms).astype(float), np.bincount(terms, np.repeat(labels, [len(r) for r in rows]), minlength=n_terms)
 
 
-def _paired_terms(rows: list[np.ndarray], labels: np.ndarray, significance: float, n_terms: int, block: int = 512) -> np.ndarray:
+def _paired_terms(rows: list[np.ndarray], labels: np.ndarray, significance: float, n_terms: int, block: int = 256) -> np.ndarray:
     """Terms of the pairs that say more than either of their terms.
 
     A pair counts if, among the rows with one term, G of the other's presence and the label reaches ``significance``
@@ -86,26 +87,48 @@ def _paired_terms(rows: list[np.ndarray], labels: np.ndarray, significance: floa
         least[open_[_ratio_of_table(np.full(len(n), float(k)), np.full(len(n), float(k)), t, n) >= significance]] = k
     order = np.argsort(least, kind="stable")
     kept, least = kept[order], least[order]
-    place = np.full(n_terms, -1)
+    # The rows of each kept term, those with label 1 first; only blocks of terms are spread out.
+    place = np.full(n_terms, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    has, ones = np.zeros((len(kept), len(rows)), np.uint8), int(labels.sum())
-    for at, i in enumerate(np.argsort(-labels, kind="stable")):  # label 1 first
-        p = place[rows[i]]
-        has[p[p >= 0], at] = 1
+    ones, order = int(labels.sum()), np.argsort(-labels, kind="stable")
+    terms = place[np.concatenate([rows[i] for i in order])].astype(np.int32)
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(rows[i]) for i in order])[terms >= 0]
+    terms = terms[terms >= 0]
+    by_term = np.argsort(terms, kind="stable")
+    at, terms = at[by_term], terms[by_term]
+    ends = np.searchsorted(terms, np.arange(len(kept) + 1))
+
+    def spread(which: np.ndarray, low: int, high: int) -> np.ndarray:
+        has = np.zeros((len(which), high - low), np.float32)
+        for k, term in enumerate(which.tolist()):
+            mine = at[ends[term] : ends[term + 1]]
+            has[k, mine[(mine >= low) & (mine < high)] - low] = 1
+        return has
+
+    # All as bits, of which those of label 1 become numbers again one block at a time.
+    parts = [np.arange(i, min(i + block, len(kept))) for i in range(0, len(kept), block)]
+    packed = [np.packbits(spread(part, 0, ones).astype(bool), axis=1) for part in parts]
+    bits = np.concatenate([np.packbits(spread(part, ones, len(rows)).astype(bool), axis=1) for part in parts] or [np.zeros((0, 1), np.uint8)])
+
+    def hit(p: int) -> np.ndarray:
+        return np.unpackbits(packed[p], axis=1, count=ones).astype(np.float32)
+
+    def rest(a: np.ndarray, b: np.ndarray, at_once: int = 2_048) -> np.ndarray:
+        """Rows of label 0 that hold both terms."""
+        some = [slice(k, k + at_once) for k in range(0, len(a), at_once)]
+        return np.concatenate([np.bitwise_count(bits[a[x]] & bits[b[x]]).sum(1, dtype=np.int64) for x in some] or [np.zeros(0, np.int64)])
+
     n, t = df[kept], hits[kept]
     found = np.zeros(len(kept), bool)
-    for i in range(0, len(kept), block):
-        one = has[i : i + block, :ones].astype(np.float32)
-        for j in range(i, len(kept), block):
-            both_hit = one @ has[j : j + block, :ones].T.astype(np.float32)
+    for p, i in enumerate(range(0, len(kept), block)):
+        first = hit(p)
+        for q, j in list(enumerate(range(0, len(kept), block)))[p:]:
+            both_hit = first @ hit(q).T
             possible = both_hit >= np.maximum(least[i : i + block, None], least[None, j : j + block])
-            left, right = np.flatnonzero(possible.any(1)), np.flatnonzero(possible.any(0))
-            if not len(left):
-                continue
-            others = has[i + left, ones:].astype(np.float32) @ has[j + right, ones:].T.astype(np.float32)
-            a, b = np.nonzero(possible[np.ix_(left, right)])
-            k, rest = both_hit[left[a], right[b]].astype(float), others[a, b].astype(float)
-            a, b, c = i + left[a], j + right[b], k + rest
+            a, b = np.nonzero(possible)
+            k = both_hit[a, b].astype(float)
+            a, b = i + a, j + b
+            c = k + rest(a, b)
             more = (a != b) & (k * n[a] > c * t[a]) & (k * n[b] > c * t[b])
             a, b, k, c = a[more], b[more], k[more], c[more]
             good = np.minimum(_ratio_of_table(k, c, t[a], n[a]), _ratio_of_table(k, c, t[b], n[b])) >= significance
@@ -113,46 +136,57 @@ def _paired_terms(rows: list[np.ndarray], labels: np.ndarray, significance: floa
     return kept[found]
 
 
-def _scores(rows: list[np.ndarray], w0: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-    z = np.array([w0 + w[r].sum() + 0.5 * ((v[r].sum(0) ** 2).sum() - (v[r] ** 2).sum()) for r in rows])
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+class _Batch:
+    """Rows of terms laid end to end, with the places where each row and, once sorted, each term begins."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        sizes = np.array([len(r) for r in rows])
+        self.n, self.filled = len(rows), np.flatnonzero(sizes)
+        self.sizes = sizes[self.filled]
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.terms = np.concatenate([*rows, np.empty(0, np.int32)], dtype=np.int32, casting="unsafe")
+        self.order = np.argsort(self.terms, kind="stable").astype(np.int32)
+        self.unique, self.starts = (x.astype(np.int32) for x in np.unique(self.terms[self.order], return_index=True))
+
+    def forward(self, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores by row, factors by term, their sums by filled row)."""
+        z, vt = np.full(self.n, w0), v[self.terms]
+        sums = np.add.reduceat(vt, self.firsts, axis=0) if len(self.firsts) else vt
+        if len(self.firsts):
+            own = np.add.reduceat(w[self.terms] - 0.5 * np.einsum("ij,ij->i", vt, vt), self.firsts)
+            z[self.filled] += own + 0.5 * np.einsum("ij,ij->i", sums, sums)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), vt, sums
 
 
 def _descend(rows: list[np.ndarray], labels: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray, epochs: int, rate: float, l2: float,
-             start: float, seed: int, held_out: tuple[list[np.ndarray], np.ndarray] | None = None, patience: int = 3):
+             start: float, seed: int, held_out: tuple[list[np.ndarray], np.ndarray] | None = None, patience: int = 3, size: int = 16):
     """AdaGrad in small batches: (w0, w, v), changed in place, and the epochs after which the log loss of the held-out rows was least."""
     rng = np.random.default_rng(seed)
-    factors = v.shape[1]
     gw, gv, g0 = np.full_like(w, start), np.full_like(v, start), start
+    dealt = rng.permutation(len(rows))
+    parts = [dealt[at : at + size] for at in range(0, len(dealt), size)]
+    apart = _Batch(held_out[0]) if held_out else None
 
     def loss() -> float:
-        p = np.clip(_scores(held_out[0], w0, w, v), 1e-6, 1 - 1e-6)
+        p = np.clip(apart.forward(w0, w, v)[0], 1e-6, 1 - 1e-6)
         return float(-np.log(np.where(held_out[1] == 1, p, 1 - p)).mean())
 
     losses = [loss()] if held_out else []
-    batch = 16
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), batch):
-            picked = order[at : at + batch]
-            parts = [rows[i] for i in picked]
-            row_of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            terms = np.concatenate(parts)
-            vt = v[terms]
-            sums = np.stack([np.bincount(row_of, vt[:, f], len(parts)) for f in range(factors)], 1)
-            squares = np.bincount(row_of, (vt * vt).sum(1), len(parts))
-            z = w0 + np.bincount(row_of, w[terms], len(parts)) + 0.5 * ((sums**2).sum(1) - squares)
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[picked]
-            each = error[row_of]
-            unique, back = np.unique(terms, return_inverse=True)
-            dw = np.bincount(back, each, len(unique)) + l2 * w[unique]
-            slope = each[:, None] * (sums[row_of] - vt)
-            dv = np.stack([np.bincount(back, slope[:, f], len(unique)) for f in range(factors)], 1) + l2 * v[unique]
-            gw[unique] += dw * dw
-            gv[unique] += dv * dv
+        for k in rng.permutation(len(parts)):
+            batch = _Batch([rows[i] for i in parts[k]])
+            p, vt, sums = batch.forward(w0, w, v)
+            error = p - labels[parts[k]]
             g0 += float(error.sum()) ** 2
-            w[unique] -= rate * dw / np.sqrt(gw[unique])
-            v[unique] -= 0.2 * rate * dv / np.sqrt(gv[unique])
+            if len(batch.terms):
+                each, unique = np.repeat(error[batch.filled], batch.sizes), batch.unique
+                slope = each[:, None] * (np.repeat(sums, batch.sizes, axis=0) - vt)
+                dw = np.add.reduceat(each[batch.order], batch.starts) + l2 * w[unique]
+                dv = np.add.reduceat(slope[batch.order], batch.starts, axis=0) + l2 * v[unique]
+                gw[unique] += dw * dw
+                gv[unique] += dv * dv
+                w[unique] -= rate * dw / np.sqrt(gw[unique])
+                v[unique] -= 0.2 * rate * dv / np.sqrt(gv[unique])
             w0 -= rate * float(error.sum()) / np.sqrt(g0)
         if held_out:
             losses.append(loss())
@@ -183,7 +217,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, ep
     seen = np.concatenate([np.flatnonzero(screened), np.flatnonzero(~screened & (df >= min_rows))])
     slot[seen] = np.arange(1, len(seen) + 1)
     first = int(screened.sum())
-    coded = [s[s > 0] for s in (slot[r] for r in rows)]
+    coded = [s[s > 0] for s in (slot[r] for r in rows)]  # 32-bit, as the terms of rows may be
 
     def fitted(of: np.ndarray, more: int, held_out: tuple[list[np.ndarray], np.ndarray] | None = None):
         w, v = np.zeros(len(seen) + 1), np.zeros((len(seen) + 1, factors))
@@ -204,8 +238,10 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, ep
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> FactorizationMachine:
     """Fit on documents with a label whose crc32(doc_id as text) mod 3 is not 1: those max_rows with the smallest id hashes.
 
-    Rows with a null id or label are left out. Only hashed terms of the bounded sample reach the driver.
+    Rows with a null id or label are left out. Of rows that share an id, the text with the least hash counts. Only hashed
+    terms of the bounded sample reach the driver.
     """
+    small_batches(docs.sparkSession)
     wanted = (
         labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
         .where(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & (crc32_of_id("_id") % 3 != 1))
@@ -214,14 +250,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAININ
     # The sample of ids has max_rows rows at most, hence the broadcast.
     sample = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(wanted), "_id")
 
-    @F.pandas_udf("array<int>")
-    def terms(texts: pd.Series) -> pd.Series:
-        return texts.map(hashed_terms)
-
-    found = sample.select("_id", "_toxic", terms("_text").alias("_terms")).orderBy(F.xxhash64("_id"), "_id").limit(2 * max_rows).collect()
+    @F.arrow_udf("array<int>")
+    def terms(texts: pa.Array) -> pa.Array:
+        found = [hashed_terms(t) for t in texts_in(texts)]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
+
+    coded = sample.select("_id", "_toxic", F.xxhash64("_text").alias("_hash"), terms("_text").alias("_terms"))
+    # One row an id and label, so no more rows than the sample of ids has.
+    found = coded.groupBy("_id", "_toxic").agg(F.min(F.struct("_hash", "_terms")).alias("_least")).select("_id", "_toxic", "_least._terms").toArrow()
+    order = np.lexsort((found["_toxic"].to_numpy(), found["_id"].to_numpy()))
+    lists = found["_terms"].combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    marks = found["_toxic"].to_numpy()
     # Copies would count as evidence again and again.
-    distinct = {(tuple(r[2]), r[1]): None for r in found}
-    return fit_machine([np.array(t, np.int64) for t, _ in distinct], np.array([y for _, y in distinct], float))
+    distinct = {(blake2b(flat[ends[i] : ends[i + 1]].tobytes()).digest(), int(marks[i])): i for i in order[::-1].tolist()}
+    return fit_machine([flat[ends[i] : ends[i + 1]] for i in distinct.values()], np.array([y for _, y in distinct], float))
 
 
 def score_toxicity(df: DataFrame, model: FactorizationMachine, text: str = "text", into: str = "score") -> DataFrame:
@@ -230,13 +273,14 @@ def score_toxicity(df: DataFrame, model: FactorizationMachine, text: str = "text
     Null and empty texts get the score of a text without terms; repeated rows score alike; an empty table stays
     empty; other columns are untouched.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = shared.value
         for texts in batches:
-            yield pd.Series([machine.score(hashed_terms(t)) for t in texts], dtype="float64")
+            yield pa.array([machine.score(hashed_terms(t)) for t in texts_in(texts)], pa.float64())
 
     return df.withColumn(into, scores(F.col(text)))
 
