@@ -1,12 +1,13 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are sequences of lower-cased words. A document that shares a seed (a run of ``min_match`` words) with a benchmark
-item is a candidate for it. Greedy string tiling then covers the item with the longest common runs that don't
+Texts are sequences of lower-cased words; a seed is a run of ``min_match`` words. The seeds of the documents and of the
+benchmark are joined, and the items that a text shares seeds with are its candidates, if the shared seeds are as many as
+coverage to the threshold takes. Greedy string tiling then covers the item with the longest common runs that don't
 overlap, found by running Karp-Rabin hashes of falling length; reordered passages are found as several tiles. The share
 of the item's words that tiles cover decides.
 
-The benchmark goes to the tasks in blocks of bounded size, one scan of the documents a block, so the documents are
-never shuffled.
+Only seeds that the benchmark may hold leave the documents' tasks; a bitmap of bounded size tells. Equal texts are joined
+once. Neither table goes through the driver.
 """
 
 from __future__ import annotations
@@ -14,19 +15,36 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import any_of, fresh, read
+from .common import cut, few, fresh, read, small_batches, texts_in
 
 WORD = re.compile(r"[^\W_]+")
-#: Benchmark text in one block, about; the blocks are broadcast one by one.
-MAX_BLOCK_CHARS = 4_000_000
+#: The bitmap of seeds has 16 bits a seed, but 2^26 bits (8 MB) at most; a fuller one lets more through to the join.
+MIN_BITMAP, MAX_BITMAP = 10, 26
+#: Hashes of words that a task remembers.
+MAX_WORDS = 100_000
 _B = 0x9E3779B97F4A7C15
-_HIT = "array<struct<item_id:long,n_words:int,covered:int,tiles:int,coverage:double>>"
+
+
+class WordHashes(dict):
+    """Word -> 64-bit hash, remembered for a while."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, text: str) -> np.ndarray:
+        words = WORD.findall(text.lower())
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def _values(ids: np.ndarray) -> np.ndarray:
@@ -35,32 +53,33 @@ def _values(ids: np.ndarray) -> np.ndarray:
 
 
 class RunningHash:
-    """Karp-Rabin hashes of all windows of any length, modulo 2^64, from one running sum."""
+    """Karp-Rabin hashes of all windows of any length over words' values, modulo 2^64, from one running sum."""
 
     _power, _inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def __init__(self, ids: np.ndarray):
-        n = len(ids) + 1
+    def __init__(self, values: np.ndarray):
+        n = len(values) + 1
         if len(self._power) < n:
             steps = np.full(2 * n, _B, np.uint64)
             steps[0] = 1
             RunningHash._power = np.cumprod(steps)
             steps[1:] = pow(_B, -1, 1 << 64)
             RunningHash._inverse = np.cumprod(steps)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_values(ids) * self._power[: len(ids)])])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self._power[: len(values)])])
 
     def windows(self, length: int) -> np.ndarray:
         return (self.sums[length:] - self.sums[:-length]) * self._inverse[: max(len(self.sums) - length, 0)]
 
 
 def greedy_tiles(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Tiles (item start, text start, length) of greedy string tiling: longest common runs first, none overlapping another.
+    """Tiles (item start, text start, length) of greedy string tiling: longest common runs first, none overlapping another;
+    of equally long ones the first in the item, then in the text.
 
     The search length falls from the item's length by halves to min_match. At each length, windows without marked words
     are matched by their running hashes, extended, and marked from the longest on.
     """
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
-    item_hash, text_hash = RunningHash(item), RunningHash(text)
+    item_hash, text_hash = RunningHash(_values(item)), RunningHash(_values(text))
     tiles: list[tuple[int, int, int]] = []
     length = max(min_match, min(len(item), len(text)))
     while min_match <= min(len(item), len(text)):
@@ -112,91 +131,128 @@ def _left(found: list[tuple[int, int, int]], free_item: np.ndarray, free_text: n
     return False
 
 
-class BenchmarkBlock:
-    """Words, seeds and items of one block of the benchmark."""
-
-    def __init__(self, items: list[tuple[int, str]], min_match: int):
-        self.words: dict[str, int] = {}
-        self.items, self.min_match = [], min_match
-        seeds = defaultdict(lambda: defaultdict(set))
-        for item_id, text in items:
-            ids = np.array([self.words.setdefault(w, len(self.words)) for w in WORD.findall(text.lower())], np.int64)
-            if len(ids):
-                self.items.append((item_id, ids))
-                size = min(min_match, len(ids))
-                for h in RunningHash(ids).windows(size).tolist():
-                    seeds[size][h].add(len(self.items) - 1)
-        self.seeds = {size: (np.array(sorted(by), np.uint64), {h: sorted(x) for h, x in by.items()}) for size, by in seeds.items()}
-
-    def judge(self, text: str | None, threshold: float) -> list[dict]:
-        """Items whose words are covered by tiles of the text to the threshold at least."""
-        if not text:
-            return []
-        get = self.words.get
-        ids = np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int64)
-        candidates: set[int] = set()
-        running = RunningHash(ids)
-        known = np.concatenate([[0], np.cumsum(ids < 0)])
-        for size, (hashes, by) in self.seeds.items():
-            if len(ids) >= size:
-                h = running.windows(size)[known[size:] == known[:-size]]
-                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                for x in np.unique(h[hashes[at] == h]).tolist():
-                    candidates.update(by[x])
-        out = []
-        for c in sorted(candidates):
-            item_id, item = self.items[c]
-            tiles = greedy_tiles(item, ids, min(self.min_match, len(item)))
-            covered = sum(n for _, _, n in tiles)
-            if covered >= threshold * len(item):
-                out.append({"item_id": item_id, "n_words": len(item), "covered": covered, "tiles": len(tiles), "coverage": covered / len(item)})
-        return out
+def _seed_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    h = RunningHash(values).windows(size)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(size)
+
+
+def benchmark_seeds(items: DataFrame, min_match: int) -> DataFrame:
+    """(_item, _n, _size, _h, _times) of items (_item, _item_text): each distinct seed, how often the item of _n words has it, and its length."""
 
+    @F.arrow_udf("struct<n:int,size:int,h:array<long>,times:array<int>>")
+    def seeds(texts: pa.Array) -> pa.Array:
+        words, rows = WordHashes(), []
+        for text in texts_in(texts):
+            values = words.of(text)
+            size = min(min_match, len(values))
+            h, times = np.unique(_seed_hashes(values, size) if size else np.empty(0, np.uint64), return_counts=True)
+            rows.append({"n": len(values), "size": size, "h": h.view(np.int64), "times": times.astype(np.int32)})
+        return pa.array(rows, pa.struct([("n", pa.int32()), ("size", pa.int32()), ("h", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]))
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, max_chars: int) -> Iterator[list[tuple[int, str]]]:
-    items = benchmark.select(F.col(item_id).cast("long").alias("_item"), F.col(text).alias("_text")).where("_text is not null").distinct()
-    chars = items.agg(F.sum(F.length("_text"))).first()[0] or 0
-    n = max(1, -(-chars // max_chars))
-    for k in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(n)) == k).orderBy("_item", "_text").collect()]
+    found = items.select("_item", seeds("_item_text").alias("_s"))
+    return found.select("_item", F.col("_s.n").alias("_n"), F.col("_s.size").alias("_size"), F.explode(F.arrays_zip("_s.h", "_s.times")).alias("_x")).select(
+        "_item", "_n", "_size", F.col("_x.h").alias("_h"), F.col("_x.times").alias("_times"))
 
 
-def _judged(spark: SparkSession, items: list[tuple[int, str]], text: Column, min_match: int, threshold: float) -> Column:
-    shared = spark.sparkContext.broadcast((items, min_match))
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """A bitmap over the upper bits of the seeds, as 64-bit words."""
+    bits = min(MAX_BITMAP, max(MIN_BITMAP, (16 * seeds.count()).bit_length()))
+    place = F.shiftrightunsigned("_h", 64 - bits)
+    words = seeds.groupBy(F.shiftright(place, 6).alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("_b"))
+    found = words.toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found["_w"].to_numpy()] = found["_b"].to_numpy()
+    return out.view(np.uint64)
 
-    @F.pandas_udf(_HIT)
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        block = BenchmarkBlock(*shared.value)
-        for texts in batches:
-            yield texts.map(lambda t: block.judge(t, threshold))
 
-    return judge(text)
+def _keys(text: Column) -> list[Column]:
+    """Two hashes that stand for a text in joins; null for a null text."""
+    return [F.when(text.isNotNull(), F.xxhash64(text)), F.when(text.isNotNull(), F.hash(text))]
+
+
+def candidates(texts: DataFrame, items: DataFrame, min_match: int, threshold: float) -> DataFrame:
+    """(_k1, _k2, _item): keys of texts (_k1, _k2, _text) with the items that share enough seeds with them.
+
+    Tiles of min_match words or more that cover C words of an item hold C / min_match of its seeds at least, counted as
+    often as the item has them.
+    """
+    small_batches(texts.sparkSession)
+    seeds = cut(benchmark_seeds(items, min_match))
+    sizes = sorted(r[0] for r in seeds.select("_size").distinct().collect())  # min_match numbers at most
+    shared = texts.sparkSession.sparkContext.broadcast((_bitmap(seeds), sizes))
+
+    @F.arrow_udf("array<long>")
+    def near(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        (bitmap, sizes), words = shared.value, WordHashes()
+        shift = np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
+        for batch in batches:
+            rows = []
+            for text in texts_in(batch):
+                values = words.of(text)
+                found = [np.empty(0, np.uint64)]
+                for size in sizes:
+                    if size <= len(values):
+                        h = _seed_hashes(values, size)
+                        at = h >> shift
+                        found.append(h[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1])
+                rows.append(np.unique(np.concatenate(found)).view(np.int64))
+            ends = np.cumsum([0, *map(len, rows)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, np.int64)])))
+
+    some = texts.select("_k1", "_k2", near("_text").alias("_near")).where(F.size("_near") > 0)
+    once = some.groupBy("_k1", "_k2").agg(F.first("_near").alias("_near")).select("_k1", "_k2", F.explode("_near").alias("_h"))
+    met = once.join(seeds, "_h").groupBy("_k1", "_k2", "_item").agg(F.sum("_times").alias("_times"), F.first("_n").alias("_n"))
+    found = cut(met.where(F.col("_times") * min_match >= threshold * F.col("_n")).select("_k1", "_k2", "_item"))
+    shared.unpersist()
+    return found
+
+
+def _judged(rows: DataFrame, benchmark: DataFrame, min_match: int, threshold: float) -> DataFrame:
+    """Rows (_k1, _k2, _text, ..) with the items that their texts contain: item_id and the struct _hit."""
+    given = benchmark.select("item_id", F.col("text").alias("_item_text")).where("_item_text is not null").distinct()
+    given = given.select("item_id", "_item_text", F.concat_ws("-", *_keys(F.col("_item_text"))).alias("_item"))
+    items = given.select("_item", "_item_text").distinct()
+    pairs = few(candidates(rows.select("_k1", "_k2", "_text"), items, min_match, threshold))
+
+    @F.arrow_udf("struct<n_words:int,covered:int,tiles:int,coverage:double>")
+    def judge(texts: pa.Array, parts: pa.Array) -> pa.Array:
+        out = []
+        for text, part in zip(texts_in(texts), texts_in(parts)):
+            places: dict[str, int] = {}
+            item = np.array([places.setdefault(w, len(places)) for w in WORD.findall(part.lower())], np.int64)
+            words = WORD.findall(text.lower())
+            ids = np.array([places.get(w, -1) for w in words], np.int64)
+            tiles = greedy_tiles(item, ids, min(min_match, len(item)))
+            covered = sum(n for _, _, n in tiles)
+            out.append((len(item), covered, len(tiles), covered / len(item)))
+        kinds = [("n_words", pa.int32()), ("covered", pa.int32()), ("tiles", pa.int32()), ("coverage", pa.float64())]
+        return pa.array([dict(zip(dict(kinds), x)) for x in out], pa.struct(kinds))
+
+    hits = rows.join(pairs, ["_k1", "_k2"]).join(items, "_item").withColumn("_hit", judge("_text", "_item_text"))
+    hits = hits.where(F.col("_hit.covered") >= threshold * F.col("_hit.n_words"))
+    return hits.drop("_item_text").join(given.drop("_item_text"), "_item")
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", min_match: int = 4,
-                   threshold: float = 0.6, max_block_chars: int = MAX_BLOCK_CHARS) -> DataFrame:
+                   threshold: float = 0.6) -> DataFrame:
     """One row per document row and benchmark item that it contains: doc_id, item_id, n_words, covered, tiles, coverage.
 
-    Null or empty texts hit nothing; null or empty items are skipped, and items with a null id are reported with it.
-    Items shorter than min_match words must occur whole. Repeated document rows give repeated hits, repeated benchmark rows count
-    once. Empty tables give an empty result. Whole texts are scanned; other columns don't matter.
+    Null or empty texts hit nothing; null or empty items are skipped, and items with a null id are reported with it;
+    ids keep their types. Items shorter than min_match words must occur whole. Repeated document rows give repeated hits,
+    repeated benchmark rows count once. Empty tables give an empty result. Whole texts are scanned; other columns don't matter.
     """
-    out = None
-    for items in _blocks(benchmark, "item_id", "text", max_block_chars):
-        hits = docs.select(F.col(doc_id).alias(doc_id), F.explode(_judged(docs.sparkSession, items, F.col(text), min_match, threshold)).alias("_hit"))
-        hits = hits.select(doc_id, "_hit.*")
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_match: int = 4, threshold: float = 0.6,
-                      max_block_chars: int = MAX_BLOCK_CHARS) -> DataFrame:
-    """The rows of docs that contain no benchmark item, with the columns of docs."""
-    blocks = list(_blocks(benchmark, "item_id", "text", max_block_chars))
-    names = fresh(docs, *(f"_hits{k}" for k in range(len(blocks))))
-    for name, items in zip(names, blocks):
-        docs = docs.withColumn(name, _judged(docs.sparkSession, items, F.col(text), min_match, threshold))
-    return docs.where(~any_of([F.size(name) > 0 for name in names])).drop(*names)
+    k1, k2 = _keys(F.col(text))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), k1.alias("_k1"), k2.alias("_k2"))
+    return _judged(rows, benchmark, min_match, threshold).select(F.col("_doc").alias(doc_id), "item_id", "_hit.*")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_match: int = 4, threshold: float = 0.6) -> DataFrame:
+    """The rows of docs that contain no benchmark item, with the columns of docs. Null and empty texts stay."""
+    k1, k2 = _keys(F.col(text))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("_text"), k1.alias("_k1"), k2.alias("_k2"))
+    names = fresh(docs, "_gone1", "_gone2")
+    gone = cut(_judged(rows, benchmark, min_match, threshold).select(F.col("_k1").alias(names[0]), F.col("_k2").alias(names[1])).distinct())
+    return docs.join(few(gone), reduce(Column.__and__, [k == gone[n] for k, n in zip((k1, k2), names)]), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
