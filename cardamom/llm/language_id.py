@@ -14,14 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, read
+from .common import crc32_of_id, read, small_batches, texts_in
 
 ORDER = 3
 #: At most so many training documents are used of each language.
 MAX_DOCS_PER_LANGUAGE = 300
+HASH_BUCKETS = 4096
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -131,8 +133,14 @@ def fit_languages(docs: DataFrame, max_docs: int = MAX_DOCS_PER_LANGUAGE) -> Con
     """
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text").alias("_text"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (crc32_of_id("_id") % 4 != 2))
+    small_batches(docs.sparkSession)
+    ids = rows.select("_id", "_lang", F.shiftright(F.xxhash64("_id"), 64 - HASH_BUCKETS.bit_length() + 1).alias("_bucket"))
+    # Buckets of the hash say how far the smallest max_docs of a language reach, so only about so many rows meet in a task.
+    least_first = Window.partitionBy("_lang").orderBy("_bucket")
+    sizes = ids.groupBy("_lang", "_bucket").count().withColumn("_before", F.sum("count").over(least_first) - F.col("count"))
+    near = ids.join(F.broadcast(sizes.where(F.col("_before") < max_docs).select("_lang", "_bucket")), ["_lang", "_bucket"])
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = rows.select("_id", "_lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_docs)
+    picked = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_docs)
     # max_docs rows a language at most, hence the broadcast.
     sample = rows.join(F.broadcast(picked.select("_id", "_lang").distinct()), ["_id", "_lang"])
 
@@ -158,14 +166,15 @@ def identify_language(df: DataFrame, trees: ContextTrees, text: str = "text") ->
     Whole texts are coded, however long; ties go to the first language in order of name. Repeated rows get equal
     results; an empty table stays empty; other columns are untouched, ``lang_pred`` and ``score`` are replaced.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
-    @F.pandas_udf("struct<lang:string,score:double>")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trees = shared.value
-        for texts in batches:
+        for batch in batches:
             names, scores = [], []
-            for text in texts:
+            for text in texts_in(batch):
                 if not trees.languages or not text:
                     names.append("und")
                     scores.append(0.0)
@@ -174,7 +183,7 @@ def identify_language(df: DataFrame, trees: ContextTrees, text: str = "text") ->
                 best = int(bits.argmin())
                 names.append(trees.languages[best])
                 scores.append(float(1 / np.exp2(np.minimum(bits[best] - bits, 0)).sum()))
-            yield pd.DataFrame({"lang": names, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     judged = df.withColumn("lang_pred", judge(F.when(has_letter, F.col(text))))

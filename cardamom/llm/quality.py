@@ -34,7 +34,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
 
     Null and empty texts have no words and zeros throughout.
     """
-    words, hashes, windows, starts = fresh(df, "_words", "_hashes", "_windows", "_starts")
+    words, hashes, windows, starts, n_lines = fresh(df, "_words", "_hashes", "_windows", "_starts", "_n_lines")
     whole = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn(words, F.filter(F.split(whole, f"[{BLANKS}]+"), lambda w: w != ""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))
@@ -43,7 +43,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.translate(whole, " \t\n\x0b\f\r", "")).cast("long"),
         "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "_n_lines": F.size(lines),
+        n_lines: F.size(lines),
         hashes: F.transform(words, lambda w: F.xxhash64(w)),
     }).drop(words)
     none = F.array().cast("array<bigint>")
@@ -60,10 +60,10 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return df.withColumns({
         "symbol_ratio": ratio("n_symbols", "n_words"),
-        "dup_line_ratio": ratio("n_dup_lines", "_n_lines"),
+        "dup_line_ratio": ratio("n_dup_lines", n_lines),
         "repeat_ratio": ratio("n_repeat_words", "n_words"),
         "mean_word_length": ratio("word_chars", "n_words"),
-    }).drop("_n_lines")
+    }).drop(n_lines)
 
 
 def base_failed() -> Column:
@@ -123,14 +123,17 @@ def apply_cutoffs(df: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
 def quality_rules(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """Features, failed rules and verdict of every row of df; cutoffs from the rows that labels judges.
 
-    Null and empty texts fail the base rule of 20 words. Repeated rows get equal results and count as often for the cutoffs. An
-    empty table gives an empty result; without labels only the base rules hold. Only id, text and stratum of df are used and
+    Null and empty texts fail the base rule of 20 words. Repeated rows get equal results. Equal texts with equal labels in a
+    stratum count once for the cutoffs, as copies are no further draws for the bounds. An empty table gives an empty result; without labels only the base rules hold. Only id, text and stratum of df are used and
     returned beside the results.
     """
     rows = df.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text), F.col(stratum).alias(stratum))
     judged = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).where("_id is not null")
+    names = fresh(rows, "_text1", "_text2")
+    rows = rows.withColumns({names[0]: F.xxhash64(text), names[1]: F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))})
     features = cut(with_features(rows, text).drop(text))
-    holdout = features.join(judged, F.col(doc_id) == F.col("_id"))
+    holdout = features.join(judged, F.col(doc_id) == F.col("_id")).dropDuplicates([stratum, "_quality", *names])
+    features = features.drop(*names)
     return apply_cutoffs(features, choose_cutoffs(holdout, stratum, "_quality"), stratum)
 
 

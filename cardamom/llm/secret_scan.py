@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, few, fresh, read
 
 
 @dataclass(frozen=True)
@@ -41,8 +41,6 @@ RULES = [
 ]
 #: A query has so many alternatives at most; a larger one is cut to "everything".
 MAX_ALTERNATIVES = 64
-#: Candidate ids are broadcast up to so many rows, and joined by a shuffle beyond.
-MAX_BROADCAST_IDS = 500_000
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
@@ -122,12 +120,12 @@ def scan_secrets(df: DataFrame, rules: list[SecretRule] | None = None, doc_id: s
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     grams = sorted({g for ways in queries.values() for way in ways for g in way})
     rows = df.drop("spans")
+    candidate, met = fresh(df, "_candidate", "_kinds")
     kinds = F.array().cast("array<string>")
     if grams:
-        found = cut(candidates(trigram_index(df, grams, doc_id, text), queries).select(F.col("id").alias("_candidate"), F.col("kinds").alias("_kinds")))
-        found = F.broadcast(found) if found.count() <= MAX_BROADCAST_IDS else found
-        rows = rows.join(found, rows[doc_id] == found["_candidate"], "left").drop("_candidate")
-        kinds = F.coalesce(F.col("_kinds"), kinds)
+        found = few(cut(candidates(trigram_index(df, grams, doc_id, text), queries).select(F.col("id").alias(candidate), F.col("kinds").alias(met))))
+        rows = rows.join(found, rows[doc_id] == found[candidate], "left").drop(candidate)
+        kinds = F.coalesce(F.col(met), kinds)
     whole = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     parts = []
@@ -137,7 +135,7 @@ def scan_secrets(df: DataFrame, rules: list[SecretRule] | None = None, doc_id: s
             tried = (F.array_contains(kinds, rule.kind) | F.col(doc_id).isNull()) & tried
         parts.append(F.when(tried, spans_of(whole, rule, order)).otherwise(none))
     rows = rows.withColumn("spans", F.array_sort(F.concat(*parts)))
-    return rows.drop("_kinds")
+    return rows.drop(met)
 
 
 def redact_secrets(df: DataFrame, text: str = "text") -> DataFrame:

@@ -47,8 +47,8 @@ KEPT_URLS = [
     "https://open-data.test/tables/12", "http://www.orchestra.test/season", "https://health-service.test/advice",
     "http://thesis.archive.test/en/8", "https://stories.test/chapter/10", "http://maps.region.test/road",
     "https://parliament.test/debate/55", "http://www.school.test/class/7", "https://astronomy.test/en/moon",
-    "http://blog.ontion.test/en/1837/", "https://thering.test/de/1291", "http://m.heander.test/fr/7424.html",
-    "https://www.erwhat.test/es/88?page=2", "http://andthe.test/en/42", "https://letter.test/de/3#top",
+    "http://blog.bakery.test/en/1837/", "https://railway.test/timetable/1291", "http://m.cinema.test/program/7424.html",
+    "https://www.bookshop.test/novels?page=2", "http://botany.test/en/42", "https://letters.test/editor/3#top",
 ]
 
 N_GRAMS = (3, 4, 5)

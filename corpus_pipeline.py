@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardamom.functions import lineage
 from cardamom.llm import byte_bpe, common, decontaminate, jaccard, secret_scan, toxicity
 
 
@@ -52,10 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents. Each result goes to a folder of its own under the shared checkpoint folder."""
+    """Apply the stages to documents.
+
+    Each result goes to a folder of its own under the shared checkpoint folder, and is removed once the next one is written;
+    the last one's stays, as the returned rows are read from it. Null texts stay to the end and have no tokens; a table
+    without rows gives none; columns besides those of documents go through all stages but the last.
+    """
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = common.read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            lineage.remove(spark, f"{folder}/{k - 1}")
     return docs

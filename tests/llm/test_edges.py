@@ -90,7 +90,9 @@ def test_file_of_many_licences(spark):
     idf = {w: 1.0 for w in licenses._VOCABULARY} | {w: 9.0 for w in ("2", "apache")} | {w: 8.0 for w in ("4", "cc", "nc", "released")}
     out = {r.doc_id: r for r in licenses.scan_licenses(df, idf).collect()}
     assert {x.label for x in out[0].found} == {"apache-2.0", "cc-by-nc", "mit", "gpl-3.0"}
-    assert {x.label for x in out[1].found} == {label for label, _, _ in licenses.TEMPLATES} and len(out[1].found) == 2 * len(licenses.TEMPLATES)
+    assert {x.label for x in out[1].found} == {label for label, _, _ in licenses.TEMPLATES}
+    assert out[1].labels == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES} | {"apache", "cc-by", "gpl", "mit"}))
+    assert sum(x.share == 1.0 for x in out[1].found) >= 2 * len(licenses.TEMPLATES)
 
 
 def test_words_that_are_toxic_only_together():
@@ -139,14 +141,15 @@ def test_code_lengths_are_probabilities():
 def test_licenses(spark, docs, none):
     more = [(100, "Apache  License gnu GENERAL public-license"), (101, "cc by by cc by"), (102, "Licensed under the Apache License, Version 2.0"), (103, "permission is hereby granted, free of charge, to any person obtaining a copy"), (104, "license apache"), (105, "GNU K General Public License")]
     df = docs.select("doc_id", "text", "found").union(spark.createDataFrame([(k, t, 0) for k, t in more], "doc_id long, text string, found int"))
-    idf = licenses.document_frequencies(df)
-    out = {r.doc_id: r for r in licenses.scan_licenses(df, idf).collect() if r.doc_id is not None}
+    out = {r.doc_id: r for r in licenses.scan_licenses(df).collect() if r.doc_id is not None}
     assert (out[0].n_words, out[0].n_base, out[0].first_word, out[0].base_labels, out[0].labels, out[0].score) == (0, 0, None, "", "", 0.0)
     assert (out[100].n_base, out[100].first_word, out[100].last_word, out[100].base_labels) == (2, 0, 2, "apache,gpl")
     assert (out[101].n_base, out[101].first_word, out[101].last_word) == (2, 0, 3)
     assert out[102].labels == "apache,apache-2.0" and out[103].labels == "mit" and out[103].base_labels == "" and out[104].labels == ""
     assert out[105].n_base == 0 and out[5].n_words == 24_000
-    assert licenses.scan_licenses(none, licenses.document_frequencies(none)).count() == 0
+    assert licenses.scan_licenses(none).count() == 0
+    clash = df.select("doc_id", "text", F.lit(7).alias("_license_words"), F.lit(8).alias("_Base"), F.lit(9).alias("_found"))
+    assert {(r._license_words, r._Base, r._found) for r in licenses.scan_licenses(clash).collect()} == {(7, 8, 9)}
 
 
 def test_bpe(spark, docs, none):
@@ -194,7 +197,7 @@ def test_secrets(spark, docs, none):
     rows = [(60, "secret: token = abcdefgh PASSWORD=\"é\" api-key:  'Zz9+/_.=-'"), (61, "AKIA" + "A" * 16 + " AKIA123 " + "0af" * 8 + "g"), (62, "é token=abcdefé -----BEGIN RSA PRIVATE KEY-----"), (63, "token=" + "a1" * 20)]
     df = docs.select("doc_id", "text", "spans").union(spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, spans string"))
     out = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in secret_scan.scan_secrets(df).collect()}
-    assert out[60] == [("assign", 47, 66)] or out[60] == [("assign", rows[0][1].index("api-key"), len(rows[0][1]) - 1)] or out[60] == []
+    assert out[60] == []  # "abcdefgh" follows "token = " only as a group of its own
     assert out[61] == [("access", 0, 20), ("hex", 29, 53)]
     assert out[62] == [("assign", 2, 14), ("pem", 16, 47)] and out[63] == [("assign", 0, 46), ("hex", 6, 46)]
     assert out[0] == [] and out[7] == [("assign", 0, 24)]
@@ -217,8 +220,8 @@ def test_decontamination(spark, docs, none):
     df = docs.select("doc_id", "text", "score").union(spark.createDataFrame([(k, t, 0.0) for k, t in rows + rows[:1]], "doc_id long, text string, score double"))
     out = sorted((r.doc_id, r.item_id, r.tiles, r.covered) for r in decontaminate.benchmark_hits(df, bench).collect())
     assert out == [(70, 1, 1, 12), (70, 1, 1, 12), (71, 1, 2, 12), (73, 4, 1, 2)]
-    split = sorted((r.doc_id, r.item_id, r.tiles, r.covered) for r in decontaminate.benchmark_hits(df, bench, max_block_chars=20).collect())
-    assert split == out
+    named = bench.select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("item_id"), "text")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.benchmark_hits(df, named).collect()) == [(70, "item 1"), (70, "item 1"), (71, "item 1"), (73, "item 4")]
     kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns and kept.count() == df.count() - 4
     assert decontaminate.benchmark_hits(none, bench).count() == 0 and decontaminate.benchmark_hits(df, bench.limit(0)).count() == 0
@@ -253,7 +256,7 @@ def test_tiles_equal_a_plain_search():
         assert all(a[i : i + n] == b[j : j + n] for i, j, n in got)
         assert len({x for i, _, n in got for x in range(i, i + n)}) == sum(n for *_, n in got)
         want = plain(a, b, 3)
-        assert max((n for *_, n in got), default=0) == max((n for *_, n in want), default=0)
+        assert sorted(n for *_, n in got) == sorted(n for *_, n in want)
 
 
 def test_jaccard(spark, docs, none):
