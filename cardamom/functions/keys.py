@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import normal_form
+
 
 def stable_key(book: Column, unit: Column, kind: Column, ordinal: Column, slug: Column) -> Column:
-    """SHA-256 of the JSON of the parts, names in order."""
-    return F.sha2(F.to_json(F.struct(book.alias("book"), kind.alias("kind"), ordinal.alias("ordinal"), slug.alias("slug"), unit.alias("unit"))), 256)
+    """SHA-256 of the JSON of the parts in NFC, names in order. Null if a part is null."""
+    nfc = normal_form("NFC")
+    # The names that are hashed.
+    parts = F.struct(nfc(book).alias("book"), ordinal.alias("ordinal"), nfc(slug).alias("slug"), kind.alias("type"), nfc(unit).alias("unit"))
+    whole = book.isNotNull() & unit.isNotNull() & kind.isNotNull() & ordinal.isNotNull() & slug.isNotNull()
+    return F.when(whole, F.sha2(F.to_json(parts), 256))
+
+
+def card_key(book: Column, unit: Column, word_order: Column, card_type: Column, target: Column, other: Column | None = None) -> Column:
+    """Stable key of a card: its slug is the type in lower case with hyphens, the target and, if there is one, the word it is told from."""
+    kind = F.lower(F.replace(card_type, F.lit("_"), F.lit("-")))
+    return stable_key(book, unit, F.lit("card"), word_order, F.concat_ws(":", kind, target, *([] if other is None else [other])))
+
+
+def canonical_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of a JSON object with its names sorted; nulls stay, as null."""
+    parts = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+    return F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256)
 
 
 def cache_key(provider: str, model: str, voice: str, text: Column, version: str) -> Column:

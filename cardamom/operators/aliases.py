@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..functions.text import normal_form
 
 MAX_DEPTH = 64
 
@@ -109,7 +110,7 @@ def key_continuity(old: DataFrame, new: DataFrame) -> DataFrame:
     kind: preserved, aliased, added, removed. Ambiguous identities match nothing and count as added and removed.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select("unit_key", F.lower(F.trim("headword")).alias("head"), F.col("word_key").alias(name))
+        rows = df.select("unit_key", F.lower(F.trim(normal_form("NFKC")("headword"))).alias("head"), F.col("word_key").alias(name))
         n = F.count("*").over(Window.partitionBy("unit_key", "head"))
         return rows.withColumn("_id", F.when(n == 1, "").otherwise(F.concat(F.lit(name), F.col(name))))
 

@@ -68,14 +68,32 @@ def required_releases(releases: DataFrame, sessions: DataFrame, aliases: DataFra
     return rows.groupBy("release_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("_r", "reason"))), lambda x: x["reason"]), ",").alias("reasons"))
 
 
-def retention_plan(releases: DataFrame, required: DataFrame, now_ms: int, keep_ms: int = 14 * 86_400_000) -> DataFrame:
-    """release_id, eligible, why_not: releases that may go are not required and were activated long enough ago."""
-    rows = releases.join(required, "release_id", "left")
-    why = F.array_compact(F.array(
-        F.when(F.col("reasons").isNotNull(), F.lit("required")), F.when(F.col("activated_at").isNull(), F.lit("never_active")),
-        F.when(F.col("activated_at") > now_ms - keep_ms, F.lit("recent")),
+def retention_plan(releases: DataFrame, sessions: DataFrame, progress: DataFrame, reviews: DataFrame, now_ms: int, days: int = 14) -> DataFrame:
+    """release_id, eligible, blocked_by: what keeps each release, in fixed order.
+
+    progress has introduced_release_id, reviews has presented_release_id; nulls refer to nothing.
+    """
+    referring = [
+        ("pinned", sessions.where(F.col("expires_at") > now_ms).select("release_id")),
+        ("introduced", progress.select(F.col("introduced_release_id").alias("release_id"))),
+        ("presented", reviews.select(F.col("presented_release_id").alias("release_id"))),
+        ("previous", previous_release(releases).select("release_id")),
+    ]
+    rows = releases
+    for name, ids in referring:
+        # As few rows as there are releases, once they are distinct.
+        rows = rows.join(ids.where("release_id IS NOT NULL").distinct().withColumn(f"_{name}", F.lit(True)), "release_id", "left")
+    # The codes and their order.
+    codes = F.array_compact(F.array(
+        F.when(F.col("status") != "RETIRED", F.lit("status-not-retired")),
+        F.when(F.col("_previous"), F.lit("immediately-previous-rollback-target")),
+        F.when(F.col("_pinned"), F.lit("session-pin")),
+        F.when(F.col("_introduced"), F.lit("introduced-reference")),
+        F.when(F.col("_presented"), F.lit("review-reference")),
+        F.when(F.col("activated_at").isNull(), F.lit("never-activated")).when(
+            now_ms - F.col("activated_at") < days * 86_400_000, F.lit(f"retention-window-{days}d")),
     ))
-    return rows.select("release_id", (F.size(why) == 0).alias("eligible"), F.array_join(why, ",").alias("why_not"))
+    return rows.select("release_id", (F.size(codes) == 0).alias("eligible"), F.array_join(codes, ",").alias("blocked_by"))
 
 
 def activation_plan(releases: DataFrame, target: str, now_ms: int) -> DataFrame:

@@ -45,7 +45,9 @@ def undo_latest(log: DataFrame, undos: DataFrame, sessions: DataFrame | None = N
     """The log with ``undone_at`` filled: each undo takes back its user's latest review so far that still stands.
 
     A user's reviews and undos are replayed in order as brackets: the number of open reviews after each event says
-    which review an undo closes, so no stack is kept. Undos without an open review do nothing.
+    which review an undo closes, so no stack is kept. Undos without an open review do nothing,
+    and neither do undos whose review belongs to no session of ``sessions`` (session_id, expires_at) or to one that has expired;
+    log then has the session's id. A user's later sessions must not expire before earlier ones.
     """
     events = log.select("user_id", F.col("reviewed_at").alias("at"), F.lit(0).alias("kind"), "event_id").unionByName(
         undos.select("user_id", F.col("undo_at").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("event_id")))
@@ -58,7 +60,12 @@ def undo_latest(log: DataFrame, undos: DataFrame, sessions: DataFrame | None = N
     near = Window.partitionBy("user_id", "_slot").orderBy("_place")
     paired = rows.withColumn("_slot", slot).withColumn("_next_kind", F.lead("kind").over(near)).withColumn("_next_at", F.lead("at").over(near))
     closed = paired.where("kind = 0").select("event_id", F.when(F.col("_next_kind") == 1, F.col("_next_at")).alias("undone_at"))
-    return log.drop("undone_at").join(closed, "event_id")
+    undone = log.drop("undone_at").join(closed, "event_id")
+    if sessions is None:
+        return undone
+    ends = sessions.select("session_id", F.col("expires_at").alias("_ends"))
+    in_time = F.when(F.col("undone_at") < F.col("_ends"), F.col("undone_at"))
+    return undone.join(ends, "session_id", "left").withColumn("undone_at", in_time).drop("_ends")
 
 
 def word_stages(log: DataFrame, cards: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def search(words: DataFrame, documents: DataFrame, queries: DataFrame, limit: in
     near = heads.join(keyed, "_first").where(prefix_match(F.col("headword"), F.col("query")))
     near = near.withColumn("_exact", ascii_lower(F.col("headword")) == ascii_lower(F.col("query")))
     near = near.withColumn("_n", F.count_if("_exact").over(Window.partitionBy("query")))
-    order = Window.partitionBy("query", "_exact").orderBy("word_key")
+    order = Window.partitionBy("query", "_exact").orderBy("unit_order", "source_order", "word_key")
     near = near.withColumn("_k", F.row_number().over(order)).where(F.col("_exact") | ((F.col("_n") < limit) & (F.col("_k") <= MAX_LIMIT)))
     by_head = near.select("query", "word_key", F.when(F.col("_exact"), "headword_exact").otherwise("headword_prefix").alias("field"), F.col("headword").alias("matched_text"), F.lit("").alias("_key"))
     field = F.when(F.col("entity_type") == "sense", "sense_gloss").otherwise(F.col("entity_type"))

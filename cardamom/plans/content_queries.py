@@ -239,15 +239,15 @@ def search_documents(spark, d):
 
 def _queries(spark, d):
     """What is searched: first words, their beginnings, whole heads and pairs of words, taken from the parts."""
-    return s.word(spark, d).where("p_partkey % 50 = 0").select(F.explode(F.array(
+    return s.word(spark, d).where("p_partkey % 20 = 0").select(F.explode(F.array(
         F.substring_index("headword", " ", 1), F.substring("headword", 1, 2), F.col("headword"),
         F.concat(F.substring_index("headword", " ", -1), F.lit(" th")), F.lit("  "))).alias("query")).distinct()
 
 
 _SEARCH = f"""{_DOCS},
-asked AS (SELECT DISTINCT trim(q) AS query FROM (SELECT unnest([split_part(headword, ' ', 1), substring(headword, 1, 2), headword, split_part(headword, ' ', -1) || ' th', '  ']) AS q FROM word WHERE p_partkey % 50 = 0) WHERE trim(q) <> ''),
-near AS (SELECT a.query, w.word_key, w.headword, lower(w.headword) = lower(a.query) AS exact FROM asked a JOIN word w ON starts_with(lower(w.headword), lower(a.query))),
-near2 AS (SELECT *, count(*) FILTER (exact) OVER (PARTITION BY query) AS n, row_number() OVER (PARTITION BY query, exact ORDER BY word_key) AS k FROM near),
+asked AS (SELECT DISTINCT trim(q) AS query FROM (SELECT unnest([split_part(headword, ' ', 1), substring(headword, 1, 2), headword, split_part(headword, ' ', -1) || ' th', '  ']) AS q FROM word WHERE p_partkey % 20 = 0) WHERE trim(q) <> ''),
+near AS (SELECT a.query, w.word_key, w.headword, w.source_order, u.unit_order, lower(w.headword) = lower(a.query) AS exact FROM asked a JOIN word w ON starts_with(lower(w.headword), lower(a.query)) JOIN unit u USING (unit_key)),
+near2 AS (SELECT *, count(*) FILTER (exact) OVER (PARTITION BY query) AS n, row_number() OVER (PARTITION BY query, exact ORDER BY unit_order, source_order, word_key) AS k FROM near),
 bh AS (SELECT query, word_key, CASE WHEN exact THEN 0 ELSE 1 END AS rank, CASE WHEN exact THEN 'headword_exact' ELSE 'headword_prefix' END AS field, headword AS matched_text, '' AS ekey FROM near2 WHERE exact OR (n < 20 AND k <= 50)),
 tk AS (SELECT entity_type, entity_key, word_key, text, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS token FROM docs),
 aq AS (SELECT query, unnest(list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')[1:8])) AS q, len(list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')[1:8])) AS n FROM asked),
@@ -296,7 +296,7 @@ def malformed_keys(spark, d):
     return rows.where(keys.malformed(F.col("word_key")))
 
 
-@_add("HA01_stable_keys", """SELECT word_key, sha256('{"book":"b1","kind":"word","ordinal":' || CAST(source_order AS VARCHAR) || ',"slug":"' || replace(lower(headword), ' ', '-') || '","unit":"' || unit_key || '"}') AS key FROM word""")
+@_add("HA01_stable_keys", """SELECT word_key, sha256('{"book":"b1","ordinal":' || CAST(source_order AS VARCHAR) || ',"slug":"' || nfc_normalize(replace(lower(headword), ' ', '-')) || '","type":"word","unit":"' || nfc_normalize(unit_key) || '"}') AS key FROM word""")
 def stable_keys(spark, d):
     key = keys.stable_key(F.lit("b1"), F.col("unit_key"), F.lit("word"), F.col("source_order"), text.slug(F.col("headword")))
     return s.word(spark, d).select("word_key", key.alias("key"))

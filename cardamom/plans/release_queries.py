@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import releases
 from ..sources import standins as s
 from ..sources.standins import NOW_MS, with_views
+from .study_queries import _STAGE, _progress
 
 QUERIES, ORACLES = {}, {}
 #: Sessions count as open for this long before the clock of the queries, so that some are.
@@ -98,11 +99,23 @@ def required_releases(spark, d):
     return releases.required_releases(s.content_release(spark, d), s.study_session(spark, d), s.content_key_alias(spark, d), _THEN)
 
 
-@_add("C15_retention_plan", f"""WITH {_REQ} SELECT c.release_id, req.reasons IS NULL AND c.activated_at IS NOT NULL AND c.activated_at <= {NOW_MS - 14 * 86_400_000} AS eligible,
-concat_ws(',', CASE WHEN req.reasons IS NOT NULL THEN 'required' END, CASE WHEN c.activated_at IS NULL THEN 'never_active' END, CASE WHEN c.activated_at > {NOW_MS - 14 * 86_400_000} THEN 'recent' END) AS why_not
-FROM content_release c LEFT JOIN req ON req.release_id = c.release_id""")
+# Stand-ins: the releases that progress and reviews refer to, by user.
+_KEPT = """intro AS (SELECT DISTINCT CASE user_id % 3 WHEN 1 THEN 'r1' WHEN 2 THEN 'r2' END AS release_id FROM stage WHERE stage = 'INTRODUCED'),
+pres AS (SELECT DISTINCT CASE WHEN user_id % 3 = 2 THEN 'r2' WHEN user_id % 3 = 1 AND rating = 4 THEN 'r1' END AS release_id FROM review_log),
+prev AS (SELECT release_id FROM content_release WHERE status <> 'ACTIVE' AND activated_at IS NOT NULL ORDER BY activated_at DESC, release_id LIMIT 1)"""
+
+
+@_add("C15_retention_plan", f"""WITH {_STAGE}, {_KEPT}, c AS (SELECT r.*, CASE WHEN status <> 'RETIRED' THEN 'status-not-retired' END AS k1,
+  CASE WHEN release_id IN (SELECT release_id FROM prev) THEN 'immediately-previous-rollback-target' END AS k2,
+  CASE WHEN release_id IN (SELECT release_id FROM study_session WHERE expires_at > {_THEN}) THEN 'session-pin' END AS k3,
+  CASE WHEN release_id IN (SELECT release_id FROM intro WHERE release_id IS NOT NULL) THEN 'introduced-reference' END AS k4,
+  CASE WHEN release_id IN (SELECT release_id FROM pres WHERE release_id IS NOT NULL) THEN 'review-reference' END AS k5,
+  CASE WHEN activated_at IS NULL THEN 'never-activated' WHEN {_THEN} - activated_at < {14 * 86_400_000} THEN 'retention-window-14d' END AS k6 FROM content_release r)
+SELECT release_id, concat_ws(',', k1, k2, k3, k4, k5, k6) = '' AS eligible, concat_ws(',', k1, k2, k3, k4, k5, k6) AS blocked_by FROM c""")
 def retention_plan(spark, d):
-    return releases.retention_plan(s.content_release(spark, d), required_releases(spark, d), NOW_MS)
+    introduced = _progress(spark, d).where("stage = 'INTRODUCED'").selectExpr("CASE user_id % 3 WHEN 1 THEN 'r1' WHEN 2 THEN 'r2' END AS introduced_release_id")
+    presented = s.review_log(spark, d).selectExpr("CASE WHEN user_id % 3 = 2 THEN 'r2' WHEN user_id % 3 = 1 AND rating = 4 THEN 'r1' END AS presented_release_id")
+    return releases.retention_plan(s.content_release(spark, d), s.study_session(spark, d), introduced, presented, _THEN)
 
 
 @_add("F02_resolve_release", f"""SELECT r.event_id AS request_id, CASE WHEN r.session_id IS NULL THEN 'ACTIVE' WHEN s.user_id IS NULL OR s.user_id <> r.user_id THEN 'SESSION_UNKNOWN' WHEN s.expires_at <= {_THEN} THEN 'SESSION_EXPIRED' ELSE 'PINNED' END AS code,

@@ -208,9 +208,17 @@ def _undos(spark, d):
         s.review_log(spark, d).where("event_id % 29 = 0").selectExpr("user_id", "reviewed_at + 90000 AS undo_at"))
 
 
-@_add("SS03_undo_latest")
+@_add("SS03_undo_latest", """
+WITH ev AS (SELECT user_id, reviewed_at AS moment, 0 AS kind, event_id FROM review_log
+  UNION ALL SELECT user_id, undone_at, 1, NULL FROM review_log WHERE undone_at IS NOT NULL UNION ALL SELECT user_id, reviewed_at + 90000, 1, NULL FROM review_log WHERE event_id % 29 = 0),
+raw AS (SELECT *, row_number() OVER w AS place, sum(CASE kind WHEN 0 THEN 1 ELSE -1 END) OVER w AS depth FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY moment, kind, event_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+deep AS (SELECT *, depth - least(min(depth) OVER (PARTITION BY user_id ORDER BY place ROWS UNBOUNDED PRECEDING), 0) + kind AS slot FROM raw),
+paired AS (SELECT *, lead(kind) OVER (PARTITION BY user_id, slot ORDER BY place) AS next_kind, lead(moment) OVER (PARTITION BY user_id, slot ORDER BY place) AS next_at FROM deep)
+SELECT p.event_id, p.user_id, p.moment AS reviewed_at, CASE WHEN next_kind = 1 AND next_at < s.expires_at THEN next_at END AS undone_at
+FROM paired p JOIN study_session s ON s.session_id = 'u' || CAST(p.user_id AS VARCHAR) || '.' || CAST(p.moment // 86400000 AS VARCHAR) WHERE kind = 0""")
 def undo_latest(spark, d):
-    return scheduling.undo_latest(s.review_log(spark, d), _undos(spark, d)).select("event_id", "user_id", "reviewed_at", "undone_at")
+    log = s.review_log(spark, d).withColumn("session_id", F.expr("concat('u', user_id, '.', reviewed_at div 86400000)"))
+    return scheduling.undo_latest(log, _undos(spark, d), s.study_session(spark, d)).select("event_id", "user_id", "reviewed_at", "undone_at")
 
 
 @_add("SS06_validate_positions", """

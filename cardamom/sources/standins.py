@@ -147,8 +147,8 @@ CTES = {
     "example": """SELECT 'ex.' || word_key || '.1' AS example_key, word_key, unit_key, 'They saw ' || CASE WHEN p_partkey % 15 = 0 THEN 'it' ELSE headword END || ' there ' || CAST(p_partkey % 40 AS VARCHAR) AS text FROM word WHERE p_partkey % 3 = 0""",
     "page_line": "SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
     "text_block": """SELECT doc_id AS page, line * 2 AS block, CAST(0.1 AS DOUBLE) AS x0, CAST(line AS DOUBLE) / 500 AS y0, CAST(0.9 AS DOUBLE) AS x1, CAST(line + 1 AS DOUBLE) / 500 AS y1, text,
-  CAST((doc_id * 31 + line * 17) % 100 AS DOUBLE) / 100 AS confidence FROM page_line WHERE line <= 400
-  UNION ALL SELECT doc_id, line * 2 + 1, CAST(0.1 AS DOUBLE), (CAST(line AS DOUBLE) + CAST(0.1 AS DOUBLE)) / 500, CAST(0.9 AS DOUBLE), (CAST(line AS DOUBLE) + CAST(1.1 AS DOUBLE)) / 500, text, CAST((doc_id * 37 + line * 11) % 100 AS DOUBLE) / 100 FROM page_line WHERE line <= 400 AND line % 10 = 0""",
+  CAST((doc_id * 31 + line * 17) % 100 AS DOUBLE) / 100 AS confidence FROM page_line
+  UNION ALL SELECT doc_id, line * 2 + 1, CAST(0.1 AS DOUBLE), (CAST(line AS DOUBLE) + CAST(0.1 AS DOUBLE)) / 500, CAST(0.9 AS DOUBLE), (CAST(line AS DOUBLE) + CAST(1.1 AS DOUBLE)) / 500, text, CAST((doc_id * 37 + line * 11) % 100 AS DOUBLE) / 100 FROM page_line WHERE line % 10 = 0""",
     "study_session": """SELECT 'u' || CAST(user_id AS VARCHAR) || '.' || CAST(day AS VARCHAR) AS session_id, user_id, CASE user_id % 3 WHEN 0 THEN 'r0' WHEN 1 THEN 'r1' ELSE 'r2' END AS release_id,
   created_at, created_at + 86400000 AS expires_at, cards FROM (SELECT user_id, reviewed_at // 86400000 AS day, min(reviewed_at) AS created_at, list_sort(list_distinct(list(content_card_key))) AS cards FROM review_log GROUP BY 1, 2)""",
     "content_release": "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{s}', {'NULL' if a is None else a})" for r, s, a in RELEASES) + ") AS t(release_id, status, activated_at)",

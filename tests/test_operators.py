@@ -117,3 +117,14 @@ def test_text_block_has_all_lines(spark, tmp_path):
     spark.createDataFrame([(1, "\n".join(["line"] * 906))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     blocks = [r.block for r in standins.text_block(spark, str(tmp_path)).select("block").collect()]
     assert sorted(blocks) == sorted([2 * k for k in range(1, 907)] + [2 * k + 1 for k in range(10, 907, 10)])
+
+
+def test_stable_key_vector(spark):
+    from pyspark.sql import functions as F
+
+    from cardamom.functions import keys
+
+    row = spark.range(1).select(keys.stable_key(F.lit("llcy-2024"), F.lit("u01"), F.lit("word"), F.lit(3), F.lit("abandon")).alias("k"),
+                                keys.stable_key(F.lit("b"), F.lit("u"), F.lit("word"), F.lit(1), F.lit("caf\u00e9")).alias("a"),
+                                keys.stable_key(F.lit("b"), F.lit("u"), F.lit("word"), F.lit(1), F.lit("cafe\u0301")).alias("b")).first()
+    assert row.k == "9a0f18ada558d783a3a0b13ed152bc2b0120c427c1cad75e15aa4fc0bf391e3d" and row.a == row.b
