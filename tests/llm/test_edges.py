@@ -41,7 +41,7 @@ def test_sharding_moves_little(spark):
     a = {r.doc_id: r.shard for r in sharding.shard_by_ring(rows, shards=10).collect()}
     b = {r.doc_id: r.shard for r in sharding.shard_by_ring(rows, shards=11).collect()}
     moved = sum(a[k] != b[k] for k in a) / len(a)
-    assert moved < 0.5  # hashing modulo the number of shards would move 10 of 11
+    assert moved < 0.15  # 1 of 11 at best; hashing modulo the number of shards would move 10 of 11
 
 
 def test_url_filter(spark):
@@ -209,7 +209,7 @@ def test_secrets(spark, docs, none):
 def test_trigram_queries():
     by = {r.kind: secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES}
     assert by["hex"] is None and by["access"] == [frozenset({"aki", "kia"})]
-    assert frozenset({"tok", "oke", "ken"}) in by["assign"] and frozenset({"pas", "ass", "ssw", "swd"}) & by["assign"][0] is not None
+    assert frozenset({"tok", "oke", "ken"}) in by["assign"] and frozenset({"pas", "ass", "ssw", "swd"}) in by["assign"] and len(by["assign"]) == 6
 
 
 def test_decontamination(spark, docs, none):
