@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read, small_batches
+from .common import fresh, memory_returned, read, small_batches
 
 #: Characters and tokens taken at a time; of longer texts, so many words at a time. Words that a task remembers.
 CHARS_AT_ONCE, TOKENS_AT_ONCE, WORDS_AT_ONCE, MAX_WORDS = 500_000, 150_000, 100_000, 200_000
@@ -116,7 +116,7 @@ class ByteBpe:
     def close(self) -> None:
         self.db.close()
         self.forget()
-        pa.default_memory_pool().release_unused()
+        self.ranks, self.reach = {}, None
 
     def _run(self, sql: str, **tables: pa.Table):
         for name, table in tables.items():
@@ -293,7 +293,7 @@ def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, t
 
     @F.arrow_udf(kind)
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        with closing(ByteBpe(path, pattern)) as bpe:
+        with memory_returned(), closing(ByteBpe(path, pattern)) as bpe:
             for batch in batches:
                 lengths = pc.binary_length(batch).fill_null(0).to_pylist()
                 lists, texts = [], []
@@ -322,7 +322,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "bytes") -> D
 
     @F.arrow_udf("binary")
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        with closing(ByteBpe(path, public_tokenizers.PATTERN)) as bpe:
+        with memory_returned(), closing(ByteBpe(path, public_tokenizers.PATTERN)) as bpe:
             for batch in batches:
                 sizes = np.asarray(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
                 yield pa.array(bpe.decode(sizes, batch.flatten().to_numpy(zero_copy_only=False)), pa.binary())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -15,7 +17,7 @@ from ..functions.lineage import cut, shared_folder  # noqa: F401
 MAX_BROADCAST_IDS = 500_000
 
 #: Bytes of texts in one Arrow batch, of which a task and its Python worker hold a few at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -64,6 +66,17 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
+@contextmanager
+def memory_returned() -> Iterator[None]:
+    """What the block frees goes back to the system, as Spark keeps idle Python workers beside those that work."""
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's limit of bytes in an Arrow batch to BATCH_BYTES, unless the user has set one; the rows in a batch follow."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

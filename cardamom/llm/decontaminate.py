@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, few, fresh, read, small_batches, texts_in
+from .common import cut, few, fresh, memory_returned, read, small_batches, texts_in
 
 WORD = re.compile(r"[^\W_]+")
 #: The bitmap of seeds has 16 bits a seed, but 2^26 bits (8 MB) at most; a fuller one lets more through to the join.
@@ -183,21 +183,22 @@ def candidates(texts: DataFrame, items: DataFrame, min_match: int, threshold: fl
 
     @F.arrow_udf("array<long>")
     def near(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        (bitmap, sizes), words = shared.value, WordHashes()
-        shift = np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
-        for batch in batches:
-            rows = []
-            for text in texts_in(batch):
-                values = words.of(text)
-                found = [np.empty(0, np.uint64)]
-                for size in sizes:
-                    if size <= len(values):
-                        h = _seed_hashes(values, size)
-                        at = h >> shift
-                        found.append(h[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1])
-                rows.append(np.unique(np.concatenate(found)).view(np.int64))
-            ends = np.cumsum([0, *map(len, rows)])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, np.int64)])))
+        with memory_returned():
+            (bitmap, sizes), words = shared.value, WordHashes()
+            shift = np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
+            for batch in batches:
+                rows = []
+                for text in texts_in(batch):
+                    values = words.of(text)
+                    found = [np.empty(0, np.uint64)]
+                    for size in sizes:
+                        if size <= len(values):
+                            h = _seed_hashes(values, size)
+                            at = h >> shift
+                            found.append(h[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1])
+                    rows.append(np.unique(np.concatenate(found)).view(np.int64))
+                ends = np.cumsum([0, *map(len, rows)])
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, np.int64)])))
 
     some = texts.select("_k1", "_k2", near("_text").alias("_near")).where(F.size("_near") > 0)
     once = some.groupBy("_k1", "_k2").agg(F.first("_near").alias("_near")).select("_k1", "_k2", F.explode("_near").alias("_h"))
