@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, fresh, read, small_batches, texts_in
+from .common import crc32_of_id, fresh, memory_returned, read, small_batches, texts_in
 
 WORD = re.compile(r"[^\W\d_]+")
 HASH_BITS = 20
@@ -62,22 +62,23 @@ def _ratio_of_table(hits: np.ndarray, df: np.ndarray, ones: np.ndarray, n: np.nd
     return 2 * (sum(map(_times_log, cells)) - sum(map(_times_log, margins)) + _times_log(n))
 
 
-def _counts(rows: list[np.ndarray], labels: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+def _counts(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Rows with each term, and rows with label 1 among them."""
-    if not rows:
-        return np.zeros(n_terms), np.zeros(n_terms)
-    terms = np.concatenate(rows)
-    return np.bincount(terms, minlength=n_terms).astype(float), np.bincount(terms, np.repeat(labels, [len(r) for r in rows]), minlength=n_terms)
+    df, hits = np.zeros(n_terms), np.zeros(n_terms)
+    for some in (slice(i, i + at_once) for i in range(0, len(rows), at_once)):
+        terms = np.concatenate(rows[some])
+        df += np.bincount(terms, minlength=n_terms)
+        hits += np.bincount(terms, np.repeat(labels[some], [len(r) for r in rows[some]]), minlength=n_terms)
+    return df, hits
 
 
-def _paired_terms(rows: list[np.ndarray], labels: np.ndarray, significance: float, n_terms: int, block: int = 256) -> np.ndarray:
+def _paired_terms(rows: list[np.ndarray], labels: np.ndarray, df: np.ndarray, hits: np.ndarray, significance: float, block: int = 256) -> np.ndarray:
     """Terms of the pairs that say more than either of their terms.
 
     A pair counts if, among the rows with one term, G of the other's presence and the label reaches ``significance``
     with more of label 1, whichever of the two is taken first. G is at most twice the entropy of the first term's labels,
     so terms below that can't be in such a pair and are left out; of the others, all pairs are counted.
     """
-    df, hits = _counts(rows, labels, n_terms)
     kept = np.flatnonzero((df > 0) & (2 * (_times_log(df) - _times_log(hits) - _times_log(df - hits)) >= significance))
     # The fewest rows of label 1 with which a pair can reach it: G is largest if no other row has the pair.
     least = np.full(len(kept), np.inf)
@@ -88,7 +89,7 @@ def _paired_terms(rows: list[np.ndarray], labels: np.ndarray, significance: floa
     order = np.argsort(least, kind="stable")
     kept, least = kept[order], least[order]
     # The rows of each kept term, those with label 1 first; only blocks of terms are spread out.
-    place = np.full(n_terms, -1, np.int32)
+    place = np.full(len(df), -1, np.int32)
     place[kept] = np.arange(len(kept))
     ones, order = int(labels.sum()), np.argsort(-labels, kind="stable")
     terms = place[np.concatenate([rows[i] for i in order])].astype(np.int32)
@@ -211,13 +212,20 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, ep
     slot = np.zeros(n_terms, np.int32)
     if not rows or positive in (0.0, n):
         return FactorizationMachine(slot, w0, np.zeros(1), np.zeros((1, factors)))
+    # From here on terms are numbered, so that arrays are as long as the terms that occur.
+    present = np.flatnonzero(df)
+    df, hits = df[present], hits[present]
+    number = np.zeros(n_terms, np.int32)
+    number[present] = np.arange(len(present))
+    rows = [number[r] for r in rows]
     screened = _ratio_of_table(hits, df, np.array([positive]), np.array([n])) >= significance
     if not screened.all():
-        screened[_paired_terms(rows, labels, significance, n_terms)] = True
+        screened[_paired_terms(rows, labels, df, hits, significance)] = True
     seen = np.concatenate([np.flatnonzero(screened), np.flatnonzero(~screened & (df >= min_rows))])
-    slot[seen] = np.arange(1, len(seen) + 1)
+    slot[present[seen]] = np.arange(1, len(seen) + 1)
     first = int(screened.sum())
-    coded = [s[s > 0] for s in (slot[r] for r in rows)]  # 32-bit, as the terms of rows may be
+    coded = [s[s > 0] for s in (slot[present[r]] for r in rows)]
+    del rows, number
 
     def fitted(of: np.ndarray, more: int, held_out: tuple[list[np.ndarray], np.ndarray] | None = None):
         w, v = np.zeros(len(seen) + 1), np.zeros((len(seen) + 1, factors))
@@ -258,13 +266,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAININ
     coded = sample.select("_id", "_toxic", F.xxhash64("_text").alias("_hash"), terms("_text").alias("_terms"))
     # One row an id and label, so no more rows than the sample of ids has.
     found = coded.groupBy("_id", "_toxic").agg(F.min(F.struct("_hash", "_terms")).alias("_least")).select("_id", "_toxic", "_least._terms").toArrow()
-    order = np.lexsort((found["_toxic"].to_numpy(), found["_id"].to_numpy()))
+    order, marks = np.lexsort((found["_toxic"].to_numpy(), found["_id"].to_numpy())), found["_toxic"].to_numpy()
     lists = found["_terms"].combine_chunks()
     flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    marks = found["_toxic"].to_numpy()
+    del found
     # Copies would count as evidence again and again.
     distinct = {(blake2b(flat[ends[i] : ends[i + 1]].tobytes()).digest(), int(marks[i])): i for i in order[::-1].tolist()}
-    return fit_machine([flat[ends[i] : ends[i + 1]] for i in distinct.values()], np.array([y for _, y in distinct], float))
+    with memory_returned():
+        return fit_machine([flat[ends[i] : ends[i + 1]] for i in distinct.values()], np.array([y for _, y in distinct], float))
 
 
 def score_toxicity(df: DataFrame, model: FactorizationMachine, text: str = "text", into: str = "score") -> DataFrame:
@@ -278,9 +287,10 @@ def score_toxicity(df: DataFrame, model: FactorizationMachine, text: str = "text
 
     @F.arrow_udf("double")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = shared.value
-        for texts in batches:
-            yield pa.array([machine.score(hashed_terms(t)) for t in texts_in(texts)], pa.float64())
+        with memory_returned():
+            machine = shared.value
+            for texts in batches:
+                yield pa.array([machine.score(hashed_terms(t)) for t in texts_in(texts)], pa.float64())
 
     return df.withColumn(into, scores(F.col(text)))
 
