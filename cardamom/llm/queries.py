@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, filter_audit, jaccard, language_id, licenses, quality, secret_scan, sharding, toxicity, url_filter
+from . import byte_bpe, collocations, decontaminate, filter_audit, jaccard, language_id, licenses, quality, secret_scan, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_language_id": language_id.op10_language_id,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_collocations": collocations.op12_collocations,
 }
 
 ORACLES = {
     "op8_ngram_jaccard": jaccard.ORACLE_SQL,
     "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
 }
