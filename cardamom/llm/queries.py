@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, collocations, decontaminate, filter_audit, jaccard, language_id, licenses, quality, secret_scan, sharding, toxicity, url_filter
+from . import byte_bpe, collocations, decontaminate, filter_audit, jaccard, language_id, licenses, quality, secret_scan, sharding, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_collocations": collocations.op12_collocations,
+    "op13_token_files": token_files.op13_token_files,
 }
 
 ORACLES = {
