@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import card_key
+
 # Card types in teaching order.
 CARD_TYPE_RANK = {"WORD_MEANING": 0, "CONTEXT_MEANING": 1, "PHRASE": 2, "SENSE_DISCRIMINATION": 3}
 REVIEW_LIMIT = 100
@@ -22,16 +24,16 @@ def queue_order(cards: DataFrame, words: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order))
 
 
-def generate_cards(words: DataFrame, senses: DataFrame, phrases: DataFrame, examples: DataFrame) -> DataFrame:
-    """One card a sense, example and phrase, with a stable key from book unit, type and target."""
+def generate_cards(words: DataFrame, senses: DataFrame, phrases: DataFrame, examples: DataFrame, book: str) -> DataFrame:
+    """One card a sense, example and phrase, with the stable key of its book, unit, word's place, type and target."""
     parts = [
         senses.select("unit_key", "word_key", F.lit("WORD_MEANING").alias("card_type"), F.col("sense_key").alias("target_entity_key")),
         examples.select("unit_key", "word_key", F.lit("CONTEXT_MEANING").alias("card_type"), F.col("example_key").alias("target_entity_key")),
         phrases.select("unit_key", "word_key", F.lit("PHRASE").alias("card_type"), F.col("phrase_key").alias("target_entity_key")),
     ]
-    cards = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(words.select("word_key"), "word_key", "left_semi")
-    key = F.sha2(F.concat_ws("|", "unit_key", F.lower("card_type"), "target_entity_key"), 256)
-    return cards.withColumn("content_card_key", key)
+    cards = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(words.select("word_key", "source_order"), "word_key")
+    key = card_key(F.lit(book), F.col("unit_key"), F.col("source_order"), F.col("card_type"), F.col("target_entity_key"))
+    return cards.withColumn("content_card_key", key).drop("source_order")
 
 
 def cardless_words(words: DataFrame, cards: DataFrame) -> DataFrame:

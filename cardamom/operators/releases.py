@@ -96,12 +96,23 @@ def retention_plan(releases: DataFrame, sessions: DataFrame, progress: DataFrame
     return rows.select("release_id", (F.size(codes) == 0).alias("eligible"), F.array_join(codes, ",").alias("blocked_by"))
 
 
-def activation_plan(releases: DataFrame, target: str, now_ms: int) -> DataFrame:
-    """Status of every release after the target is activated: the active one retires. Only a STAGED or RETIRED target may be activated."""
-    chosen = F.col("release_id") == target
-    legal = chosen & F.col("status").isin("STAGED", "RETIRED")
-    status = F.when(legal, "ACTIVE").when((F.col("status") == "ACTIVE") & ~chosen, "RETIRED").otherwise(F.col("status"))
-    return releases.select("release_id", F.col("status").alias("before"), status.alias("after"), F.when(legal, F.lit(now_ms)).otherwise(F.col("activated_at")).alias("activated_at"))
+# From which status a release may become active.
+ACTIVATABLE = ("READY", "RETIRED")
+
+
+def activation_plan(releases: DataFrame, targets: DataFrame, now_ms: int) -> DataFrame:
+    """target, code, release_id, before, after, activated_at: every release's status after an attempt to activate each target.
+
+    An unknown target (RELEASE_UNKNOWN) or one that isn't READY or RETIRED (ILLEGAL_TRANSITION) is refused, and then nothing changes. Otherwise it becomes
+    ACTIVE and the active one RETIRED. The catalogue of releases is small and goes to each target as one array.
+    """
+    known = releases.select(F.col("release_id").alias("target"), F.col("status").alias("_status"))
+    code = F.when(F.col("_status").isNull(), "RELEASE_UNKNOWN").when(~F.col("_status").isin(*ACTIVATABLE), "ILLEGAL_TRANSITION").otherwise("OK")
+    catalogue = releases.agg(F.collect_list(F.struct("release_id", F.col("status").alias("before"), "activated_at")).alias("_all"))
+    rows = targets.select("target").distinct().join(known, "target", "left").withColumn("code", code).join(F.broadcast(catalogue)).select("target", "code", F.inline("_all"))
+    chosen = F.col("release_id") == F.col("target")
+    after = F.when(F.col("code") != "OK", F.col("before")).when(chosen, "ACTIVE").when(F.col("before") == "ACTIVE", "RETIRED").otherwise(F.col("before"))
+    return rows.withColumn("after", after).withColumn("activated_at", F.when((F.col("code") == "OK") & chosen, F.lit(now_ms)).otherwise(F.col("activated_at")))
 
 
 def resolve_release(requests: DataFrame, sessions: DataFrame, releases: DataFrame, now_ms: int) -> DataFrame:
@@ -114,12 +125,25 @@ def resolve_release(requests: DataFrame, sessions: DataFrame, releases: DataFram
     return rows.withColumn("code", code).select("request_id", "code", F.when(F.col("code") == "PINNED", F.col("_pinned")).otherwise(F.col("_active")).alias("release_id"))
 
 
-def set_digest(df: DataFrame, columns: list[str], group: str, buckets: int = 64) -> DataFrame:
-    """group, rows, digest of a keyed set, whatever the order of its rows: digests of sorted buckets, then a digest of those."""
-    line = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-    rows = df.select(F.col(group), line.alias("_line")).withColumn("_b", F.pmod(F.crc32(F.col("_line").cast("binary")), F.lit(buckets)))
-    parts = rows.groupBy(group, "_b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_line")), "\n"), 256).alias("_d"), F.count("*").alias("_n"))
-    return parts.groupBy(group).agg(F.sum("_n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda x: x["_d"]), "\n"), 256).alias("digest"))
+def set_digest(df: DataFrame, columns: list[str], group: str) -> DataFrame:
+    """group, rows, sum1 to sum4, digest of a keyed multiset, whatever the order of its rows.
+
+    Each row's JSON (names in order, nulls kept, so no two rows are written alike) is hashed to four numbers of 60 bits, which are summed
+    exactly. Sums of parts add up to those of the whole, so increments need no second look at what is there; ``merge_digests`` adds them.
+    """
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c).alias(c) for c in columns]), {"ignoreNullFields": "false"}), 256)
+    part = lambda k: F.conv(F.substring("_h", 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")
+    sums = [F.sum(part(k)).cast("decimal(38,0)").alias(f"sum{k + 1}") for k in range(4)]
+    return _with_digest(df.select(F.col(group), digest.alias("_h")).groupBy(group).agg(F.count("*").alias("rows"), *sums))
+
+
+def merge_digests(digests: DataFrame, group: str) -> DataFrame:
+    """The digests of whole groups from those of their parts, as ``set_digest`` gives them."""
+    return _with_digest(digests.groupBy(group).agg(F.sum("rows").alias("rows"), *[F.sum(f"sum{k}").cast("decimal(38,0)").alias(f"sum{k}") for k in range(1, 5)]))
+
+
+def _with_digest(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("digest", F.sha2(F.concat_ws("-", "rows", *[F.col(f"sum{k}").cast("string") for k in range(1, 5)]), 256))
 
 
 def word_entries(words: DataFrame, senses: DataFrame, phrases: DataFrame, examples: DataFrame) -> DataFrame:

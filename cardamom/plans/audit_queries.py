@@ -97,9 +97,9 @@ def release_checks(spark, d):
         "missing_alias_ends": aliases.missing_ends(s.content_key_alias(spark, d), some)})
 
 
-_FIND = """fnd AS (SELECT p.unit_key, 'PHRASE_WITHOUT_HEAD' AS code FROM phrase p JOIN word w USING (word_key) WHERE NOT contains(lower(p.text), lower(w.headword)) AND w.p_partkey % 4 = 0
-  UNION ALL SELECT e.unit_key, 'EXAMPLE_WITHOUT_HEAD' FROM example e JOIN word w USING (word_key) WHERE NOT contains(lower(e.text), lower(w.headword)) AND w.p_partkey % 8 = 0
-  UNION ALL SELECT unit_key, 'NO_PHRASE' FROM word WHERE p_partkey % 97 = 1 AND word_key NOT IN (SELECT word_key FROM phrase))"""
+_FIND = """fnd AS (SELECT p.unit_key, 'PHRASE_WITHOUT_HEAD' AS code FROM phrase p JOIN word w USING (word_key) WHERE NOT contains(lower(p.text), lower(w.headword))
+  UNION ALL SELECT e.unit_key, 'EXAMPLE_WITHOUT_HEAD' FROM example e JOIN word w USING (word_key) WHERE NOT contains(lower(e.text), lower(w.headword))
+  UNION ALL SELECT unit_key, 'NO_PHRASE' FROM word WHERE word_key NOT IN (SELECT word_key FROM phrase))"""
 
 
 @_add("C31_validate_units", f"WITH {_FIND} SELECT u.unit_key, CASE WHEN f.codes IS NULL THEN 'PASSED' ELSE 'BLOCKED' END AS status, coalesce(f.codes, '') AS codes FROM unit u LEFT JOIN (SELECT unit_key, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM fnd GROUP BY 1) f USING (unit_key)")
@@ -107,14 +107,14 @@ def validate_units(spark, d):
     words = s.word(spark, d)
     forms = F.array(F.lower("headword"))
 
-    def without_head(df, key, every, code):
+    def without_head(df, key, code):
         texts = df.select(F.col(key).alias("entity_key"), "word_key", "unit_key", "text")
-        bad = releases.ownership_findings(words.where(F.col("p_partkey") % every == 0), texts, forms)
+        bad = releases.ownership_findings(words, texts, forms)
         return bad.select("unit_key", F.lit(code).alias("code"))
 
     findings = review.union_all([
-        without_head(s.phrase(spark, d), "phrase_key", 4, "PHRASE_WITHOUT_HEAD"), without_head(s.example(spark, d), "example_key", 8, "EXAMPLE_WITHOUT_HEAD"),
-        words.where("p_partkey % 97 = 1").join(s.phrase(spark, d), "word_key", "left_anti").select("unit_key", F.lit("NO_PHRASE").alias("code"))])
+        without_head(s.phrase(spark, d), "phrase_key", "PHRASE_WITHOUT_HEAD"), without_head(s.example(spark, d), "example_key", "EXAMPLE_WITHOUT_HEAD"),
+        words.join(s.phrase(spark, d), "word_key", "left_anti").select("unit_key", F.lit("NO_PHRASE").alias("code"))])
     return audit.unit_verdicts(s.unit(spark, d), findings)
 
 

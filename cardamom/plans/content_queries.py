@@ -162,11 +162,11 @@ def queue_order(spark, d):
     return cards.queue_order(s.card_definition(spark, d), s.word(spark, d)).select("unit_key", "content_card_key", "place")
 
 
-@_add("C06_generate_cards", """SELECT unit_key, word_key, card_type, target_entity_key, sha256(unit_key || '|' || lower(card_type) || '|' || target_entity_key) AS content_card_key FROM (
+@_add("C06_generate_cards", """SELECT unit_key, word_key, card_type, target_entity_key, sha256('{"book":"b1","ordinal":' || CAST(w.source_order AS VARCHAR) || ',"slug":"' || replace(lower(card_type), '_', '-') || ':' || target_entity_key || '","type":"card","unit":"' || unit_key || '"}') AS content_card_key FROM (
   SELECT unit_key, word_key, 'WORD_MEANING' AS card_type, sense_key AS target_entity_key FROM sense UNION ALL SELECT unit_key, word_key, 'CONTEXT_MEANING', example_key FROM example
-  UNION ALL SELECT unit_key, word_key, 'PHRASE', phrase_key FROM phrase)""")
+  UNION ALL SELECT unit_key, word_key, 'PHRASE', phrase_key FROM phrase) c JOIN (SELECT word_key, source_order FROM word) w USING (word_key)""")
 def generate_cards(spark, d):
-    return cards.generate_cards(s.word(spark, d), s.sense(spark, d), s.phrase(spark, d), s.example(spark, d))
+    return cards.generate_cards(s.word(spark, d), s.sense(spark, d), s.phrase(spark, d), s.example(spark, d), "b1")
 
 
 @_add("A10_card_counts", "SELECT unit_key, count(*) FILTER (card_type = 'WORD_MEANING') AS WORD_MEANING, count(*) FILTER (card_type = 'CONTEXT_MEANING') AS CONTEXT_MEANING, count(*) FILTER (card_type = 'PHRASE') AS PHRASE, count(*) FILTER (card_type = 'SENSE_DISCRIMINATION') AS SENSE_DISCRIMINATION FROM card_definition GROUP BY 1")

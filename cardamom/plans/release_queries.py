@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import releases
@@ -129,9 +132,26 @@ def resolve_release(spark, d):
     return releases.resolve_release(requests, s.study_session(spark, d), s.content_release(spark, d), _THEN)
 
 
-@_add("A22_set_digest")
+_LINE = "sha256(to_json({'content_card_key': content_card_key, 'card_type': card_type, 'status': CASE WHEN status = 'ACTIVE' THEN status END}))"
+
+
+@_add("A22_set_digest", f"""WITH h AS (SELECT unit_key, {_LINE} AS h FROM card_definition),
+q AS (SELECT unit_key, count(*) AS rows, {", ".join(f"sum(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT) AS sum{k + 1}" for k in range(4))} FROM h GROUP BY 1)
+SELECT unit_key, rows, sha256(concat_ws('-', rows, sum1, sum2, sum3, sum4)) AS digest FROM q""")
 def set_digest(spark, d):
-    return releases.set_digest(s.card_definition(spark, d), ["content_card_key", "card_type", "status"], "unit_key")
+    rows = s.card_definition(spark, d).withColumn("status", F.expr("CASE WHEN status = 'ACTIVE' THEN status END"))
+    columns = ["content_card_key", "card_type", "status"]
+    parts = [releases.set_digest(rows.where(F.col("card_type") == kind), columns, "unit_key") for _, kind, _ in s.CARD_TYPES]  # the sums of parts add up
+    return releases.merge_digests(reduce(DataFrame.unionByName, parts), "unit_key").select("unit_key", "rows", "digest")
+
+
+@_add("C14_activation_plan", f"""WITH t AS (SELECT DISTINCT release_id AS target FROM study_session UNION SELECT unnest(['r3', 'r4', 'none'])),
+c AS (SELECT target, CASE WHEN status IS NULL THEN 'RELEASE_UNKNOWN' WHEN status NOT IN ('READY', 'RETIRED') THEN 'ILLEGAL_TRANSITION' ELSE 'OK' END AS code FROM t LEFT JOIN content_release r ON r.release_id = t.target)
+SELECT target, code, release_id, status AS before, CASE WHEN code <> 'OK' THEN status WHEN release_id = target THEN 'ACTIVE' WHEN status = 'ACTIVE' THEN 'RETIRED' ELSE status END AS after,
+  CASE WHEN code = 'OK' AND release_id = target THEN {NOW_MS} ELSE activated_at END AS activated_at FROM c CROSS JOIN content_release""")
+def activation_plan(spark, d):
+    targets = s.study_session(spark, d).select(F.col("release_id").alias("target")).unionByName(spark.createDataFrame([("r3",), ("r4",), ("none",)], "target string"))
+    return releases.activation_plan(s.content_release(spark, d), targets, NOW_MS)
 
 
 @_add("A24_row_counts", "SELECT 'cards' AS name, count(*) AS n FROM card_definition UNION ALL SELECT 'examples', count(*) FROM example UNION ALL SELECT 'phrases', count(*) FROM phrase UNION ALL SELECT 'reviews', count(*) FROM review_log UNION ALL SELECT 'senses', count(*) FROM sense UNION ALL SELECT 'sessions', count(*) FROM study_session UNION ALL SELECT 'words', count(*) FROM word")

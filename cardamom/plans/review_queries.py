@@ -88,9 +88,9 @@ def refresh_packets(spark, d):
     return review.refresh_packets(_packets(spark, d), _results(spark, d), declared)
 
 
-@_add("C35_blocked_units", f"WITH {_PKT} SELECT DISTINCT unit_key FROM pkt JOIN res USING (packet) WHERE verdict = 'block' AND seq % 5 = 0")
+@_add("C35_blocked_units", f"WITH {_PKT} SELECT DISTINCT unit_key FROM pkt JOIN res USING (packet) WHERE verdict = 'block'")
 def blocked_units(spark, d):
-    return _packets(spark, d).join(_results(spark, d).where("verdict = 'block' AND seq % 5 = 0").select("packet"), "packet", "left_semi").select("unit_key").distinct()
+    return _packets(spark, d).join(_results(spark, d).where("verdict = 'block'").select("packet"), "packet", "left_semi").select("unit_key").distinct()
 
 
 @_add("X04_multiset_diff", f"""WITH {_PKT}, a AS (SELECT verdict, role, count(*) AS n FROM res JOIN pkt USING (packet) WHERE seq % 3 = 0 GROUP BY 1, 2), b AS (SELECT verdict, role, count(*) AS n FROM res JOIN pkt USING (packet) WHERE seq % 4 = 0 GROUP BY 1, 2)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, fsrs
-from ..operators import scheduling, stats
+from ..operators import replay, scheduling, stats
 from ..sources import standins as s
 from ..sources.standins import NOW_MS, with_views
 
@@ -221,6 +221,49 @@ def undo_latest(spark, d):
     return scheduling.undo_latest(log, _undos(spark, d), s.study_session(spark, d)).select("event_id", "user_id", "reviewed_at", "undone_at")
 
 
+def _replayed(spark, d):
+    """Grades of the log, undos of some, too late or not the latest, of unknown ids and of one another; every 23rd event is sent again."""
+    rows = s.review_attempt(spark, d).join(s.study_session(spark, d).selectExpr("user_id", "created_at div 86400000 AS day", "expires_at"), "user_id").where("reviewed_at div 86400000 = day")
+    grades = rows.selectExpr("user_id", "event_id", "ingest_seq AS seq", "reviewed_at AS at", "'grade' AS kind", "content_card_key AS card", "CAST(rating AS INT) AS rating",
+                             "expires_at - CASE WHEN event_id % 7 = 0 THEN 86400000 ELSE 0 END AS expires_at", "CAST(NULL AS BIGINT) AS target")
+    undo = ("user_id", "-event_id AS event_id", "ingest_seq AS seq", "undone_at AS at", "'undo' AS kind", "CAST(NULL AS STRING) AS card", "CAST(NULL AS INT) AS rating",
+            "CAST(NULL AS BIGINT) AS expires_at", "CASE WHEN event_id % 5 = 0 THEN event_id + 1 WHEN event_id % 3 = 0 THEN -event_id ELSE event_id END AS target")
+    log = s.review_log(spark, d).where("undone_at IS NOT NULL")
+    again = log.where("event_id % 2 = 0").selectExpr("user_id", "event_id", "ingest_seq", "undone_at + 1 AS undone_at").selectExpr(*undo).withColumn("event_id", F.expr("event_id - 1000000000"))
+    return grades.unionByName(log.selectExpr(*undo)).unionByName(again)
+
+
+@_add("U07_replay_users", """
+WITH RECURSIVE grade AS (
+  SELECT r.user_id, event_id, ingest_seq AS seq, reviewed_at AS moment, 'grade' AS kind, content_card_key AS card, expires_at - CASE WHEN event_id % 7 = 0 THEN 86400000 ELSE 0 END AS ends, NULL::BIGINT AS target
+  FROM review_attempt r JOIN study_session s ON s.user_id = r.user_id AND s.created_at // 86400000 = reviewed_at // 86400000),
+undo AS (
+  SELECT user_id, -event_id AS event_id, ingest_seq AS seq, undone_at AS moment, 'undo' AS kind, NULL::VARCHAR AS card, NULL::BIGINT AS ends,
+    CASE WHEN event_id % 5 = 0 THEN event_id + 1 WHEN event_id % 3 = 0 THEN -event_id ELSE event_id END AS target
+  FROM review_log WHERE undone_at IS NOT NULL),
+every AS (SELECT * FROM grade UNION ALL SELECT * FROM undo UNION ALL SELECT user_id, event_id - 1000000000, seq, moment + 1, kind, card, ends, target FROM undo WHERE event_id % 2 = 0),
+claimed AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY seq, moment, user_id) AS nth FROM every),
+ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment, seq, event_id) AS place FROM claimed WHERE nth = 1),
+walk AS (
+  SELECT user_id, 0 AS place, [] ::STRUCT(id BIGINT, ends BIGINT)[] AS stack, []::BIGINT[] AS undone, []::BIGINT[] AS graded, NULL::BIGINT AS event_id, NULL::VARCHAR AS code, NULL::VARCHAR AS kind FROM (SELECT DISTINCT user_id FROM ev)
+  UNION ALL
+  SELECT user_id, place, CASE WHEN kind = 'grade' THEN list_append(stack, {'id': event_id, 'ends': ends}) WHEN code = 'OK' THEN stack[:-2] ELSE stack END,
+    CASE WHEN kind = 'undo' AND code = 'OK' THEN list_append(undone, target) ELSE undone END, CASE WHEN kind = 'grade' THEN list_append(graded, event_id) ELSE graded END, event_id, code, kind
+  FROM (
+    SELECT e.user_id, e.place, w.stack, w.undone, w.graded, e.event_id, e.kind, e.target, e.ends,
+      CASE WHEN e.kind = 'grade' THEN 'OK' WHEN NOT list_contains(w.graded, e.target) THEN 'REVIEW_EVENT_NOT_FOUND' WHEN list_contains(w.undone, e.target) THEN 'REVIEW_EVENT_UNDONE'
+        WHEN w.stack[-1].id <> e.target THEN 'REVIEW_UNDO_NOT_LATEST' WHEN e.moment >= w.stack[-1].ends THEN 'STUDY_SESSION_EXPIRED' ELSE 'OK' END AS code
+    FROM walk w JOIN ev e ON e.user_id = w.user_id AND e.place = w.place + 1)),
+final AS (SELECT user_id, unnest(stack).id AS event_id FROM walk QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY place DESC) = 1)
+SELECT user_id, 'event' AS what, CAST(event_id AS VARCHAR) AS name, code, NULL::INT AS reps FROM walk WHERE place > 0
+UNION ALL SELECT user_id, 'event', CAST(event_id AS VARCHAR), 'REPLAYED', NULL FROM claimed WHERE nth > 1
+UNION ALL SELECT f.user_id, 'card', card, NULL, count(*)::INT FROM final f JOIN ev e ON e.event_id = f.event_id GROUP BY f.user_id, card""")
+def replay_users(spark, d):
+    out = replay.replay_users(_replayed(spark, d))
+    event = F.col("event_id").isNotNull()
+    return out.select("user_id", F.when(event, "event").otherwise("card").alias("what"), F.when(event, F.col("event_id").cast("string")).otherwise(F.col("card")).alias("name"), "code", "reps")
+
+
 @_add("SS06_validate_positions", """
 WITH ev AS (SELECT 'u' || CAST(user_id AS VARCHAR) || '.' || CAST(reviewed_at // 86400000 AS VARCHAR) AS session_id, user_id, event_id, content_card_key, reviewed_at FROM review_log),
 p AS (SELECT ev.*, row_number() OVER (PARTITION BY ev.session_id ORDER BY ev.reviewed_at, ev.event_id) - 1 AS position FROM ev)

@@ -85,13 +85,13 @@ def sense(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word(spark, sf_dir).where("p_partkey % 2 = 0").selectExpr(
         "concat('ph.', word_key, '.1') AS phrase_key", "word_key", "unit_key",
-        "concat(CASE WHEN p_partkey % 9 = 0 THEN 'some' ELSE headword END, ' in use') AS text", "concat('use ', p_partkey) AS gloss")
+        "concat(CASE WHEN p_partkey % 9 = 0 AND unit_key NOT LIKE '%1' THEN 'some' ELSE headword END, ' in use') AS text", "concat('use ', p_partkey) AS gloss")
 
 
 def example(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word(spark, sf_dir).where("p_partkey % 3 = 0").selectExpr(
         "concat('ex.', word_key, '.1') AS example_key", "word_key", "unit_key",
-        "concat('They saw ', CASE WHEN p_partkey % 15 = 0 THEN 'it' ELSE headword END, ' there ', p_partkey % 40) AS text")
+        "concat('They saw ', CASE WHEN p_partkey % 15 = 0 AND unit_key NOT LIKE '%2' THEN 'it' ELSE headword END, ' there ', p_partkey % 40) AS text")
 
 
 def page_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def study_session(spark: SparkSession, sf_dir: str) -> DataFrame:
                  "created_at", "created_at + 86400000 AS expires_at", "cards")
 
 
-RELEASES = [("r0", "RETIRED", NOW_MS - 40 * 86_400_000), ("r1", "RETIRED", NOW_MS - 20 * 86_400_000), ("r2", "ACTIVE", NOW_MS - 5 * 86_400_000), ("r3", "STAGED", None)]
+RELEASES = [("r0", "RETIRED", NOW_MS - 40 * 86_400_000), ("r1", "RETIRED", NOW_MS - 20 * 86_400_000), ("r2", "ACTIVE", NOW_MS - 5 * 86_400_000), ("r3", "READY", None), ("r4", "IMPORTING", None)]
 
 
 # The same views for DuckDB, in order of need.
@@ -143,8 +143,8 @@ CTES = {
   UNION ALL SELECT 'r2', word_key || 'a', word_key || 'b', word_key || 'b' FROM word WHERE p_partkey % 14 = 0""",
     "sense": """SELECT 's.' || word_key || '.' || CAST(n.sense_order AS VARCHAR) AS sense_key, word_key, unit_key, 'n' AS pos, headword || ' sense ' || CAST(n.sense_order AS VARCHAR) AS gloss, n.sense_order
   FROM word JOIN (VALUES (1), (2)) AS n(sense_order) ON n.sense_order <= 1 + p_partkey % 2""",
-    "phrase": """SELECT 'ph.' || word_key || '.1' AS phrase_key, word_key, unit_key, CASE WHEN p_partkey % 9 = 0 THEN 'some' ELSE headword END || ' in use' AS text, 'use ' || CAST(p_partkey AS VARCHAR) AS gloss FROM word WHERE p_partkey % 2 = 0""",
-    "example": """SELECT 'ex.' || word_key || '.1' AS example_key, word_key, unit_key, 'They saw ' || CASE WHEN p_partkey % 15 = 0 THEN 'it' ELSE headword END || ' there ' || CAST(p_partkey % 40 AS VARCHAR) AS text FROM word WHERE p_partkey % 3 = 0""",
+    "phrase": """SELECT 'ph.' || word_key || '.1' AS phrase_key, word_key, unit_key, CASE WHEN p_partkey % 9 = 0 AND unit_key NOT LIKE '%1' THEN 'some' ELSE headword END || ' in use' AS text, 'use ' || CAST(p_partkey AS VARCHAR) AS gloss FROM word WHERE p_partkey % 2 = 0""",
+    "example": """SELECT 'ex.' || word_key || '.1' AS example_key, word_key, unit_key, 'They saw ' || CASE WHEN p_partkey % 15 = 0 AND unit_key NOT LIKE '%2' THEN 'it' ELSE headword END || ' there ' || CAST(p_partkey % 40 AS VARCHAR) AS text FROM word WHERE p_partkey % 3 = 0""",
     "page_line": "SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
     "text_block": """SELECT doc_id AS page, line * 2 AS block, CAST(0.1 AS DOUBLE) AS x0, CAST(line AS DOUBLE) / 500 AS y0, CAST(0.9 AS DOUBLE) AS x1, CAST(line + 1 AS DOUBLE) / 500 AS y1, text,
   CAST((doc_id * 31 + line * 17) % 100 AS DOUBLE) / 100 AS confidence FROM page_line

@@ -46,7 +46,32 @@ def test_digest_ignores_order(spark):
     rows = [("g", str(i), i % 7) for i in range(500)]
     a = spark.createDataFrame(rows, "g string, k string, n int")
     b = spark.createDataFrame(rows[::-1], "g string, k string, n int").repartition(3)
-    assert releases.set_digest(a, ["k", "n"], "g").collect() == releases.set_digest(b, ["k", "n"], "g").collect()
+    whole = releases.set_digest(a, ["k", "n"], "g").collect()
+    assert whole == releases.set_digest(b, ["k", "n"], "g").collect()
+    parts = [releases.set_digest(a.where(f"n % 2 = {k}"), ["k", "n"], "g") for k in range(2)]
+    assert releases.merge_digests(parts[0].unionByName(parts[1]), "g").collect() == whole
+    again = releases.set_digest(a.unionByName(a.limit(1)), ["k", "n"], "g").head()
+    assert again.rows == 501 and again.digest != whole[0].digest
+
+
+def test_digest_tells_rows_apart(spark):
+    sets = [("a|b", "c", None), ("a", "b|c", None), ("a|b|c", None, None), ("a", "b", "c"), ('a","b', None, None), (None, None, None), ("", None, None)]
+    df = spark.createDataFrame([(str(k), *r) for k, r in enumerate(sets)], "g string, x string, y string, z string")
+    assert len({r.digest for r in releases.set_digest(df, ["x", "y", "z"], "g").collect()}) == len(sets)
+
+
+def test_activation_needs_a_legal_target(spark):
+    states = [("a", "ACTIVE"), ("b", "READY"), ("c", "RETIRED"), ("d", "IMPORTING"), ("e", "FAILED")]
+    df = spark.createDataFrame([(r, st, None) for r, st in states], "release_id string, status string, activated_at long")
+    targets = spark.createDataFrame([(t,) for t in "abcdef"] + [("b",)], "target string")
+    found = {}
+    for r in releases.activation_plan(df, targets, 7).collect():
+        found.setdefault((r.target, r.code), {})[r.release_id] = (r.after, r.activated_at)
+    unchanged = {r: (st, None) for r, st in states}
+    assert found[("a", "ILLEGAL_TRANSITION")] == found[("d", "ILLEGAL_TRANSITION")] == found[("e", "ILLEGAL_TRANSITION")] == found[("f", "RELEASE_UNKNOWN")] == unchanged
+    for target in "bc":
+        assert found[(target, "OK")] == unchanged | {"a": ("RETIRED", None), target: ("ACTIVE", 7)}
+    assert len(found) == 6
 
 
 def test_nearest_signal_takes_the_earlier_of_two(spark):
