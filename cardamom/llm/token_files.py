@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -38,50 +39,106 @@ from .common import memory_returned, read, shared_folder, small_batches
 MAGIC, RANK_BITS = b"DACT", 512
 #: Tokens in a file (a document is never split) and in one batch that a reading task returns.
 TOKENS_A_FILE, TOKENS_A_BATCH = 8 << 20, 1 << 18
-#: Words, and characters of words, that a task remembers; words that the library encodes at once.
-MAX_WORDS, MAX_WORD_CHARS, WORDS_AT_ONCE = 200_000, 8_000_000, 5_000
+#: Bytes of texts that a task encodes at a time, words that the library gets at once, and the word between them.
+CHARS_A_BLOCK, WORDS_AT_ONCE, MARK = 12_000_000, 20_000, "\x1f"
 END_ID = 2
 ID_BITS = 32
+# The pattern of the tokenizer file, characters that it lower-cases one by one and that no other normalization touches, and what it
+# matches among those (a space stands between words).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = "^[!-~À-ÖØ-öø-ÿĀ-įı-ž]*$"
+MATCHES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿā-ž]+|[0-9]|[^ a-z0-9ß-öø-ÿā-ž]+| ")
+MATCHES_AT_ONCE = 500
 
 
 # --- Encoding ---
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer file, each distinct word once. Words are cut at ASCII white space, which the tokenizer drops and never reads across."""
+    """Encodes texts with a tokenizer file, each distinct word of a block once.
 
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.chars, self.starts, self.flat = 0, np.zeros(1, np.int64), np.empty(0, np.int32)
+    Words are cut at ASCII white space, which the tokenizer drops and never reads across. The library gets many words in one text,
+    MARK between them as a word of its own; words that hold it are given to it alone. Words of PLAIN characters are lower-cased and
+    cut into what the tokenizer's pattern matches first, if the file has that pattern; the library then merges each distinct match once.
+    """
 
-    def _learn(self, words: list[str]) -> None:
+    def __init__(self, path: str):
+        self.tokenizer, self.merger, self.ends = _tokenizer(path), *_merger(path)
+        self.mark = self._ids([MARK])[0]
+        if len(self.mark) != 1:
+            raise ValueError("the tokenizer needs more than one id for the mark between words")
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of tokens by word, all tokens)."""
+        marked = pc.match_substring(words, MARK).to_numpy(zero_copy_only=False)
+        sizes, ids = np.zeros(len(words), np.int64), []
         for at in range(0, len(words), WORDS_AT_ONCE):
-            some = words[at : at + WORDS_AT_ONCE]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            self.place.update(zip(some, range(len(self.place), len(self.place) + len(some))))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(i) for i in ids])])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for one in ids for i in one), np.int32)])
-        self.chars += sum(map(len, words))
+            part, own = words.slice(at, WORDS_AT_ONCE), np.flatnonzero(marked[at : at + WORDS_AT_ONCE])
+            if len(own):
+                part = pc.replace_with_mask(part, pa.array(marked[at : at + WORDS_AT_ONCE]), pa.scalar("", part.type))
+            (found,) = self._ids([_joined(part, f" {MARK} ")])
+            found = np.array(found, np.int32)
+            ends = np.append(np.flatnonzero(found == self.mark[0]), len(found))
+            some = np.diff(ends, prepend=-1) - 1
+            found = found[found != self.mark[0]]
+            if len(own):
+                alone = self._ids(words.take(pa.array(own + at)).to_pylist())
+                found = np.insert(found, np.repeat((np.cumsum(some) - some)[own], list(map(len, alone))), [i for one in alone for i in one])
+                some[own] = list(map(len, alone))
+            sizes[at : at + len(part)] = some
+            ids.append(found)
+        return sizes, np.concatenate([*ids, np.empty(0, np.int32)])
+
+    def _encode_plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of PLAIN characters."""
+        matches = pa.array(MATCHES.findall(_joined(words, " ").lower()), pa.large_string()).dictionary_encode()
+        distinct, at = matches.dictionary.to_numpy(zero_copy_only=False).tolist(), matches.indices.to_numpy()
+        sizes, ids = [], []
+        for k in range(0, len(distinct), MATCHES_AT_ONCE):
+            (found,) = self.merger.encode_batch_fast([" ".join(distinct[k : k + MATCHES_AT_ONCE])], add_special_tokens=False)
+            found = np.array(found.ids, np.int32)
+            own = np.diff(np.flatnonzero(self.ends[found]), prepend=-1)
+            if " " in distinct[k : k + MATCHES_AT_ONCE]:  # what stands between words has no tokens
+                own = np.insert(own, distinct[k : k + MATCHES_AT_ONCE].index(" "), 0)
+            sizes.append(own)
+            ids.append(found)
+        if not distinct:
+            return np.zeros(len(words), np.int64), np.empty(0, np.int32)
+        sizes, flat = np.concatenate(sizes), np.concatenate(ids)
+        picked = _picked(flat, (np.cumsum(sizes) - sizes)[at], sizes[at])
+        blank = distinct.index(" ") if " " in distinct else -1
+        ends = np.append(np.flatnonzero(at == blank), len(at))
+        return np.diff(np.append(0, np.append(0, np.cumsum(sizes[at]))[ends])), picked
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of tokens by text, all tokens); null texts have none."""
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         coded = words.flatten().dictionary_encode()
-        if len(self.place) > MAX_WORDS or self.chars > MAX_WORD_CHARS:
-            self.forget()
-        distinct = coded.dictionary.to_pylist()
-        self._learn([w for w in distinct if w not in self.place])
-        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        sizes = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.starts[at] - ends + sizes, sizes)]
-        by_text = np.diff(np.concatenate([[0], ends])[np.cumsum([0, *words.value_lengths().to_pylist()])])
-        return by_text, ids
+        distinct = coded.dictionary
+        plain = pc.match_substring_regex(distinct, PLAIN).to_numpy(zero_copy_only=False) & (self.merger is not None)
+        of_word, where = np.zeros((2, len(distinct)), np.int64)
+        flat, n = [], 0
+        for own, encode in ((plain, self._encode_plain), (~plain, self._encode_words)):
+            of_word[own], ids = encode(distinct.filter(pa.array(own)))
+            where[own] = n + np.cumsum(of_word[own]) - of_word[own]
+            flat.append(ids)
+            n += len(ids)
+        at = coded.indices.to_numpy()
+        by_text = np.diff(np.append(0, np.cumsum(of_word[at]))[np.cumsum([0, *words.value_lengths().to_pylist()])])
+        return by_text, _picked(np.concatenate(flat), where[at], of_word[at])
+
+
+def _joined(words: pa.Array, between: str) -> str:
+    return pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar(between, words.type))[0].as_py()
+
+
+def _picked(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of flat with these starts and sizes, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
 @lru_cache(1)
@@ -92,25 +149,70 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encode_texts(df: DataFrame, path: str, text: str = "text", into: str = "ids", end_id: int | None = END_ID) -> DataFrame:
+@lru_cache(1)
+def _merger(path: str):
+    """(the file's merges alone, which ids end a word) for texts of matches between spaces; (None, None) if the file prepares texts in another way."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    with open(path, encoding="utf-8") as source:
+        file = json.load(source)
+    split = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+    prepares = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    steps = (file["pre_tokenizer"] or {}).get("pretokenizers", [])
+    known = (file["normalizer"] or {}).get("normalizers") == prepares and len(steps) == 2 and steps[0] == split and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"]
+    if not known or not file["model"].get("end_of_word_suffix"):
+        return None, None
+    merger = Tokenizer.from_file(path)
+    merger.normalizer = normalizers.Sequence([])
+    merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(merger.get_vocab_size(), bool)
+    ends[[k for t, k in merger.get_vocab().items() if t.endswith(file["model"]["end_of_word_suffix"])]] = True
+    return merger, ends
+
+
+def _blocks(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
+    """Batches of texts in lists of CHARS_A_BLOCK bytes, or one batch."""
+    block, size = [], 0
+    for batch in batches:
+        block.append(batch)
+        size += pc.sum(pc.binary_length(batch)).as_py() or 0
+        if size >= CHARS_A_BLOCK:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def encode_texts(df: DataFrame, path: str, text: str = "text", into: str = "ids", end_id: int | None = END_ID, item_bytes: int | None = None) -> DataFrame:
     """Add the ids of each whole text as column ``into`` (array<int>, replaced if df has it), ``end_id`` at their end unless it is None.
 
-    The tokenizer of the file at ``path`` must drop white space, as one with word ends does. No special tokens are added. Null and empty
-    texts have only the end id; repeated rows are encoded alike; an empty table stays empty; other columns are untouched. What a task holds is a
-    batch of texts and a bounded number of words; an unbroken run of characters is one word, given to the library whole.
+    With ``item_bytes`` (2 or 4), ids are binary instead, so many bytes each, little-endian. The tokenizer of the file at ``path`` must drop white
+    space, as one with word ends does. No special tokens are added. Null and empty texts have only the end id; repeated rows are encoded alike;
+    an empty table stays empty; other columns are untouched. What a task holds is a block of texts; an unbroken run of characters is
+    one word, given to the library whole.
     """
     small_batches(df.sparkSession)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("binary" if item_bytes else "array<int>")
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with memory_returned():
             encoder = WordEncoder(path)
-            for batch in batches:
-                sizes, ids = encoder.encode(batch)
+            for block in _blocks(batches):
+                sizes, ids = encoder.encode(pa.concat_arrays(block))
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(sizes), end_id)
                     sizes = sizes + 1
-                yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
+                offsets = np.append(0, np.cumsum(sizes))
+                if item_bytes:
+                    if len(ids) and int(ids.max()) >> 8 * item_bytes:
+                        raise ValueError(f"an id doesn't fit in {item_bytes} bytes")
+                    out = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((offsets * item_bytes).astype("<i4")), pa.py_buffer(ids.astype(f"<u{item_bytes}"))])
+                else:
+                    out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                at = 0
+                for batch in block:
+                    yield out.slice(at, len(batch))
+                    at += len(batch)
 
     return df.withColumn(into, coded(F.col(text)))
 
@@ -273,22 +375,40 @@ def _opened(path: str):
     return files.open_input_file(place)
 
 
-def write_token_files(df: DataFrame, folder: str, doc_id: str = "doc_id", ids: str = "ids", tokens_a_file: int = TOKENS_A_FILE, widths: list[int] | None = None) -> None:
+def write_token_files(df: DataFrame, folder: str, doc_id: str = "doc_id", ids: str = "ids", tokens_a_file: int = TOKENS_A_FILE, widths: list[int] | None = None,
+                      item_bytes: int = 4) -> None:
     """Write the ids of all rows as token files under ``folder``, in ascending order of doc_id (integers; nulls first), and their manifest.
 
-    Rows of one id stand in the order of their ids' number and digest. Null arrays are documents without tokens; an empty table
+    ``ids`` are arrays or, ``item_bytes`` each, binary. Rows of one id stand in the order of their ids' number and digest. Null ids are documents without tokens; an empty table
     gives a manifest without files. df is read three times (widths, ranges, rows), so it should be a stored table. ``folder`` must be a place
     that pyarrow opens by its URI (local and shared disks, HDFS, S3, GCS); its manifest is Parquet.
     """
     spark = df.sparkSession
     small_batches(spark)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids"))
-    # Bits of an id: digits of its binary form, none for 0.
-    counts = rows.select(F.explode("ids").alias("id")).groupBy(F.when(F.col("id") == 0, 0).otherwise(F.length(F.bin("id"))).alias("bits")).count().collect()
-    by_bits = {r["bits"]: r["count"] for r in counts}
+    packed = df.schema[ids].dataType.typeName() == "binary"
+    nothing = F.lit(b"") if packed else F.array().cast("array<int>")
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(ids), nothing).alias("ids"))
+
+    def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(where each row's ids start, and the end; all ids) of a batch."""
+        offsets = np.frombuffer(lists.buffers()[1], "<i4", len(lists) + 1, 4 * lists.offset)
+        if packed:
+            data = lists.buffers()[2]
+            return offsets // item_bytes, np.frombuffer(data, f"<u{item_bytes}", offsets[-1] // item_bytes) if data else np.empty(0, np.uint16)
+        return offsets, lists.values.to_numpy(zero_copy_only=False)
+
+    def count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(ID_BITS + 1, np.int64)
+        for batch in batches:
+            places, every = flat(batch.column(0))
+            counts += np.bincount(np.frexp(every[places[0] : places[-1]].astype(np.float64))[1], minlength=ID_BITS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(ID_BITS + 1), pa.int32()), pa.array(counts)], names=["bits", "n"])
+
+    found = rows.select("ids").mapInArrow(count_bits, "bits int, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
+    by_bits = {r["bits"]: r["n"] for r in found}
     total = sum(by_bits.values())
     widths = widths or best_widths([by_bits.get(b, 0) for b in range(ID_BITS + 1)])
-    rows = rows.withColumns({"size": F.size("ids"), "tie": F.xxhash64("ids")})
+    rows = rows.withColumns({"size": F.length("ids") if packed else F.size("ids"), "tie": F.xxhash64("ids")})
     order = [F.asc_nulls_first("doc_id"), F.asc("size"), F.asc("tie")]
     placed = rows.repartitionByRange(max(1, -(-total // tokens_a_file)), *order).sortWithinPartitions(*order).select("doc_id", "ids", F.spark_partition_id().alias("part"))
     place = folder.rstrip("/")
@@ -310,14 +430,14 @@ def write_token_files(df: DataFrame, folder: str, doc_id: str = "doc_id", ids: s
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
         with memory_returned():
             for batch in batches:
-                docs, lists = batch.column(0).to_pylist(), batch.column(1)
-                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+                docs = batch.column(0).to_pylist()
+                ends, every = flat(batch.column(1))
                 for k, doc in enumerate(docs):
                     if writer and writer.starts[-1] >= tokens_a_file:
                         yield flush()
                         seq, writer = seq + 1, None
                     part, writer = batch.column(2)[0].as_py(), writer or DacWriter(widths)
-                    writer.add(doc, flat[ends[k] : ends[k + 1]])
+                    writer.add(doc, every[ends[k] : ends[k + 1]])
             if writer:
                 yield flush()
 
@@ -397,8 +517,9 @@ def store_texts(df: DataFrame, path: str, folder: str, doc_id: str = "doc_id", t
     spark = df.sparkSession
     coded = f"{folder.rstrip('/')}/coded"
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    encode_texts(rows, path).select("doc_id", "ids").write.parquet(coded)
-    write_token_files(spark.read.parquet(coded), folder, tokens_a_file=tokens_a_file)
+    item_bytes = 2 if _tokenizer(path).get_vocab_size() <= 1 << 16 else 4
+    encode_texts(rows, path, item_bytes=item_bytes).select("doc_id", "ids").write.parquet(coded)
+    write_token_files(spark.read.parquet(coded), folder, tokens_a_file=tokens_a_file, item_bytes=item_bytes)
     remove(spark, coded)
 
 
