@@ -3,7 +3,8 @@
 A node is a run of ``longest - 1`` words, an edge a run of ``longest`` words between the two nodes that it overlaps, weighted
 by its occurrences. Edges are all that is counted over the corpus: each word starts one, and at the end of a piece the edge is cut
 short. So the occurrences of a shorter phrase are the flow out of the node or prefix that it is, plus the short edges at piece
-ends that begin with it; counts of every length follow from the edges by summing prefixes, longest first.
+ends that begin with it; counts of every length follow from the edges by summing prefixes, longest first. Edges are shuffled as lists of next
+words by node, which takes less than half the bytes of one row an edge.
 
 Edges of ``min_count`` occurrences and more span the graph that is kept. A node is unary if one edge brings all its flow and
 one edge takes it all away; every occurrence then passes both, so a chain of such edges lies in one piece and can't be a
@@ -13,15 +14,22 @@ the first one in rounds that grow with the logarithm of the longest chain. Phras
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fold_ascii, read
+from .common import cut, memory_returned, read, small_batches
 
 PIECE_ENDS, GAPS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
+#: Characters of text whose lists a task makes at a time, and rows of a batch of them.
+CHARS_A_BLOCK, ROWS_A_BATCH = 8_000_000, 20_000
 MIN_COUNT, LONGEST, SCALE, COVER_PERCENT, TOP = 10, 3, 1_000_000, 50, 2000
 
 
@@ -29,38 +37,88 @@ def _words(k: int) -> list[str]:
     return [f"w{i}" for i in range(1, k + 1)]
 
 
-def phrase_edges(df: DataFrame, part: Column, text: Column, longest: int = LONGEST) -> DataFrame:
-    """(part, w1..wk, n): occurrences of each run of ``longest`` words, and of each shorter run at a piece's end (nulls behind it).
-
-    A-Z are lower-cased. Null and empty texts have no words, and pieces without words none.
+def adjacency(parts: pa.Array, texts: pa.Array, longest: int) -> pa.RecordBatch:
+    """(part, node, next): what follows each run of ``longest - 1`` words of these texts, every occurrence a word; empty words stand behind a piece's end."""
+    pieces = pc.split_pattern_regex(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")), pattern=PIECE_ENDS)
+    words = pc.split_pattern_regex(pieces.flatten(), pattern=GAPS)
+    flat, part = words.flatten(), parts.dictionary_encode()
+    real = pc.not_equal(flat, "")
+    per_piece = words.value_lengths().to_numpy()
+    piece = np.repeat(np.arange(len(per_piece)), per_piece)[real.to_numpy(zero_copy_only=False)]
+    part_of_piece = np.repeat(part.indices.to_numpy(), pieces.value_lengths().to_numpy())
+    coded = flat.filter(real).dictionary_encode()
+    columns = [coded.indices.to_numpy()]
+    for j in range(1, longest):
+        column = np.full(len(piece), -1, np.int32)
+        same = piece[j:] == piece[:-j] if j < len(piece) else np.empty(0, bool)
+        column[: len(same)][same] = columns[0][j:][same]
+        columns.append(column)
+    columns.insert(0, part_of_piece[piece])
+    order = np.lexsort(columns[::-1])
+    node = [c[order] for c in columns[:-1]]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in node], axis=0)
+    starts = np.flatnonzero(new)
+    named = lambda codes: coded.dictionary.take(pa.array(codes, mask=codes < 0)).fill_null("")
+    blank = pa.scalar(" ", pa.large_string())
+    lists = pa.LargeListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int64()), named(columns[-1][order]))
+    names = pc.binary_join_element_wise(*[named(c[starts]) for c in node[1:]], blank)
+    return pa.RecordBatch.from_arrays([part.dictionary.take(pa.array(node[0][starts])).cast(pa.string()), names.cast(pa.string()), pc.binary_join(lists, blank).cast(pa.string())], names=["part", "node", "next"])
+
+
+def phrase_graph(df: DataFrame, part: Column, text: Column, longest: int = LONGEST) -> DataFrame:
+    """(part, node, next): the edges of all texts, as lists of next words by node, several rows a node, the rows of a node in one partition.
+
+    Tasks make the lists of ``CHARS_A_BLOCK`` characters of text at a time, so a list is never longer than such a block, and a node's words are
+    shuffled once a block instead of once a word. Texts are lower-cased in A-Z. Null and empty texts have no words.
     """
-    pieces = df.select(part.alias("part"), F.explode(F.split(fold_ascii(text), PIECE_ENDS)).alias("piece"))
-    words = pieces.select("part", F.array_remove(F.split("piece", GAPS), "").alias("w")).where(F.size("w") > 0)
-    shifted = [F.col("w"), *[F.slice("w", i, F.size("w")) for i in range(2, longest + 1)]]
-    runs = words.select("part", F.inline(F.arrays_zip(*[c.alias(n) for c, n in zip(shifted, _words(longest))])))
-    return runs.groupBy("part", *_words(longest)).agg(F.count("*").alias("n"))
+    small_batches(df.sparkSession)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with memory_returned():
+            block, size = [], 0
+            for batch in chain(batches, [None]):
+                if batch is not None:
+                    block.append(batch)
+                    size += pc.sum(pc.binary_length(batch.column(1))).as_py() or 0
+                if block and (batch is None or size >= CHARS_A_BLOCK):
+                    table = pa.Table.from_batches(block).combine_chunks()
+                    found = adjacency(table.column(0).chunk(0), table.column(1).chunk(0), longest) if table.num_rows else None
+                    block, size = [], 0
+                    for at in range(0, found.num_rows if found else 0, ROWS_A_BATCH):
+                        yield found.slice(at, ROWS_A_BATCH)
+
+    rows = df.select(part.cast("string").alias("part"), text.alias("text")).mapInArrow(lists, "part string, node string, next string")
+    return rows.repartition("part", "node")
+
+
+def _spread(longest: int) -> list[Column]:
+    """The words of a node as columns; null where the piece ends."""
+    return [F.nullif(F.get(F.split("node", " "), F.lit(i)), F.lit("")).alias(w) for i, w in enumerate(_words(longest - 1))]
 
 
-def count_levels(edges: DataFrame, longest: int = LONGEST) -> list[DataFrame]:
-    """Tables (part, w1..wm, n) for m = 0 to longest, each summed from the one above it.
+def count_levels(graph: DataFrame, longest: int = LONGEST) -> list[DataFrame]:
+    """Tables (part, w1..wm, n) for m = 0 to longest.
 
+    Edges are counted from the nodes' lists, nodes by what flows out of them, and shorter runs by summing the level above.
     Rows without nulls are phrases of m words and their occurrences; a row that ends in nulls is what pieces that end with those words
     add to the levels below. The table for m = 0 has each part's number of words.
     """
-    levels = [edges]
-    for m in range(longest - 1, -1, -1):
+    edges = graph.select("part", "node", F.explode(F.split("next", " ")).alias("next")).groupBy("part", "node", "next").agg(F.count("*").alias("n"))
+    nodes = graph.groupBy("part", "node").agg(F.sum(F.size(F.split("next", " "))).alias("n"))
+    levels = [nodes.select("part", *_spread(longest), "n"), edges.select("part", *_spread(longest), F.nullif("next", F.lit("")).alias(f"w{longest}"), "n")]
+    for m in range(longest - 2, -1, -1):
         levels.insert(0, levels[0].groupBy("part", *_words(m)).agg(F.sum("n").alias("n")))
     return levels
 
 
-def frequent_phrases(edges: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
+def frequent_phrases(graph: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
     """(part, m, w1..wk, n): the phrases of every length with min_count occurrences and more, and the parts' totals as m = 0.
 
-    All counts come from one reading of the texts and are written before they are used; parts of a frequent phrase are frequent too, so no count that
-    is asked for later is missing. (The levels are filtered on ``n`` alone: a filter on words would go below the aggregates and keep Spark from
-    sharing their exchanges.)
+    All counts come from one reading and one shuffle of the texts and are written before they are used; parts of a frequent phrase are frequent too, so no
+    count that is asked for later is missing.
     """
-    rows = [level.where(F.col("n") >= (min_count if m else 0)).select(F.lit(m).alias("m"), *level.columns) for m, level in enumerate(count_levels(edges, longest))]
+    rows = [level.where(F.col("n") >= (min_count if m else 0)).select(F.lit(m).alias("m"), *level.columns) for m, level in enumerate(count_levels(graph, longest))]
     every = cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows))
     return every.where(F.expr(" OR ".join(["m = 0", *[f"(m = {m} AND w{m} IS NOT NULL)" for m in range(1, longest + 1)]])))
 
@@ -158,8 +216,8 @@ def mine_collocations(df: DataFrame, part: str = "lang", text: str = "text", min
     """
     if not 1 <= cover_percent <= 100 or longest < 2 or min_count < 1:
         raise ValueError("cover_percent from 1 to 100, longest from 2 and min_count from 1 are needed")
-    edges = phrase_edges(df, F.coalesce(F.col(part).cast("string"), F.lit("und")), F.col(text), longest)
-    phrases = frequent_phrases(edges, min_count, longest)
+    graph = phrase_graph(df, F.coalesce(F.col(part).cast("string"), F.lit("und")), F.col(text), longest)
+    phrases = frequent_phrases(graph, min_count, longest)
     scored = score_phrases(phrases, compact_paths(phrases, longest), longest, cover_percent)
     # A part's phrases are ranked in as many groups as the session has shuffle partitions first, so no task sorts all of them.
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
