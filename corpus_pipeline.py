@@ -30,7 +30,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; n_chars follows."""
-    clean = secret_scan.redact_secrets(secret_scan.scan_secrets(docs))
+    # scan_secrets replaces a column spans; one of docs is kept under another name.
+    (own,) = common.fresh(docs, "_spans")
+    kept = docs.withColumnRenamed("spans", own)
+    clean = secret_scan.redact_secrets(secret_scan.scan_secrets(kept)).withColumnRenamed(own, "spans")
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
