@@ -89,38 +89,27 @@ def phrase_graph(df: DataFrame, part: Column, text: Column, longest: int = LONGE
                         yield found.slice(at, ROWS_A_BATCH)
 
     rows = df.select(part.cast("string").alias("part"), text.alias("text")).mapInArrow(lists, "part string, node string, next string")
-    return rows.repartition("part", "node")
-
-
-def _spread(longest: int) -> list[Column]:
-    """The words of a node as columns; null where the piece ends."""
-    return [F.nullif(F.get(F.split("node", " "), F.lit(i)), F.lit("")).alias(w) for i, w in enumerate(_words(longest - 1))]
-
-
-def count_levels(graph: DataFrame, longest: int = LONGEST) -> list[DataFrame]:
-    """Tables (part, w1..wm, n) for m = 0 to longest.
-
-    Edges are counted from the nodes' lists, nodes by what flows out of them, and shorter runs by summing the level above.
-    Rows without nulls are phrases of m words and their occurrences; a row that ends in nulls is what pieces that end with those words
-    add to the levels below. The table for m = 0 has each part's number of words.
-    """
-    edges = graph.select("part", "node", F.explode(F.split("next", " ")).alias("next")).groupBy("part", "node", "next").agg(F.count("*").alias("n"))
-    nodes = graph.groupBy("part", "node").agg(F.sum(F.size(F.split("next", " "))).alias("n"))
-    levels = [nodes.select("part", *_spread(longest), "n"), edges.select("part", *_spread(longest), F.nullif("next", F.lit("")).alias(f"w{longest}"), "n")]
-    for m in range(longest - 2, -1, -1):
-        levels.insert(0, levels[0].groupBy("part", *_words(m)).agg(F.sum("n").alias("n")))
-    return levels
+    # Columns that can't be null keep Spark from filtering nulls below the exchange in one place and not in the other, which reads it a second time.
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in rows.columns]).repartition("part", "node")
 
 
 def frequent_phrases(graph: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
     """(part, m, w1..wk, n): the phrases of every length with min_count occurrences and more, and the parts' totals as m = 0.
 
-    All counts come from one reading and one shuffle of the texts and are written before they are used; parts of a frequent phrase are frequent too, so no
-    count that is asked for later is missing.
+    What flows out of a node is added to each run of words that it begins with; at a piece's end a node is a shorter run itself. Parts of a
+    frequent phrase are frequent too, so no count that is asked for later is missing. All counts come from one reading and one shuffle of the texts and are written before they are used.
     """
-    rows = [level.where(F.col("n") >= (min_count if m else 0)).select(F.lit(m).alias("m"), *level.columns) for m, level in enumerate(count_levels(graph, longest))]
-    every = cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows))
-    return every.where(F.expr(" OR ".join(["m = 0", *[f"(m = {m} AND w{m} IS NOT NULL)" for m in range(1, longest + 1)]])))
+    k = longest
+    nodes = graph.groupBy("part", "node").agg(F.sum(F.size(F.split("next", " "))).alias("n"))
+    run = lambda m: F.coalesce(F.substring_index("node", " ", m), F.lit(""))
+    begins = [F.struct(F.lit(m).alias("m"), run(m).alias("run"), "n", (~F.endswith(run(m), F.lit(" ")) & ((F.col("n") >= min_count) | F.lit(m < k - 1))).alias("counts")) for m in range(k)]
+    runs = nodes.select("part", F.inline(F.array(*begins))).where("counts")
+    counts = runs.groupBy("part", "m", "run").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("m") == 0))
+    edges = graph.select("part", "node", F.explode(F.split("next", " ")).alias("next")).groupBy("part", "node", "next").agg(F.count("*").alias("n"))
+    edges = edges.where((F.col("n") >= min_count) & (F.col("next") != ""))
+    every = cut(counts.select("part", "m", "run", "n").unionByName(edges.select("part", F.lit(k).alias("m"), F.concat_ws(" ", "node", "next").alias("run"), "n")))
+    words = F.split("run", " ")
+    return every.select("part", "m", *[F.when(F.col("m") > i, F.get(words, F.lit(i))).alias(w) for i, w in enumerate(_words(k))], "n")
 
 
 def _of(phrases: DataFrame, m: int, first: int = 1, count: str = "n") -> DataFrame:
