@@ -7,7 +7,7 @@ left. Decoding: token rows join the vocabulary, and an ordered aggregation puts
 
 Words are cut where no token of the vocabulary can reach across, which no merge can undo; so text without blanks becomes
 short pieces too. Pieces that stay long (runs of one letter) have all pairs of their minimum rank contracted in one
-step, in ``_ENCODE_LONG``. That gives the same ids if each token of the vocabulary is what its own bytes encode to: while
+step, in ``_ENCODE_LONG``, a block of them at a time. That gives the same ids if each token of the vocabulary is what its own bytes encode to: while
 a pair of rank r is the least, no new pair can have a rank below r, or the token it makes would have been made before.
 The vocabulary is held against this before the first such piece; if it fails, long pieces take single steps too.
 
@@ -37,6 +37,8 @@ from .common import fresh, memory_returned, read, small_batches
 CHARS_AT_ONCE, TOKENS_AT_ONCE, WORDS_AT_ONCE, MAX_WORDS = 500_000, 150_000, 100_000, 200_000
 #: Bytes of words in one recursive query. Pieces longer than LONG_BYTES contract all pairs of a rank at once.
 BYTES_A_QUERY, LONG_BYTES = 200_000, 64
+#: Of a longer piece, so many bytes are encoded at a time, and so many of their last tokens tried as the end of what is settled.
+BLOCK_BYTES, TRIES = 50_000, 16
 #: A query on long pieces goes on for so many rows in all steps together, then starts anew from where it is.
 ROWS_A_QUERY = 4_000_000
 
@@ -105,11 +107,12 @@ class ByteBpe:
         merges = merges[(merges[:, :2] >= 0).all(1)]
         # What a query frees goes back to the system, as other workers share the executor's memory.
         freed = {"allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": "", **freed})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", **freed})
         self._run("CREATE TABLE merges AS SELECT * FROM given", given=pa.table(dict(zip(("a", "b", "rank"), merges.T.copy()))))
         vocabulary = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})
         self._run("CREATE TABLE vocabulary AS SELECT * FROM given", given=vocabulary)
         self.byte_token = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.size_of = {k: len(t) for t, k in self.ranks.items()}
         self.reach, self.own = None, None
         self.forget()
 
@@ -152,7 +155,35 @@ class ByteBpe:
             for t in self.ranks:
                 if self.own and len(t) > LONG_BYTES:
                     self.own = self._long([t], _LEFTMOST)[1].tolist() == [self.ranks[t]]
-        return self._long(pieces, _ALL_OF_A_RANK if self.own else _LEFTMOST)
+        if not self.own:
+            return self._long(pieces, _LEFTMOST)
+        each = [self._in_blocks(p) if len(p) > BLOCK_BYTES else self._long([p], _ALL_OF_A_RANK)[1] for p in pieces]
+        return np.array([len(i) for i in each], np.int64), np.concatenate(each)
+
+    def _in_blocks(self, piece: bytes) -> np.ndarray:
+        """All tokens of a very long piece, BLOCK_BYTES of it at a time.
+
+        Where each token is what its own bytes encode to, tokens are an encoding if each two neighbours are one: no merge can reach further than
+        the two tokens that it joins. So a block's tokens hold up to a boundary at which the token before and the first token of what follows, encoded
+        by itself, encode to these two. If a block has no such boundary among its last TRIES tokens, it is made twice as long.
+        """
+        at, size, out = 0, BLOCK_BYTES, []
+        block = self._long([piece[:size]], _ALL_OF_A_RANK)[1]
+        while at + size < len(piece):
+            ends = np.cumsum([self.size_of[t] for t in block[-TRIES - 1 :].tolist()])
+            ends += min(size, len(piece) - at) - ends[-1]  # where the last tokens end in the block
+            for back in range(len(ends) - 2, -1, -1):
+                cut, last = at + int(ends[back]), int(block[len(block) - len(ends) + back])
+                after = self._long([piece[cut : cut + BLOCK_BYTES]], _ALL_OF_A_RANK)[1]
+                two = [last, int(after[0])]
+                if self._long([piece[cut - self.size_of[last] : cut + self.size_of[two[1]]]], _ALL_OF_A_RANK)[1].tolist() == two:
+                    out.append(block[: len(block) - len(ends) + back + 1])
+                    at, size, block = cut, BLOCK_BYTES, after
+                    break
+            else:
+                size *= 2
+                block = self._long([piece[at : at + size]], _ALL_OF_A_RANK)[1]
+        return np.concatenate([*out, block])
 
     def _long(self, pieces: list[bytes], which: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
         place, token = self._rows(pieces)
@@ -285,7 +316,7 @@ def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, t
 
     With ``decoded``, also add the bytes that decoding those ids gives, in the same pass. Null and empty texts have
     no tokens. Very long texts are taken in parts that the pattern doesn't cut; what a task holds beside a text's own ids
-    doesn't grow with it, but for one unbroken run of a character, held as a row a byte. Strings that look like special
+    doesn't grow with it, nor with an unbroken run of a character, which is encoded in blocks. Strings that look like special
     tokens are ordinary text. Repeated rows are encoded alike; an empty table stays empty; other columns are untouched.
     """
     small_batches(df.sparkSession)

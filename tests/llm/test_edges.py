@@ -273,3 +273,44 @@ def test_jaccard(spark, docs, none):
     kept = jaccard.keep_one_of_each(df, width=4, percent=85)
     assert kept.columns == df.columns and {81, 82, 85, 4}.isdisjoint({r.doc_id for r in kept.collect()})
     assert jaccard.jaccard_components(none).count() == 0
+
+
+@pytest.mark.parametrize("block", [40, 300])
+def test_long_pieces_are_encoded_in_blocks(monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", block)
+    monkeypatch.setattr(byte_bpe, "LONG_BYTES", 16)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    bpe, rng = byte_bpe.ByteBpe(path, public_tokenizers.PATTERN), random.Random(block)
+    texts = ["x" * 5000, "ab" * 999, "=-" * 700 + "=", " " * 3001, "é" * 800] + ["".join(rng.choice(a) for _ in range(1500)) for a in ("ab", "then", "=-*#", "ing", "é文x")]
+    for text in texts:
+        assert bpe.encode([text])[1].tolist() == want(text)
+    bpe.close()
+
+
+def test_pipeline_on_edges(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, and columns with the stages' own names."""
+    import corpus_pipeline
+
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    extra = [(1000, None), (1001, ""), (1002, " \n"), (1003, "x" * 200_000), (1004, "my own text of seven short words"), (1004, "my own text of seven short words"), (1005, "token = abcdef0123456789")]
+    more = spark.createDataFrame([(k, t, None, None, 1) for k, t in extra], "doc_id long, text string, lang string, source string, n_chars long").select(
+        *[F.col(c).cast(base.schema[c].dataType) for c in base.columns])
+    own = {c: F.lit("own") for c in ("spans", "_spans", "ids", "score", "component_id", "_kinds", "toxic", "bytes")}
+    base.unionByName(more).withColumns(own).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert out[0].__fields__ == ["doc_id", "lang", "source", "n_tokens", "ids"]
+    found = {r.doc_id: r for r in out}
+    assert {1000, 1001, 1002, 1003, 1004, 1005} <= set(found) and found[1000].n_tokens == found[1001].n_tokens == 0
+    docs = corpus_pipeline.redact_secrets(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert docs.columns == [*base.columns, *own] and {(r.spans, r._spans, r.ids) for r in docs.collect()} == {("own",) * 3}
+    assert docs.where("doc_id = 1005").head().text == "[assign]"
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{table}.parquet").write.parquet(f"{tmp_path}/none/{table}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
