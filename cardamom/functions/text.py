@@ -36,8 +36,64 @@ def join_hyphenated(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[-‐‑]\n(?=\p{Ll})", ""), "\n", " ")
 
 
+# Forms that no rule gives, and function words that print or recognition glues to a word, before it and behind it.
+IRREGULAR = {"bear": ["bore", "born", "borne"], "hypothesis": ["hypotheses"], "mean": ["meant"]}
+GLUED_BEFORE = ("the this that these those and for from with into very extremely really their your our are was were have has had can will would").split()
+GLUED_BEHIND = ("the that this these those and for from with into of to in on at by as is are was were have has had all more not it its our their").split()
+
+
+def headword_alternatives(head: Column) -> Column:
+    """The spellings of a headword in lower case: parts between slashes, ``-suffix`` in place of the end of the part before, each without and with what is in parentheses; letters only."""
+    parts = F.split(F.lower(F.trim(head)), "/")
+    start = F.struct(F.lit("").alias("before"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, part: Column) -> Column:
+        suffix = F.startswith(part, F.lit("-"))
+        replaced = F.concat(F.substr(s["before"], F.lit(1), F.length(s["before"]) - F.length(part) + 1), F.substr(part, F.lit(2)))
+        own = F.when(suffix & (F.length(s["before"]) > F.length(part) - 1), replaced).otherwise(part)
+        return F.struct(F.when(suffix, s["before"]).otherwise(part).alias("before"), F.concat(s["out"], F.array(own)).alias("out"))
+
+    letters = lambda x: F.regexp_replace(x, "[^a-z]", "")
+    both = F.flatten(F.transform(F.aggregate(parts, start, step, lambda s: s["out"]), lambda x: F.array(letters(F.regexp_replace(x, r"\([a-z]+\)", "")), letters(x))))
+    return F.array_remove(F.array_distinct(both), "")
+
+
 def headword_forms(head: Column) -> Column:
-    """Forms of a headword to look for: itself, without an optional part in parentheses, plural, past and -ing forms."""
+    """array<string> of the forms of a headword to look for: its alternatives with s, es, ed and ing; e dropped, y changed and the last consonant doubled where they are; irregular ones. Null for null."""
+
+    def forms(base: Column) -> Column:
+        stem, last = F.left(base, F.length(base) - 1), F.right(base, F.lit(1))
+        plain = F.array(base, *[F.concat(base, F.lit(x)) for x in ("s", "es", "ed", "ing")])
+        none = F.array().cast("array<string>")
+        e = F.when(last == "e", F.array(F.concat(stem, F.lit("ing")), F.concat(base, F.lit("d")))).otherwise(none)
+        y = F.when((last == "y") & (F.length(base) > 1), F.array(F.concat(stem, F.lit("ies")), F.concat(stem, F.lit("ied")))).otherwise(none)
+        double = F.when(base.rlike("[^aeiou][aeiou][^aeiouwxy]$"), F.array(F.concat(base, last, F.lit("ed")), F.concat(base, last, F.lit("ing")))).otherwise(none)
+        return F.concat(plain, e, y, double)
+
+    irregular = F.create_map(*[x for k, v in IRREGULAR.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    own = F.coalesce(F.try_element_at(irregular, F.lower(F.trim(head))), F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.flatten(F.transform(headword_alternatives(head), forms)), own))
+
+
+def text_has_headword(text: Column, forms: Column) -> Column:
+    """Does a form stand in the text: as a word; inside a word if it has 5 letters or more; or, from 3 letters on, where the word goes on with function words only.
+
+    Words are runs of a-z in lower case; those that a hyphen breaks at a blank or line end are joined first, and ``'s`` before letters is a word's end. False
+    for texts without words; null for null.
+    """
+    whole = F.regexp_replace(F.regexp_replace(text, r"(?i)([a-z])-\s+(?=[a-z])", "$1"), r"(?i)([a-z]{3,})['’]s(?=[a-z]{3,})", "$1's ")
+    words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(whole), F.lit("[a-z]+"), F.lit(0)), " "), F.lit(" "))
+    before, behind = "(?: |" + "|".join(GLUED_BEFORE) + ")", "(?: |" + "|".join(GLUED_BEHIND) + ")"
+
+    def stands(f: Column) -> Column:
+        glued = F.rlike(words, F.concat(F.lit(before), f, F.lit(behind))) | ((F.length(f) >= 4) & F.rlike(words, F.concat(f, F.lit(behind.replace(" |", "", 1)))))
+        return F.contains(words, f) & ((F.length(f) >= 5) | F.contains(words, F.concat(F.lit(" "), f, F.lit(" "))) | ((F.length(f) >= 3) & glued))
+
+    return F.exists(forms, lambda f: (f != "") & stands(f))
+
+
+def phrase_forms(head: Column) -> Column:
+    """Forms of a head of one word or several to look for: itself, without an optional part in parentheses, plural, past and -ing forms of its end."""
     low = F.lower(F.trim(head))
     bare = F.trim(F.regexp_replace(low, r"\([^)]*\)", ""))
     stem = F.regexp_replace(bare, "e$", "")

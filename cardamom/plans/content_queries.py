@@ -278,14 +278,14 @@ def word_entries(spark, d):
 WHERE NOT contains(lower(e.text), lower(trim(w.headword)))""")
 def ownership_findings(spark, d):
     texts = s.phrase(spark, d).selectExpr("phrase_key AS entity_key", "word_key", "text").unionByName(s.example(spark, d).selectExpr("example_key AS entity_key", "word_key", "text"))
-    return releases.ownership_findings(s.word(spark, d), texts, text.headword_forms(F.col("headword"))).select("entity_key", "word_key")
+    return releases.ownership_findings(s.word(spark, d), texts, text.phrase_forms(F.col("headword"))).select("entity_key", "word_key")
 
 
 @_add("ST05_target_spans", """SELECT e.example_key, CASE WHEN contains(lower(e.text), lower(w.headword)) THEN strpos(lower(e.text), lower(w.headword)) - 1 END AS span_start,
 CASE WHEN contains(lower(e.text), lower(w.headword)) THEN strpos(lower(e.text), lower(w.headword)) - 1 + length(w.headword) END AS span_end FROM example e JOIN word w ON w.word_key = e.word_key""")
 def target_spans(spark, d):
     rows = s.example(spark, d).join(s.word(spark, d).select("word_key", "headword"), "word_key")
-    span = text.target_span(F.col("text"), text.headword_forms(F.col("headword")))
+    span = text.target_span(F.col("text"), text.phrase_forms(F.col("headword")))
     return rows.select("example_key", span["start"].alias("span_start"), span["end"].alias("span_end"))
 
 

@@ -26,6 +26,33 @@ def page_lines(spark, d):
     return s.page_line(spark, d).where(F.trim("text") != "").select("doc_id", "line", F.sha2("text", 256).alias("digest"))
 
 
+_BEFORE, _BEHIND = "( |" + "|".join(text.GLUED_BEFORE) + ")", "( |" + "|".join(text.GLUED_BEHIND) + ")"
+
+
+@_add("ST04_headword_in_text", f"""WITH h AS (SELECT doc_id, line, regexp_extract(text, '[a-z]{{3,}}') AS h FROM page_line),
+t AS (
+  SELECT doc_id, line, CASE doc_id % 3 WHEN 0 THEN [h] WHEN 1 THEN [h, h || 'ly'] ELSE [h, 'other'] END AS bases,
+    CASE line % 5 WHEN 0 THEN 'x the' || h || 'and y' WHEN 1 THEN 'pre' || h || 'zz' WHEN 2 THEN 'X ' || h || 'ing' WHEN 3 THEN left(h, 2) || '-  ' || substr(h, 3) || 's' ELSE h || 'ly from' END AS t
+  FROM h WHERE h <> ''),
+b AS (SELECT doc_id, line, ' ' || array_to_string(regexp_extract_all(regexp_replace(lower(t), '([a-z])-\\s+([a-z])', '\\1\\2'), '[a-z]+'), ' ') || ' ' AS words, unnest(bases) AS b FROM t),
+f AS (
+  SELECT doc_id, line, words, unnest([b, b || 's', b || 'es', b || 'ed', b || 'ing'] || CASE WHEN b LIKE '%e' THEN [left(b, -1) || 'ing', b || 'd'] ELSE [] END
+    || CASE WHEN b LIKE '%y' THEN [left(b, -1) || 'ies', left(b, -1) || 'ied'] ELSE [] END
+    || CASE WHEN regexp_matches(b, '[^aeiou][aeiou][^aeiouwxy]$') THEN [b || right(b, 1) || 'ed', b || right(b, 1) || 'ing'] ELSE [] END) AS f
+  FROM b)
+SELECT doc_id, line, bool_or(contains(words, f) AND (length(f) >= 5 OR contains(words, ' ' || f || ' ')
+  OR regexp_matches(words, '{_BEFORE}' || f || '{_BEHIND}') OR (length(f) >= 4 AND regexp_matches(words, f || '{_BEHIND.replace(" |", "")}')))) AS found
+FROM f GROUP BY doc_id, line""")
+def headword_in_text(spark, d):
+    """A line's first word as a headword with variants, looked for in texts that glue, break, bend or bury it."""
+    rows = s.page_line(spark, d).select("doc_id", "line", F.regexp_extract("text", "[a-z]{3,}", 0).alias("h")).where("h <> ''")
+    rows = rows.selectExpr(
+        "doc_id", "line", "CASE doc_id % 3 WHEN 0 THEN h WHEN 1 THEN concat(h, '(ly)') ELSE concat(h, '/other') END AS head",
+        """CASE line % 5 WHEN 0 THEN concat('x the', h, 'and y') WHEN 1 THEN concat('pre', h, 'zz') WHEN 2 THEN concat('X ', h, 'ing')
+           WHEN 3 THEN concat(left(h, 2), '-  ', substr(h, 3), 's') ELSE concat(h, 'ly from') END AS t""")
+    return rows.select("doc_id", "line", text.text_has_headword(F.col("t"), text.headword_forms(F.col("head"))).alias("found"))
+
+
 @_add("A13_header_repeats", "SELECT sha256(text) AS line, count(DISTINCT doc_id) AS pages FROM page_line GROUP BY text HAVING count(DISTINCT doc_id) > 1")
 def header_repeats(spark, d):
     return documents.header_repeats(s.page_line(spark, d)).where("pages > 1").select(F.sha2("text", 256).alias("line"), "pages")

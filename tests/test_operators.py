@@ -28,6 +28,25 @@ def test_text_helpers(spark):
     assert one(spark, text.similarity_ratio(F.col("a"), F.col("b")), a="abcd", b="abce") == 0.75
 
 
+def test_headwords_in_texts(spark):
+    def forms(head):
+        return set(one(spark, text.headword_forms(F.col("h")), h=head))
+
+    assert forms("carry") == {"carry", "carrys", "carryes", "carryed", "carrying", "carries", "carried"}
+    assert {"stopped", "stopping"} <= forms("stop") and "showwed" not in forms("show") and {"moving", "moved"} <= forms("move")
+    assert {"bore", "born", "borne"} <= forms("Bear") and {"hypotheses"} <= forms("hypothesis")
+    assert {"organise", "organize"} <= forms("organise/-ize") and {"colour", "color", "colors"} <= forms("colo(u)r") and forms("-x") >= {"x"}
+
+    def stands(head, *texts):
+        df = spark.createDataFrame([(head, t) for t in texts], "h string, t string")
+        return [r.x for r in df.select(text.text_has_headword(F.col("t"), text.headword_forms(F.col("h"))).alias("x")).collect()]
+
+    assert stands("art", "The ART of", "theartof it", "a party", "smart", "art's place", "") == [True, True, False, False, True, False]
+    assert stands("cost", "administrativecosts", "costis high", "Accost", "theco-\nst of") == [True, True, False, True]
+    assert stands("rate", "corporate", "rateof", "the rate") == [False, True, True]
+    assert stands("admin", "administrativecosts", None) == [True, None] and stands("it", "with", "do it") == [False, True]
+
+
 def test_empty_and_null_edges(spark):
     edges = spark.createDataFrame([], "release_id string, from_key string, to_key string, canonical_key string")
     assert aliases.resolve_aliases(edges).count() == 0 and aliases.edge_errors(edges).count() == 0
