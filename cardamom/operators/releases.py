@@ -55,12 +55,17 @@ def previous_release(releases: DataFrame) -> DataFrame:
     return old.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("release_id")
 
 
-def required_releases(releases: DataFrame, sessions: DataFrame, aliases: DataFrame, now_ms: int) -> DataFrame:
-    """release_id, reasons: why a release must be kept, in the fixed order of reasons."""
+def required_releases(releases: DataFrame, sessions: DataFrame, aliases: DataFrame, progress: DataFrame, reviews: DataFrame, now_ms: int) -> DataFrame:
+    """release_id, reasons: why a release must be kept, in the fixed order of reasons.
+
+    progress has introduced_release_id, reviews has presented_release_id; nulls refer to nothing.
+    """
     parts = [
         releases.where("status = 'ACTIVE'").select("release_id", F.lit("active").alias("reason")),
         previous_release(releases).select("release_id", F.lit("previous").alias("reason")),
         sessions.where(F.col("expires_at") > now_ms).select("release_id", F.lit("session").alias("reason")).distinct(),
+        progress.where("introduced_release_id IS NOT NULL").select(F.col("introduced_release_id").alias("release_id"), F.lit("introduced").alias("reason")).distinct(),
+        reviews.where("presented_release_id IS NOT NULL").select(F.col("presented_release_id").alias("release_id"), F.lit("review").alias("reason")).distinct(),
         aliases.select("release_id", F.lit("alias").alias("reason")).distinct(),
     ]
     rank = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))
@@ -96,6 +101,28 @@ def retention_plan(releases: DataFrame, sessions: DataFrame, progress: DataFrame
     return rows.select("release_id", (F.size(codes) == 0).alias("eligible"), F.array_join(codes, ",").alias("blocked_by"))
 
 
+def confirm_deletions(requested: DataFrame, plan: DataFrame, sessions: DataFrame, progress: DataFrame, reviews: DataFrame, planned_at: int) -> DataFrame:
+    """release_id, code, deletes: what becomes of a request to delete exactly these releases of an earlier ``retention_plan``.
+
+    A release that the plan doesn't let go is NOT_IN_PLAN. The tables are as they are now: one that a session pins (beyond the time of the plan), or that a
+    user's word or review has come to refer to since, is PINNED, INTRODUCED or REVIEWED, in this order. ``deletes`` is true for all or for none:
+    one refusal refuses the request. Releases are few; references are reduced to distinct ids before they are joined.
+    """
+    since = [
+        ("PINNED", sessions.where(F.col("expires_at") > planned_at).select("release_id")),
+        ("INTRODUCED", progress.select(F.col("introduced_release_id").alias("release_id"))),
+        ("REVIEWED", reviews.select(F.col("presented_release_id").alias("release_id"))),
+    ]
+    rows = requested.select("release_id").distinct().join(plan.where("eligible").select("release_id", F.lit(True).alias("_planned")), "release_id", "left")
+    code = F.when(F.col("_planned").isNull(), "NOT_IN_PLAN")
+    for name, ids in since:
+        rows = rows.join(ids.where("release_id IS NOT NULL").distinct().withColumn(f"_{name}", F.lit(True)), "release_id", "left")
+        code = code.when(F.col(f"_{name}"), name)
+    rows = rows.select("release_id", code.otherwise("OK").alias("code"))
+    refused = rows.agg(F.count_if(F.col("code") != "OK").alias("_refused"))
+    return rows.join(F.broadcast(refused)).select("release_id", "code", (F.col("_refused") == 0).alias("deletes"))
+
+
 # From which status a release may become active.
 ACTIVATABLE = ("READY", "RETIRED")
 

@@ -94,20 +94,47 @@ _REQ = f"""req AS (SELECT release_id, string_agg(reason, ',' ORDER BY r) AS reas
   SELECT release_id, 'active' AS reason, 1 AS r FROM content_release WHERE status = 'ACTIVE'
   UNION ALL (SELECT release_id, 'previous', 2 FROM content_release WHERE status <> 'ACTIVE' AND activated_at IS NOT NULL ORDER BY activated_at DESC, release_id LIMIT 1)
   UNION ALL SELECT DISTINCT release_id, 'session', 3 FROM study_session WHERE expires_at > {_THEN}
+  UNION ALL SELECT release_id, 'introduced', 4 FROM intro WHERE release_id IS NOT NULL UNION ALL SELECT release_id, 'review', 5 FROM pres WHERE release_id IS NOT NULL
   UNION ALL SELECT DISTINCT release_id, 'alias', 6 FROM content_key_alias) GROUP BY 1)"""
 
 
-@_add("A19_required_releases", f"WITH {_REQ} SELECT * FROM req")
-def required_releases(spark, d):
-    return releases.required_releases(s.content_release(spark, d), s.study_session(spark, d), s.content_key_alias(spark, d), _THEN)
-
-
 # Stand-ins: the releases that progress and reviews refer to, by user.
 _KEPT = """intro AS (SELECT DISTINCT CASE user_id % 3 WHEN 1 THEN 'r1' WHEN 2 THEN 'r2' END AS release_id FROM stage WHERE stage = 'INTRODUCED'),
 pres AS (SELECT DISTINCT CASE WHEN user_id % 3 = 2 THEN 'r2' WHEN user_id % 3 = 1 AND rating = 4 THEN 'r1' END AS release_id FROM review_log),
 prev AS (SELECT release_id FROM content_release WHERE status <> 'ACTIVE' AND activated_at IS NOT NULL ORDER BY activated_at DESC, release_id LIMIT 1)"""
 
 
+def _refers(spark, d):
+    introduced = _progress(spark, d).where("stage = 'INTRODUCED'").selectExpr("CASE user_id % 3 WHEN 1 THEN 'r1' WHEN 2 THEN 'r2' END AS introduced_release_id")
+    presented = s.review_log(spark, d).selectExpr("CASE WHEN user_id % 3 = 2 THEN 'r2' WHEN user_id % 3 = 1 AND rating = 4 THEN 'r1' END AS presented_release_id")
+    return introduced, presented
+
+
+@_add("A19_required_releases", f"WITH {_STAGE}, {_KEPT}, {_REQ} SELECT * FROM req")
+def required_releases(spark, d):
+    return releases.required_releases(s.content_release(spark, d), s.study_session(spark, d), s.content_key_alias(spark, d), *_refers(spark, d), _THEN)
+
+
+# Three requests on a plan that was made before anyone studied: nothing has come since, words have been introduced, sessions have been opened.
+@_add("C16_confirm_deletions", f"""WITH {_STAGE},
+pl AS (SELECT k.k, r.release_id FROM content_release r JOIN (VALUES (0), (1), (2)) k(k) ON true WHERE status = 'RETIRED' AND {_THEN} - activated_at >= {14 * 86_400_000}
+  AND release_id <> (SELECT release_id FROM content_release WHERE status <> 'ACTIVE' AND activated_at IS NOT NULL ORDER BY activated_at DESC, release_id LIMIT 1)),
+rq AS (SELECT k.k, release_id FROM (VALUES (0), (1), (2)) k(k) JOIN content_release ON status = 'RETIRED' AND (k.k > 0 OR release_id = 'r0')),
+c AS (
+  SELECT k, release_id, CASE WHEN (k, release_id) NOT IN (SELECT k, release_id FROM pl) THEN 'NOT_IN_PLAN'
+    WHEN k = 2 AND release_id IN (SELECT release_id FROM study_session WHERE expires_at > {_THEN}) THEN 'PINNED'
+    WHEN k = 1 AND release_id IN (SELECT 'r0' FROM stage WHERE stage = 'INTRODUCED') THEN 'INTRODUCED' ELSE 'OK' END AS code FROM rq)
+SELECT k, release_id, code, bool_and(code = 'OK') OVER (PARTITION BY k) AS deletes FROM c""")
+def confirm_deletions(spark, d):
+    catalogue, sessions, (introduced, presented) = s.content_release(spark, d), s.study_session(spark, d), _refers(spark, d)
+    none = sessions.where("false"), introduced.where("false"), presented.where("false")
+    plan = releases.retention_plan(catalogue, *none, _THEN)
+    retired, first = catalogue.where("status = 'RETIRED'"), _progress(spark, d).where("stage = 'INTRODUCED'").selectExpr("'r0' AS introduced_release_id")
+    made = [(catalogue.where("release_id = 'r0'"), *none), (retired, none[0], first, none[2]), (retired, sessions, *none[1:])]
+    parts = [releases.confirm_deletions(asked, plan, *now, _THEN).withColumn("k", F.lit(k)) for k, (asked, *now) in enumerate(made)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @_add("C15_retention_plan", f"""WITH {_STAGE}, {_KEPT}, c AS (SELECT r.*, CASE WHEN status <> 'RETIRED' THEN 'status-not-retired' END AS k1,
   CASE WHEN release_id IN (SELECT release_id FROM prev) THEN 'immediately-previous-rollback-target' END AS k2,
   CASE WHEN release_id IN (SELECT release_id FROM study_session WHERE expires_at > {_THEN}) THEN 'session-pin' END AS k3,
@@ -116,9 +143,7 @@ prev AS (SELECT release_id FROM content_release WHERE status <> 'ACTIVE' AND act
   CASE WHEN activated_at IS NULL THEN 'never-activated' WHEN {_THEN} - activated_at < {14 * 86_400_000} THEN 'retention-window-14d' END AS k6 FROM content_release r)
 SELECT release_id, concat_ws(',', k1, k2, k3, k4, k5, k6) = '' AS eligible, concat_ws(',', k1, k2, k3, k4, k5, k6) AS blocked_by FROM c""")
 def retention_plan(spark, d):
-    introduced = _progress(spark, d).where("stage = 'INTRODUCED'").selectExpr("CASE user_id % 3 WHEN 1 THEN 'r1' WHEN 2 THEN 'r2' END AS introduced_release_id")
-    presented = s.review_log(spark, d).selectExpr("CASE WHEN user_id % 3 = 2 THEN 'r2' WHEN user_id % 3 = 1 AND rating = 4 THEN 'r1' END AS presented_release_id")
-    return releases.retention_plan(s.content_release(spark, d), s.study_session(spark, d), introduced, presented, _THEN)
+    return releases.retention_plan(s.content_release(spark, d), s.study_session(spark, d), *_refers(spark, d), _THEN)
 
 
 @_add("F02_resolve_release", f"""SELECT r.event_id AS request_id, CASE WHEN r.session_id IS NULL THEN 'ACTIVE' WHEN s.user_id IS NULL OR s.user_id <> r.user_id THEN 'SESSION_UNKNOWN' WHEN s.expires_at <= {_THEN} THEN 'SESSION_EXPIRED' ELSE 'PINNED' END AS code,
