@@ -29,7 +29,7 @@ from .common import cut, memory_returned, read, small_batches
 
 PIECE_ENDS, GAPS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 #: Characters of text whose lists a task makes at a time, and rows of a batch of them.
-CHARS_A_BLOCK, ROWS_A_BATCH = 8_000_000, 20_000
+CHARS_A_BLOCK, ROWS_A_BATCH = 6_000_000, 5_000
 MIN_COUNT, LONGEST, SCALE, COVER_PERCENT, TOP = 10, 3, 1_000_000, 50, 2000
 
 
