@@ -3,14 +3,14 @@
 A token id is split into chunks of a few bits, lowest first. Level 0 holds the first chunk of every token of a file, level 1 the second chunk of
 those tokens that have one, and so on. A level's continuation bitmap says which of its entries go on, and its rank directory
 counts the set bits before every block of ``RANK_BITS`` bits; so the place of a token's next chunk is one directory entry and the bits of one
-block away. Any token, or any run of tokens, is read with a few small reads and without decoding what stands before it. Chunk widths are
-chosen over all tokens, so that the levels are smallest.
+block away. Any token, or any run of tokens, is read with a few small reads and without decoding what stands before it. Each file has the chunk
+widths that make its levels smallest.
 
     magic, length of header, header (JSON: widths, numbers of tokens and documents, sections), then the sections:
     ids of documents (int64), null flags of ids (bytes), first token of every document and the end (int64), chunks, bitmap and ranks of each level
 
-Documents are encoded in place and written once; the ids are shuffled once, by ranges of ``doc_id``, into partitions that become
-one file or more. A task gives each file a name of its own and the manifest lists the files of the tasks that Spark
+Documents are encoded where they are read; their ids are shuffled once, by ranges of ``doc_id`` whose bounds come from a scan of that column alone, and each
+range becomes one file or more. A task gives each file a name of its own and the manifest lists the files of the tasks that Spark
 committed, so files of lost executors are never read. Global positions are sums over the manifest.
 """
 
@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lineage import remove
 from .common import memory_returned, read, shared_folder, small_batches
 
 MAGIC, RANK_BITS = b"DACT", 512
@@ -276,17 +275,16 @@ class _Level:
 
 
 class DacWriter:
-    """Builds one file in memory, in its packed form."""
+    """Builds one file in memory. Chunk widths are those given, else the best for its ids."""
 
-    def __init__(self, widths: list[int]):
-        self.widths = widths
-        self.levels = [_Level(w, k == len(widths) - 1) for k, w in enumerate(widths)]
-        self.docs, self.starts = [], [0]
+    def __init__(self, widths: list[int] | None = None):
+        self.widths, self.levels = widths, []
+        self.docs, self.starts, self.ids = [], [0], []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc_id)
         self.starts.append(self.starts[-1] + len(ids))
-        self._levels(ids.astype(np.uint32))
+        self.ids.append(ids.astype(np.uint32))
 
     def _levels(self, values: np.ndarray, end: bool = False) -> None:
         if len(values) and int(values.max()) >> sum(self.widths):
@@ -299,6 +297,11 @@ class DacWriter:
 
     def bytes(self) -> list[bytes]:
         """The file's parts, in order."""
+        bits = sum((np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=ID_BITS + 1) for ids in self.ids), np.zeros(ID_BITS + 1, np.int64))
+        self.widths = self.widths or best_widths(bits.tolist())
+        self.levels = [_Level(w, k == len(self.widths) - 1) for k, w in enumerate(self.widths)]
+        for ids in self.ids:
+            self._levels(ids)
         self._levels(np.empty(0, np.uint32), end=True)
         sections = {
             "docs": np.array([d or 0 for d in self.docs], "<i8").tobytes(), "nulls": bytes(d is None for d in self.docs) if None in self.docs else b"",
@@ -380,7 +383,7 @@ def write_token_files(df: DataFrame, folder: str, doc_id: str = "doc_id", ids: s
     """Write the ids of all rows as token files under ``folder``, in ascending order of doc_id (integers; nulls first), and their manifest.
 
     ``ids`` are arrays or, ``item_bytes`` each, binary. Rows of one id stand in the order of their ids' number and digest. Null ids are documents without tokens; an empty table
-    gives a manifest without files. df is read three times (widths, ranges, rows), so it should be a stored table. ``folder`` must be a place
+    gives a manifest without files. Of df, ``doc_id`` is read first for the ranges, then all rows once; the rows of one id are one range. ``folder`` must be a place
     that pyarrow opens by its URI (local and shared disks, HDFS, S3, GCS); its manifest is Parquet.
     """
     spark = df.sparkSession
@@ -397,20 +400,16 @@ def write_token_files(df: DataFrame, folder: str, doc_id: str = "doc_id", ids: s
             return offsets // item_bytes, np.frombuffer(data, f"<u{item_bytes}", offsets[-1] // item_bytes) if data else np.empty(0, np.uint16)
         return offsets, lists.values.to_numpy(zero_copy_only=False)
 
-    def count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(ID_BITS + 1, np.int64)
-        for batch in batches:
-            places, every = flat(batch.column(0))
-            counts += np.bincount(np.frexp(every[places[0] : places[-1]].astype(np.float64))[1], minlength=ID_BITS + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(ID_BITS + 1), pa.int32()), pa.array(counts)], names=["bits", "n"])
-
-    found = rows.select("ids").mapInArrow(count_bits, "bits int, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
-    by_bits = {r["bits"]: r["n"] for r in found}
-    total = sum(by_bits.values())
-    widths = widths or best_widths([by_bits.get(b, 0) for b in range(ID_BITS + 1)])
-    rows = rows.withColumns({"size": F.length("ids") if packed else F.size("ids"), "tie": F.xxhash64("ids")})
-    order = [F.asc_nulls_first("doc_id"), F.asc("size"), F.asc("tie")]
-    placed = rows.repartitionByRange(max(1, -(-total // tokens_a_file)), *order).sortWithinPartitions(*order).select("doc_id", "ids", F.spark_partition_id().alias("part"))
+    # Ranges of ids: a few times as many as partitions, so that those are even.
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n).alias("b")).head()["b"] or []
+
+    @F.arrow_udf("int")
+    def range_of(batch: pa.Array) -> pa.Array:
+        return pa.array(np.where(batch.is_null(), 0, np.searchsorted(bounds, batch.fill_null(0).to_numpy())), pa.int32())
+
+    rows = rows.withColumns({"part": range_of("doc_id"), "size": F.length("ids") if packed else F.size("ids"), "tie": F.xxhash64("ids")})
+    placed = rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "size", "tie").select("doc_id", "ids", "part")
     place = folder.rstrip("/")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,13 +429,13 @@ def write_token_files(df: DataFrame, folder: str, doc_id: str = "doc_id", ids: s
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
         with memory_returned():
             for batch in batches:
-                docs = batch.column(0).to_pylist()
+                docs, parts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 ends, every = flat(batch.column(1))
                 for k, doc in enumerate(docs):
-                    if writer and writer.starts[-1] >= tokens_a_file:
+                    if writer and (parts[k] != part or writer.starts[-1] >= tokens_a_file):
                         yield flush()
-                        seq, writer = seq + 1, None
-                    part, writer = batch.column(2)[0].as_py(), writer or DacWriter(widths)
+                        seq, writer = (seq + 1 if parts[k] == part else 0), None
+                    part, writer = parts[k], writer or DacWriter(widths)
                     writer.add(doc, every[ends[k] : ends[k + 1]])
             if writer:
                 yield flush()
@@ -513,14 +512,10 @@ def read_tokens(spark: SparkSession, folder: str, positions: DataFrame, position
 
 
 def store_texts(df: DataFrame, path: str, folder: str, doc_id: str = "doc_id", text: str = "text", tokens_a_file: int = TOKENS_A_FILE) -> None:
-    """Encode the texts of df and write them as token files under ``folder``. The ids are stored once between the two steps, and removed."""
-    spark = df.sparkSession
-    coded = f"{folder.rstrip('/')}/coded"
+    """Encode the texts of df and write them as token files under ``folder``."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     item_bytes = 2 if _tokenizer(path).get_vocab_size() <= 1 << 16 else 4
-    encode_texts(rows, path, item_bytes=item_bytes).select("doc_id", "ids").write.parquet(coded)
-    write_token_files(spark.read.parquet(coded), folder, tokens_a_file=tokens_a_file, item_bytes=item_bytes)
-    remove(spark, coded)
+    write_token_files(encode_texts(rows, path, item_bytes=item_bytes), folder, tokens_a_file=tokens_a_file, item_bytes=item_bytes)
 
 
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

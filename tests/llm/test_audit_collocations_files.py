@@ -165,7 +165,7 @@ def test_paths_are_compacted(spark):
     passage = [f"p{k}" for k in range(300)]
     docs = [("en", " ".join(passage)), ("en", " ".join(passage[100:])), ("en", "p250 p251 q")]
     df = spark.createDataFrame(docs, "lang string, text string")
-    phrases = collocations.frequent_phrases(collocations.phrase_edges(df, F.col("lang"), F.col("text")), 1)
+    phrases = collocations.frequent_phrases(collocations.phrase_graph(df, F.col("lang"), F.col("text")), 1)
     paths = {(tuple(r.words), r.n) for r in collocations.compact_paths(phrases).collect()}
     # The flow changes at node p100 p101, where the second text starts, and at p250 p251, which the third one shares.
     assert paths == {(tuple(passage[:102]), 1), (tuple(passage[100:252]), 2), (tuple(passage[250:]), 2), (("p250", "p251", "q"), 1)}
@@ -209,7 +209,9 @@ def test_file_format(widths):
         with pytest.raises(IndexError):
             file.tokens(at, n)
     with pytest.raises(ValueError):
-        token_files.DacWriter([4, 4]).add(1, np.array([256]))
+        writer = token_files.DacWriter([4, 4])
+        writer.add(1, np.array([256]))
+        writer.bytes()
 
 
 def test_widths_are_the_best():
