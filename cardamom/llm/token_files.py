@@ -297,11 +297,14 @@ class DacWriter:
 
     def bytes(self) -> list[bytes]:
         """The file's parts, in order."""
-        bits = sum((np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=ID_BITS + 1) for ids in self.ids), np.zeros(ID_BITS + 1, np.int64))
-        self.widths = self.widths or best_widths(bits.tolist())
+        every = np.concatenate([*self.ids, np.empty(0, np.uint32)])
+        blocks = [every[at : at + TOKENS_A_BATCH] for at in range(0, len(every), TOKENS_A_BATCH)]
+        if self.widths is None:
+            bits = sum((np.bincount(np.frexp(b.astype(np.float64))[1], minlength=ID_BITS + 1) for b in blocks), np.zeros(ID_BITS + 1, np.int64))
+            self.widths = best_widths(bits.tolist())
         self.levels = [_Level(w, k == len(self.widths) - 1) for k, w in enumerate(self.widths)]
-        for ids in self.ids:
-            self._levels(ids)
+        for block in blocks:
+            self._levels(block)
         self._levels(np.empty(0, np.uint32), end=True)
         sections = {
             "docs": np.array([d or 0 for d in self.docs], "<i8").tobytes(), "nulls": bytes(d is None for d in self.docs) if None in self.docs else b"",
@@ -476,7 +479,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                         at = end
 
     files = manifest.select("path", "start")
-    return files.repartition(max(1, min(files.count(), 10_000)), "path").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
+    tasks = max(1, min(files.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return files.repartition(tasks, "path").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_tokens(spark: SparkSession, folder: str, positions: DataFrame, position: str = "position", tokens_a_file: int = TOKENS_A_FILE) -> DataFrame:
