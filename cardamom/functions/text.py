@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # Full-width forms that fold to ASCII (CJK punctuation stays).
 WIDE = "".join(chr(c) for c in [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)])
 NARROW = "".join(chr(ord(c) - 0xFEE0) for c in WIDE)
+# All blanks of Unicode, for a character class.
+BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def normal_form(form: str):
@@ -138,6 +140,39 @@ def is_additive_space(old: Column, new: Column) -> Column:
     return (bare(old) == bare(new)) & (F.length(new) > F.length(old))
 
 
+def _gaps(text: Column) -> Column:
+    """array<struct<at, blank>> of the blanks in a text: how many other characters stand before each, and the blanks themselves."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<at:int,blank:string>>").alias("gaps"))
+
+    def step(s: Column, piece: Column) -> Column:
+        blank = piece.rlike(f"^[{BLANKS}]")
+        gaps = F.when(blank, F.concat(s["gaps"], F.array(F.struct(s["n"].alias("at"), piece.alias("blank"))))).otherwise(s["gaps"])
+        return F.struct(F.when(blank, s["n"]).otherwise(s["n"] + F.length(piece)).alias("n"), gaps.alias("gaps"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(f"[{BLANKS}]+|[^{BLANKS}]+"), F.lit(0)), start, step, lambda s: s["gaps"])
+
+
+def merge_spaces(original: Column, first: Column, second: Column | None = None) -> Column:
+    """The original with a space wherever the reading (with two, both of them) has blanks between two ASCII letters and the original has none.
+
+    Null unless all have the same characters apart from blanks, or if one is null. The original's own blanks stay as they are. The texts are compared by the
+    numbers of characters before their blanks; work grows with the square of a line's number of words.
+    """
+    bare = lambda x: F.regexp_replace(x, f"[{BLANKS}]+", "")
+    letters, own = bare(original), _gaps(original)
+    places = lambda gaps: F.transform(gaps, lambda g: g["at"])
+    new = F.array_except(places(_gaps(first)), places(own))
+    same = letters == bare(first)
+    if second is not None:
+        new, same = F.array_intersect(new, places(_gaps(second))), same & (letters == bare(second))
+    split = F.filter(new, lambda p: (p > 0) & F.substr(letters, p, F.lit(2)).rlike("^[A-Za-z]{2}$"))
+    gaps = F.array_sort(F.concat(own, F.transform(split, lambda p: F.struct(p.alias("at"), F.lit(" ").alias("blank")))))
+    ends = F.concat(gaps, F.array(F.struct(F.length(letters).alias("at"), F.lit("").alias("blank"))))
+    starts = F.concat(F.array(F.lit(0)), places(gaps))
+    parts = F.zip_with(starts, ends, lambda a, e: F.concat(F.substr(letters, a + 1, e["at"] - a), e["blank"]))
+    return F.when(same, F.array_join(parts, ""))
+
+
 def is_prefix_trim(old: Column, new: Column) -> Column:
     return F.startswith(old, new) & (old != new)
 

@@ -92,6 +92,27 @@ def apply_corrections(rows: DataFrame, corrections: DataFrame) -> tuple[DataFram
     return fixed, judged.where("code IS NOT NULL").select(*place, "code")
 
 
+def spacing_candidates(first: DataFrame, second: DataFrame | None = None, least: float = 0.90) -> tuple[DataFrame, DataFrame]:
+    """(candidates, mismatches) of lines whose readings split words that the line runs together.
+
+    Readings are (page, block, source, old_text, review_text, review_score), one a line. A candidate has the line's characters and own blanks, at least one
+    space more, and a score, the lower of two, of ``least`` or more; it stays UNREVIEWED. With a second reading both must show a split, and lines that only one
+    model read (MISSING_FIRST, MISSING_SECOND) or whose source or text differ (SOURCE_DIFFERS) are mismatches and give no candidate.
+    """
+    place = ["page", "block"]
+    if second is None:
+        rows = first.withColumns({"_code": F.lit(None).cast("string"), "score": F.col("review_score"), "candidate": text.merge_spaces(F.col("old_text"), F.col("review_text"))})
+    else:
+        other = second.select(*place, *[F.col(c).alias("_" + c) for c in ("source", "old_text", "review_text", "review_score")], F.lit(True).alias("_two"))
+        both = first.withColumn("_one", F.lit(True)).join(other, place, "full")
+        same = F.col("source").eqNullSafe(F.col("_source")) & F.col("old_text").eqNullSafe(F.col("_old_text"))
+        code = F.when(F.col("_one").isNull(), "MISSING_FIRST").when(F.col("_two").isNull(), "MISSING_SECOND").when(~same, "SOURCE_DIFFERS")
+        score = F.when(F.col("review_score").isNotNull() & F.col("_review_score").isNotNull(), F.least("review_score", "_review_score"))
+        rows = both.withColumns({"_code": code, "score": score, "candidate": text.merge_spaces(F.col("old_text"), F.col("review_text"), F.col("_review_text"))})
+    good = rows.where("_code IS NULL AND candidate <> old_text").where(F.col("score") >= least)
+    return good.select(*place, "source", "old_text", "candidate", "score", F.lit("UNREVIEWED").alias("verdict")), rows.where("_code IS NOT NULL").select(*place, F.col("_code").alias("code"))
+
+
 def classify_sessions(sessions: DataFrame, users: DataFrame, now_ms: int) -> DataFrame:
     """session_id, status: the first rule that fails of INVALID, REVOKED, EXPIRED, DISABLED, VERSION_MISMATCH, else OK."""
     known = users.select(F.col("user_id").alias("_user"), "status", F.col("session_version").alias("_version"))
