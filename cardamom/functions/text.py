@@ -140,16 +140,17 @@ def is_additive_space(old: Column, new: Column) -> Column:
     return (bare(old) == bare(new)) & (F.length(new) > F.length(old))
 
 
-def _gaps(text: Column) -> Column:
-    """array<struct<at, blank>> of the blanks in a text: how many other characters stand before each, and the blanks themselves."""
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<at:int,blank:string>>").alias("gaps"))
+def _word_ends(text: Column) -> Column:
+    """array<int> of how many characters that aren't blanks stand up to the end of each word."""
+    lengths = F.transform(F.regexp_extract_all(text, F.lit(f"[^{BLANKS}]+"), F.lit(0)), F.length)
+    return F.aggregate(lengths, F.array().cast("array<int>"), lambda s, n: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + n)))
 
-    def step(s: Column, piece: Column) -> Column:
-        blank = piece.rlike(f"^[{BLANKS}]")
-        gaps = F.when(blank, F.concat(s["gaps"], F.array(F.struct(s["n"].alias("at"), piece.alias("blank"))))).otherwise(s["gaps"])
-        return F.struct(F.when(blank, s["n"]).otherwise(s["n"] + F.length(piece)).alias("n"), gaps.alias("gaps"))
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(f"[{BLANKS}]+|[^{BLANKS}]+"), F.lit(0)), start, step, lambda s: s["gaps"])
+def _gaps(text: Column) -> Column:
+    """array<struct<at, blank>> of the blanks in a text: how many other characters stand before each, and the blanks themselves."""
+    blanks = F.regexp_extract_all(text, F.lit(f"[{BLANKS}]+"), F.lit(0))
+    first = F.when(text.rlike(f"^[{BLANKS}]"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return F.zip_with(F.slice(F.concat(first, _word_ends(text)), F.lit(1), F.size(blanks)), blanks, lambda at, blank: F.struct(at.alias("at"), blank.alias("blank")))
 
 
 def merge_spaces(original: Column, first: Column, second: Column | None = None) -> Column:
@@ -159,18 +160,24 @@ def merge_spaces(original: Column, first: Column, second: Column | None = None)
     numbers of characters before their blanks; work grows with the square of a line's number of words.
     """
     bare = lambda x: F.regexp_replace(x, f"[{BLANKS}]+", "")
-    letters, own = bare(original), _gaps(original)
     places = lambda gaps: F.transform(gaps, lambda g: g["at"])
-    new = F.array_except(places(_gaps(first)), places(own))
-    same = letters == bare(first)
+    same = bare(original) == bare(first)
+    wanted = _word_ends(first)
     if second is not None:
-        new, same = F.array_intersect(new, places(_gaps(second))), same & (letters == bare(second))
-    split = F.filter(new, lambda p: (p > 0) & F.substr(letters, p, F.lit(2)).rlike("^[A-Za-z]{2}$"))
-    gaps = F.array_sort(F.concat(own, F.transform(split, lambda p: F.struct(p.alias("at"), F.lit(" ").alias("blank")))))
-    ends = F.concat(gaps, F.array(F.struct(F.length(letters).alias("at"), F.lit("").alias("blank"))))
-    starts = F.concat(F.array(F.lit(0)), places(gaps))
-    parts = F.zip_with(starts, ends, lambda a, e: F.concat(F.substr(letters, a + 1, e["at"] - a), e["blank"]))
-    return F.when(same, F.array_join(parts, ""))
+        same, wanted = same & (bare(original) == bare(second)), F.array_intersect(wanted, _word_ends(second))
+
+    def split(s: Column) -> Column:
+        new = F.filter(F.array_except(s["wanted"], places(s["own"])), lambda p: (p > 0) & F.substr(s["letters"], p, F.lit(2)).rlike("^[A-Za-z]{2}$"))
+        return F.struct(s["letters"], F.array_sort(F.concat(s["own"], F.transform(new, lambda p: F.struct(p.alias("at"), F.lit(" ").alias("blank"))))).alias("gaps"))
+
+    def join(s: Column) -> Column:
+        ends = F.concat(s["gaps"], F.array(F.struct(F.length(s["letters"]).alias("at"), F.lit("").alias("blank"))))
+        starts = F.concat(F.array(F.lit(0)), places(s["gaps"]))
+        return F.array_join(F.zip_with(starts, ends, lambda a, e: F.concat(F.substr(s["letters"], a + 1, e["at"] - a), e["blank"])), "")
+
+    # Lambdas name what is used for each word, so that it is made once a line.
+    facts = F.array(F.struct(bare(original).alias("letters"), _gaps(original).alias("own"), wanted.alias("wanted")))
+    return F.when(same, F.transform(F.transform(facts, split), join)[0])
 
 
 def is_prefix_trim(old: Column, new: Column) -> Column:

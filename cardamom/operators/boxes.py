@@ -63,25 +63,30 @@ def _narrow(boxes: DataFrame) -> DataFrame:
     return boxes.select("page", "block", *_SIDES, _text().alias("text"), "confidence")
 
 
-def drop_tile_duplicates(boxes: DataFrame) -> DataFrame:
+def drop_tile_duplicates(boxes: DataFrame, bands: int = 100) -> DataFrame:
     """Boxes without those that a more certain kept box covers: overlap of 0.45 with the same text, or of 0.8 with any. Order: confidence, text, block."""
     rank, rank2 = (F.struct(-F.col("confidence" + x), F.col("text" + x), F.col("block" + x)) for x in ("", "2"))
-    pairs = near_pairs(_narrow(boxes)).where(rank < rank2).withColumn("_iou", iou(_sides(), _sides("2")))
+    pairs = near_pairs(_narrow(boxes), bands).where(rank < rank2).withColumn("_iou", iou(_sides(), _sides("2")))
     pairs = pairs.where((F.col("_iou") >= 0.8) | (F.col("_iou") >= 0.45) & (F.col("text") == F.col("text2")))
     return boxes.join(suppressed(pairs), ["page", "block"], "left_anti")
 
 
 def join_overlapping(left: Column, right: Column) -> Column:
     """Two readings as one text: the longest end of the first that begins the second stands once; without one, a blank between letters or digits."""
-    a, b = F.regexp_replace(left, f"[{t.BLANKS}]+$", ""), F.regexp_replace(right, f"^[{t.BLANKS}]+", "")
-    most = F.least(F.length(a), F.length(b))
-    sizes = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    shared = F.get(F.filter(sizes, lambda n: F.endswith(a, F.substr(b, F.lit(1), n))), 0)
-    blank = F.when(a.rlike(r"[\p{L}\p{N}]$") & b.rlike(r"^[\p{L}\p{N}]"), " ").otherwise("")
-    return F.when(shared.isNotNull(), F.concat(a, F.substr(b, shared + 1, F.length(b)))).otherwise(F.concat(a, blank, b))
 
+    def join(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        most = F.least(F.length(a), F.length(b))
+        sizes = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        shared = F.coalesce(F.get(F.filter(sizes, lambda n: F.endswith(a, F.substr(b, F.lit(1), n))), 0), F.lit(0))
+        blank = F.when((shared == 0) & a.rlike(r"[\p{L}\p{N}]$") & b.rlike(r"^[\p{L}\p{N}]"), " ").otherwise("")
+        return F.concat(a, blank, F.substr(b, shared + 1, F.length(b)))
 
-def seam_matches(boxes: DataFrame) -> DataFrame:
+    ends = F.struct(F.regexp_replace(left, f"[{t.BLANKS}]+$", "").alias("a"), F.regexp_replace(right, f"^[{t.BLANKS}]+", "").alias("b"))
+    return F.transform(F.array(ends), join)[0]
+
+
+def seam_matches(boxes: DataFrame, bands: int = 100) -> DataFrame:
     """page, block, right, earlier: left parts of lines at the seam in the middle of a page, each with the right part that it takes.
 
     Left parts choose from the top down: the open right part with the smallest gap, then the upper one. A box that was taken before its turn chooses nothing;
@@ -91,7 +96,7 @@ def seam_matches(boxes: DataFrame) -> DataFrame:
     gap = F.col("x02") - F.col("x1")
     left = (F.col("x0") < 0.475) & F.col("x1").between(0.475, 0.55)
     right = F.col("x02").between(0.45, 0.525) & (F.col("x12") > 0.525) & gap.between(-0.10, 0.015)
-    pairs = near_pairs(_narrow(boxes)).where(left & right & (vertical_overlap(_sides(), _sides("2")) >= 0.65))
+    pairs = near_pairs(_narrow(boxes).drop("text"), bands).where(left & right & (vertical_overlap(_sides(), _sides("2")) >= 0.65))
     open_ = cut(pairs.select("page", "block", order.alias("o"), F.col("block2").alias("right"), order2.alias("o2"), F.abs(gap).alias("gap")))
     done = open_.selectExpr("page", "block", "right", "o2 < o AS earlier").limit(0)
     while not open_.isEmpty():
@@ -110,9 +115,9 @@ def seam_matches(boxes: DataFrame) -> DataFrame:
     return done
 
 
-def merge_seams(boxes: DataFrame) -> DataFrame:
+def merge_seams(boxes: DataFrame, bands: int = 100) -> DataFrame:
     """Boxes with the two parts of a line that the seam cut as one: the box around both, their joined text, the lower confidence; other columns from the left part."""
-    matches = cut(seam_matches(boxes))
+    matches = seam_matches(boxes, bands)
     parts = _narrow(boxes).select("page", F.col("block").alias("right"), *[F.col(c).alias("_" + c) for c in (*_SIDES, "text", "confidence")])
     rights = matches.join(parts, ["page", "right"]).drop("right", "earlier").withColumn("_on", F.lit(True))
     rows = boxes.join(matches.where("NOT earlier").select("page", F.col("right").alias("block")), ["page", "block"], "left_anti").join(rights, ["page", "block"], "left")
@@ -123,7 +128,7 @@ def merge_seams(boxes: DataFrame) -> DataFrame:
     return rows.withColumns(side | made).select(*boxes.columns)
 
 
-def drop_line_variants(boxes: DataFrame) -> DataFrame:
+def drop_line_variants(boxes: DataFrame, bands: int = 100) -> DataFrame:
     """Boxes without narrower readings of a kept line at the same height (0.75 of the smaller): overlap of 0.5; a text that holds the other; 0.85 of the
     narrower one's width with a similar text (0.65); or 0.65 of it at 0.65 of the width or less. Order: width, length of text, confidence, block.
     """
@@ -131,7 +136,7 @@ def drop_line_variants(boxes: DataFrame) -> DataFrame:
     width, width2 = F.col("x1") - F.col("x0"), F.col("x12") - F.col("x02")
     common = F.greatest(F.least("x1", "x12") - F.greatest("x0", "x02"), F.lit(0.0))
     share = F.when(F.least(width, width2) > 0, common / F.least(width, width2)).otherwise(0.0)
-    pairs = near_pairs(_narrow(boxes)).where((rank < rank2) & (vertical_overlap(_sides(), _sides("2")) >= 0.75)).withColumn("_share", share)
+    pairs = near_pairs(_narrow(boxes), bands).where((rank < rank2) & (vertical_overlap(_sides(), _sides("2")) >= 0.75)).withColumn("_share", share)
     contained = F.contains(F.col("text"), F.col("text2")) | F.contains(F.col("text2"), F.col("text"))
     sure = (iou(_sides(), _sides("2")) >= 0.5) | contained | (width2 <= width * 0.65) & (F.col("_share") >= 0.65)
     pairs = cut(pairs.withColumn("_sure", sure).where("_sure OR _share >= 0.85").select("page", "block", "block2", "text", "text2", "_sure"))
@@ -140,6 +145,9 @@ def drop_line_variants(boxes: DataFrame) -> DataFrame:
     return boxes.join(suppressed(pairs.where("_sure").unionByName(alike)), ["page", "block"], "left_anti")
 
 
-def clean_boxes(boxes: DataFrame) -> DataFrame:
-    """Duplicates of tiles dropped, parts at the seam joined, variants of a line dropped; each step's boxes are written before the next."""
-    return drop_line_variants(cut(merge_seams(cut(drop_tile_duplicates(boxes)))))
+def clean_boxes(boxes: DataFrame, bands: int = 100) -> DataFrame:
+    """Duplicates of tiles dropped, parts at the seam joined, variants of a line dropped; each step's boxes are written before the next.
+
+    Take about as many bands as a page has lines: boxes meet by bands.
+    """
+    return drop_line_variants(cut(merge_seams(cut(drop_tile_duplicates(boxes, bands)), bands)), bands)

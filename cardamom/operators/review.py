@@ -101,16 +101,19 @@ def spacing_candidates(first: DataFrame, second: DataFrame | None = None, least:
     """
     place = ["page", "block"]
     if second is None:
-        rows = first.withColumns({"_code": F.lit(None).cast("string"), "score": F.col("review_score"), "candidate": text.merge_spaces(F.col("old_text"), F.col("review_text"))})
+        rows = first.withColumns({"_code": F.lit(None).cast("string"), "score": F.col("review_score")})
+        merged = text.merge_spaces(F.col("old_text"), F.col("review_text"))
     else:
         other = second.select(*place, *[F.col(c).alias("_" + c) for c in ("source", "old_text", "review_text", "review_score")], F.lit(True).alias("_two"))
         both = first.withColumn("_one", F.lit(True)).join(other, place, "full")
         same = F.col("source").eqNullSafe(F.col("_source")) & F.col("old_text").eqNullSafe(F.col("_old_text"))
         code = F.when(F.col("_one").isNull(), "MISSING_FIRST").when(F.col("_two").isNull(), "MISSING_SECOND").when(~same, "SOURCE_DIFFERS")
         score = F.when(F.col("review_score").isNotNull() & F.col("_review_score").isNotNull(), F.least("review_score", "_review_score"))
-        rows = both.withColumns({"_code": code, "score": score, "candidate": text.merge_spaces(F.col("old_text"), F.col("review_text"), F.col("_review_text"))})
-    good = rows.where("_code IS NULL AND candidate <> old_text").where(F.col("score") >= least)
-    return good.select(*place, "source", "old_text", "candidate", "score", F.lit("UNREVIEWED").alias("verdict")), rows.where("_code IS NOT NULL").select(*place, F.col("_code").alias("code"))
+        rows = both.withColumns({"_code": code, "score": score})
+        merged = text.merge_spaces(F.col("old_text"), F.col("review_text"), F.col("_review_text"))
+    changed = F.explode(F.filter(F.array(merged), lambda c: c != F.col("old_text")))  # a generator, so that no filter makes the candidate a second time
+    good = rows.where("_code IS NULL").where(F.col("score") >= least).select(*place, "source", "old_text", changed.alias("candidate"), "score", F.lit("UNREVIEWED").alias("verdict"))
+    return good, rows.where("_code IS NOT NULL").select(*place, F.col("_code").alias("code"))
 
 
 def classify_sessions(sessions: DataFrame, users: DataFrame, now_ms: int) -> DataFrame:

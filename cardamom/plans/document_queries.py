@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import documents
+from ..operators import boxes, documents
 from ..sources import standins as s
 from ..sources.standins import with_views
 
@@ -91,6 +91,64 @@ def duplicate_boxes(spark, d):
     return documents.duplicate_boxes(s.text_block(spark, d))
 
 
+def _tiles(spark, d):
+    """Blocks as overlapping tiles give them, by (page + block) % 4: whole; in two parts at the seam, one in eight with the right part a hair higher; whole with a
+    narrow piece; three times, each a quarter lower than the last."""
+    rows = s.text_block(spark, d).selectExpr("*", "(page + block) % 8 AS m", "CAST(length(text) div 2 AS INT) AS h")
+    kinds = [
+        ("m % 4 IN (0, 2)", "block * 4", "x0", "x1", "0.0", "text", "confidence"),
+        ("m % 4 = 1", "block * 4", "x0", "0.5", "0.0", "substring(text, 1, h + 3)", "confidence"),
+        ("m % 4 = 1", "block * 4 + 1", "0.49", "x1", "CASE m WHEN 5 THEN -0.00001 ELSE 0.00001 END", "substring(text, h + 1)", "confidence / 2"),
+        ("m % 4 = 2", "block * 4 + 1", "0.12", "0.3", "0.0", "concat('~', substring(text, 2, 9))", "confidence"),
+        ("m % 4 = 3", "block * 4", "x0", "x1", "0.0", "text", "confidence"),
+        ("m % 4 = 3", "block * 4 + 1", "x0", "x1", "0.0005", "text", "(block * 7 % 10) / 10"),
+        ("m % 4 = 3", "block * 4 + 2", "x0", "x1", "0.001", "text", "(block * 3 % 10) / 10")]
+    box = "struct({1} AS block, CAST({2} AS DOUBLE) AS x0, y0 + CAST({4} AS DOUBLE) AS y0, CAST({3} AS DOUBLE) AS x1, y1 + CAST({4} AS DOUBLE) AS y1, {5} AS text, CAST({6} AS DOUBLE) AS confidence)"
+    made = "array_compact(array(" + ", ".join(f"CASE WHEN {k[0]} THEN {box.format(*k)} END" for k in kinds) + "))"
+    return rows.selectExpr("page", f"explode({made}) AS b").select("page", "b.*")
+
+
+# Part of the pages' text stays out of the comparison of boxes but for its hash; SQL walks each page in order, with the list of what it kept.
+_TILES = """src AS (SELECT *, (page + block) % 8 AS m, length(text) // 2 AS h FROM text_block),
+tiles AS (SELECT page, block * 4 AS block, x0, y0, x1, y1, text, confidence::DOUBLE AS confidence FROM src WHERE m % 4 IN (0, 2, 3)
+  UNION ALL SELECT page, block * 4, x0, y0, 0.5::DOUBLE, y1, substring(text, 1, h + 3), confidence FROM src WHERE m % 4 = 1
+  UNION ALL SELECT page, block * 4 + 1, 0.49::DOUBLE, y0 + CASE m WHEN 5 THEN -0.00001::DOUBLE ELSE 0.00001::DOUBLE END, x1, y1 + CASE m WHEN 5 THEN -0.00001::DOUBLE ELSE 0.00001::DOUBLE END, substring(text, h + 1), confidence / 2 FROM src WHERE m % 4 = 1
+  UNION ALL SELECT page, block * 4 + 1, 0.12::DOUBLE, y0, 0.3::DOUBLE, y1, '~' || substring(text, 2, 9), confidence FROM src WHERE m % 4 = 2
+  UNION ALL SELECT page, block * 4 + 1, x0, y0 + 0.0005::DOUBLE, x1, y1 + 0.0005::DOUBLE, text, (block * 7 % 10) / 10 FROM src WHERE m % 4 = 3
+  UNION ALL SELECT page, block * 4 + 2, x0, y0 + 0.001::DOUBLE, x1, y1 + 0.001::DOUBLE, text, (block * 3 % 10) / 10 FROM src WHERE m % 4 = 3)"""
+
+
+@_add("C23_tile_duplicates", f"""WITH RECURSIVE {_TILES},
+o AS (SELECT *, sha256(text) AS t, row_number() OVER (PARTITION BY page ORDER BY confidence DESC, text, block) AS k FROM tiles),
+walk AS (SELECT page, 0::BIGINT AS k, []::STRUCT(block BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, t VARCHAR)[] AS kept FROM (SELECT DISTINCT page FROM tiles)
+  UNION ALL SELECT w.page, o.k, CASE WHEN len(list_filter(list_transform(w.kept, lambda p: struct_pack(
+      same := p.t = o.t, part := greatest(least(p.x1, o.x1) - greatest(p.x0, o.x0), 0) * greatest(least(p.y1, o.y1) - greatest(p.y0, o.y0), 0), total := (p.x1 - p.x0) * (p.y1 - p.y0) + (o.x1 - o.x0) * (o.y1 - o.y0))),
+      lambda q: q.part / (q.total - q.part) >= 0.8 OR q.same AND q.part / (q.total - q.part) >= 0.45)) > 0 THEN w.kept
+    ELSE list_append(w.kept, struct_pack(block := o.block, x0 := o.x0, y0 := o.y0, x1 := o.x1, y1 := o.y1, t := o.t)) END
+  FROM walk w JOIN o ON o.page = w.page AND o.k = w.k + 1)
+SELECT page, unnest(kept).block AS block FROM (SELECT page, arg_max(kept, k) AS kept FROM walk GROUP BY page)""")
+def tile_duplicates(spark, d):
+    return boxes.drop_tile_duplicates(_tiles(spark, d), 500).select("page", "block")
+
+
+@_add("C23_seam_matches", f"""WITH RECURSIVE {_TILES},
+c AS (SELECT l.page, l.block, l.y0, l.x0, r.block AS right_block, (r.y0, r.x0, r.block) < (l.y0, l.x0, l.block) AS earlier, row_number() OVER (PARTITION BY l.page, l.block ORDER BY abs(r.x0 - l.x1), r.y0, r.x0, r.block) AS n
+  FROM tiles l JOIN tiles r ON r.page = l.page AND r.block <> l.block AND l.x0 < 0.475 AND l.x1 BETWEEN 0.475 AND 0.55 AND r.x0 BETWEEN 0.45 AND 0.525 AND r.x1 > 0.525 AND r.x0 - l.x1 BETWEEN -0.10 AND 0.015
+    AND least(l.y1, r.y1) - greatest(l.y0, r.y0) > 0 AND (least(l.y1, r.y1) - greatest(l.y0, r.y0)) / least(l.y1 - l.y0, r.y1 - r.y0) >= 0.65),
+o AS (SELECT page, block, list(struct_pack(r := right_block, e := earlier) ORDER BY n) AS can, row_number() OVER (PARTITION BY page ORDER BY y0, x0, block) AS k FROM c GROUP BY page, block, y0, x0),
+walk AS (SELECT page, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS block, NULL::STRUCT(r BIGINT, e BOOLEAN) AS got FROM (SELECT DISTINCT page FROM o)
+  UNION ALL SELECT page, k, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.r) END, block, got
+  FROM (SELECT w.page, o.k, w.used, o.block, CASE WHEN NOT list_contains(w.used, o.block) THEN list_filter(o.can, lambda x: NOT list_contains(w.used, x.r))[1] END AS got FROM walk w JOIN o ON o.page = w.page AND o.k = w.k + 1))
+SELECT page, block, got.r AS right_block, got.e AS earlier FROM walk WHERE got IS NOT NULL""")
+def seam_matches(spark, d):
+    return boxes.seam_matches(_tiles(spark, d), 500).withColumnRenamed("right", "right_block")
+
+
+@_add("C23_clean_boxes")
+def clean_boxes(spark, d):
+    return boxes.clean_boxes(_tiles(spark, d), 500).withColumn("text", F.sha2("text", 256))
+
+
 @_add("J11_lines_in_regions", """SELECT page, block FROM text_block l WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT doc_id AS page, 0.05::DOUBLE AS x0, 0.02::DOUBLE AS y0, 0.95::DOUBLE AS x1, 0.06::DOUBLE AS y1 FROM documents) r
 WHERE r.page = l.page AND l.x0 >= r.x0 - 0.005 AND l.x1 <= r.x1 + 0.005 AND l.y0 >= r.y0 - 0.005 AND l.y1 <= r.y1 + 0.005)""")
 def lines_in_regions(spark, d):

@@ -128,6 +128,37 @@ def apply_accepted(spark, d):
     return review.apply_corrections(s.text_block(spark, d), _corrections(spark, d))[0].select("page", "block", F.sha2("text", 256).alias("digest"))
 
 
+def _spaced(spark, d):
+    """Two readings of blocks that run words together before a vowel: the second misses splits before ``a``, reads some in capitals, lacks some blocks and names another source for some."""
+    rows = s.text_block(spark, d).selectExpr("page", "block", "'h' AS source", "regexp_replace(text, ' ([aeiou])', '$1') AS old_text", "text", "0.85 + CAST((page * 31 + block * 17) % 20 AS DOUBLE) / 100 AS review_score")
+    first = rows.where("block % 23 <> 5").withColumnRenamed("text", "review_text")
+    second = rows.where("block % 19 <> 4").selectExpr(
+        "page", "block", "CASE WHEN block % 29 = 3 THEN 'x' ELSE source END AS source", "old_text", "CASE block % 6 WHEN 1 THEN replace(text, ' a', 'a') WHEN 3 THEN upper(text) ELSE text END AS review_text",
+        "0.95 AS review_score").withColumn("review_score", F.col("review_score").cast("double"))
+    return first, second
+
+
+_SPACED = """sp AS (SELECT page, block, regexp_replace(text, ' ([aeiou])', '\\1', 'g') AS old, text AS a, CASE block % 6 WHEN 1 THEN replace(text, ' a', 'a') WHEN 3 THEN upper(text) ELSE text END AS b,
+  least(0.85::DOUBLE + ((page * 31 + block * 17) % 20)::DOUBLE / 100, 0.95::DOUBLE) AS score FROM text_block)"""
+
+
+@_add("C28_spacing_candidates", f"""WITH {_SPACED}, ok AS (SELECT * FROM sp WHERE block % 23 <> 5 AND block % 19 <> 4 AND block % 29 <> 3 AND score >= 0.9 AND replace(old, ' ', '') = replace(a, ' ', '') AND replace(old, ' ', '') = replace(b, ' ', '')),
+ch AS (SELECT page, block, 'old' AS w, old AS t, unnest(range(1, length(old) + 1)) AS i FROM ok UNION ALL SELECT page, block, 'a', a, unnest(range(1, length(a) + 1)) FROM ok UNION ALL SELECT page, block, 'b', b, unnest(range(1, length(b) + 1)) FROM ok),
+c AS (SELECT page, block, w, i, t[i] AS c, t[i + 1] AS nxt, sum(CASE WHEN t[i] = ' ' THEN 0 ELSE 1 END) OVER (PARTITION BY page, block, w ORDER BY i) AS p FROM ch),
+g AS (SELECT page, block, p FROM c WHERE w <> 'old' AND c = ' ' GROUP BY ALL HAVING count(DISTINCT w) = 2),
+made AS (SELECT c.page, c.block, string_agg(c.c || CASE WHEN g.p IS NOT NULL AND regexp_matches(c.c || c.nxt, '^[A-Za-z]{{2}}$') THEN ' ' ELSE '' END, '' ORDER BY c.i) AS candidate FROM c LEFT JOIN g ON g.page = c.page AND g.block = c.block AND g.p = c.p WHERE c.w = 'old' GROUP BY c.page, c.block)
+SELECT page, block, round(score, 6) AS score, sha256(candidate) AS candidate FROM made JOIN ok USING (page, block) WHERE candidate <> old""")
+def spacing_candidates(spark, d):
+    good, _ = review.spacing_candidates(*_spaced(spark, d))
+    return good.select("page", "block", F.round("score", 6).alias("score"), F.sha2("candidate", 256).alias("candidate"))
+
+
+@_add("C28_spacing_mismatches", """SELECT page, block, CASE WHEN block % 23 = 5 THEN 'MISSING_FIRST' WHEN block % 19 = 4 THEN 'MISSING_SECOND' ELSE 'SOURCE_DIFFERS' END AS code FROM text_block
+WHERE (block % 23 = 5) <> (block % 19 = 4) OR block % 29 = 3 AND block % 23 <> 5 AND block % 19 <> 4""")
+def spacing_mismatches(spark, d):
+    return review.spacing_candidates(*_spaced(spark, d))[1]
+
+
 def _auth(spark, d):
     sessions = s.study_session(spark, d).selectExpr(
         "session_id", "user_id + CASE WHEN created_at % 53 = 0 THEN 100000000 ELSE 0 END AS user_id", "CASE WHEN created_at % 29 = 0 THEN created_at END AS revoked_at", "expires_at", "CAST(created_at % 2 AS INT) AS session_version")
