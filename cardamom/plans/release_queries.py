@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import releases
+from ..operators import gates, releases
 from ..sources import standins as s
 from ..sources.standins import NOW_MS, with_views
 from .study_queries import _STAGE, _progress
@@ -202,3 +202,57 @@ def unit_workloads(spark, d):
     size = lambda c: F.sum(F.when(F.col(c).isNull(), 0).otherwise(F.size(c))).alias(c)
     keys = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_order", "word_key"))), lambda x: x["word_key"]), ",")
     return entries.groupBy("unit_key").agg(F.count("*").alias("words"), size("senses"), size("phrases"), size("examples"), keys.alias("keys"))
+
+
+# What the gates' tables are made of: new keys of words, one in 101 malformed, and rows that lack their word.
+_KEY = "CASE WHEN p_partkey % 101 = 0 THEN '?' ELSE '' END || CASE WHEN p_partkey % 3 = 1 THEN {sha}(word_key) ELSE 'w.' || unit_key || '.' || {pad} || '.' || headword END"
+_WAV = "'5249464634000000' || {riff} || '666d74201000000001000100c05d000080bb0000020010006461746110000000' || md5(word_key)"
+
+
+def _gate_tables(spark, d):
+    w = s.word(spark, d).withColumn("k", F.expr(_KEY.format(sha="sha2", pad="format_string('%04d', source_order)").replace("sha2(word_key)", "sha2(word_key, 256)")))
+    w = w.withColumn("parent", F.expr("CASE WHEN p_partkey % 97 = 0 THEN 'gone' ELSE k END"))
+    sense = w.withColumn("sense_order", F.explode(F.expr("sequence(1, CAST(1 + p_partkey % 2 AS INT))"))).selectExpr("parent AS word_key", "sense_order", "CASE WHEN p_partkey % 89 = 0 THEN 'bad' ELSE concat('s.', parent, '.', sense_order) END AS sense_key")
+    part = lambda kind, key, every: w.where(f"p_partkey % {every} = 0").selectExpr("parent AS word_key", "1 AS source_order", f"concat('{kind}.', parent, '.1') AS {key}", "unit_key")
+    cards = w.selectExpr("CASE WHEN p_partkey % 79 = 0 THEN upper(sha2(k, 256)) ELSE sha2(k, 256) END AS content_card_key", "k AS word_key", "unit_key")
+    example = part("ex", "example_key", 3)
+    reports = w.groupBy("unit_key").agg(F.count("*").alias("words"), F.count("*").alias("cards"), F.count_if(F.expr("p_partkey % 3 = 0 AND p_partkey % 500 <> 0")).alias("examples"))
+    words = w.selectExpr("k AS word_key", "CASE WHEN p_partkey % 71 = 0 THEN 'Brand#0' ELSE unit_key END AS unit_key", "source_order", "headword")
+    phrase = part("ph", "phrase_key", 2)
+    index = [t.select(F.lit(1).alias("x")) for t in (words, sense, phrase, example, w.where("p_partkey % 83 = 0"))]
+    return w, {"word": words, "sense": sense, "phrase": phrase, "example": example, "card_definition": cards, "unit": s.unit(spark, d), "release_unit": reports,
+               "content_search_fts": index[0].unionByName(index[1]).unionByName(index[2]).unionByName(index[3]).unionByName(index[4]), "content_key_alias": s.content_key_alias(spark, d)}
+
+
+def _audio(w):
+    """A short WAV file a word; some are lost, altered, not validated, without a good header, or of another rate."""
+    good = _WAV.format(riff="'57415645'")
+    assets = w.selectExpr("word_key AS asset_key", f"sha2(unhex(CASE WHEN p_partkey % 29 = 0 THEN {_WAV.format(riff=chr(39) + '57415646' + chr(39))} ELSE {good} END), 256) AS content_sha256",
+                          "CASE WHEN p_partkey % 23 = 0 THEN 'PENDING' ELSE 'PASSED' END AS validation", "CASE WHEN p_partkey % 31 = 0 THEN 16000 ELSE 24000 END AS sample_rate_hz")
+    body = f"CASE WHEN p_partkey % 29 = 0 THEN {_WAV.format(riff=chr(39) + '57415646' + chr(39))} WHEN p_partkey % 19 = 0 THEN concat({good}, '00') ELSE {good} END"
+    return assets, w.where("p_partkey % 17 <> 0").selectExpr("word_key AS asset_key", f"unhex({body}) AS content")
+
+
+_PROBLEM = "CASE WHEN p_partkey % 17 = 0 THEN 'missing' WHEN p_partkey % 19 = 0 AND p_partkey % 29 <> 0 THEN 'hashMismatch' WHEN p_partkey % 23 = 0 THEN 'unvalidated' WHEN p_partkey % 29 = 0 OR p_partkey % 31 = 0 THEN 'badHeader' END"
+
+
+@_add("A21_audio_problems", f"SELECT word_key AS asset_key, {_PROBLEM} AS problem FROM word")
+def audio_problems(spark, d):
+    return gates.audio_problems(*_audio(_gate_tables(spark, d)[0]))
+
+
+@_add("C13_release_gates", f"""WITH w AS (SELECT *, {_KEY.format(sha="sha256", pad="lpad(CAST(source_order AS VARCHAR), greatest(4, length(CAST(source_order AS VARCHAR)))::INT, '0')")} AS k, {_PROBLEM} AS problem FROM word),
+c AS (SELECT count(*) AS words, sum(1 + p_partkey % 2)::BIGINT AS senses, count(*) FILTER (p_partkey % 2 = 0) AS phrases, count(*) FILTER (p_partkey % 3 = 0) AS examples,
+  count(*) FILTER (p_partkey % 71 = 0) AS lost_units, sum(CASE WHEN p_partkey % 97 = 0 THEN 1 + p_partkey % 2 ELSE 0 END)::BIGINT AS lost_senses, count(*) FILTER (p_partkey % 97 = 0 AND p_partkey % 2 = 0) AS lost_phrases, count(*) FILTER (p_partkey % 97 = 0 AND p_partkey % 3 = 0) AS lost_examples,
+  count(*) FILTER (p_partkey % 101 = 0 OR p_partkey % 71 = 0 AND p_partkey % 3 <> 1) + sum(CASE WHEN p_partkey % 89 = 0 THEN 1 + p_partkey % 2 ELSE 0 END)::BIGINT + count(*) FILTER (p_partkey % 79 = 0) AS malformed,
+  count(*) FILTER (p_partkey % 3 = 0 AND p_partkey % 500 <> 0) AS reported, count(*) FILTER (p_partkey % 83 = 0) AS doubled,
+  count(*) FILTER (problem = 'missing') AS a, count(*) FILTER (problem = 'hashMismatch') AS b, count(*) FILTER (problem = 'unvalidated') AS u, count(*) FILTER (problem = 'badHeader') AS h FROM w),
+al AS (SELECT count(*) AS n FROM (SELECT from_key FROM content_key_alias GROUP BY 1 HAVING count(DISTINCT to_key) > 1))
+SELECT 'schema' AS gate, true AS passed, 'missing= settings=ok' AS details
+UNION ALL SELECT 'foreignKeys', lost_units + lost_senses + lost_phrases + lost_examples = 0, concat('word=', lost_units, ' sense=', lost_senses, ' phrase=', lost_phrases, ' example=', lost_examples, ' card_definition=0') FROM c
+UNION ALL SELECT 'keys', malformed + n = 0, concat('malformed=', malformed, ' of=', words * 2 + senses + phrases + examples, ' aliases=', n) FROM c, al
+UNION ALL SELECT 'audio', words > 0 AND a + b + u + h = 0, concat('rows=', words, ' missing=', a, ' hashMismatch=', b, ' unvalidated=', u, ' badHeader=', h) FROM c
+UNION ALL SELECT 'capacity', words <= 20000 AND reported = examples AND doubled = 0, concat('words=', words, ' cards=', words, ' audio=', words, ' reported_words=', words, ' reported_cards=', words, ' reported_examples=', reported, ' index=', words + senses + phrases + examples + doubled, ' searchable=', words + senses + phrases + examples) FROM c""")
+def release_gates(spark, d):
+    w, tables = _gate_tables(spark, d)
+    return gates.release_gates(tables, gates.audio_problems(*_audio(w)), 1)
