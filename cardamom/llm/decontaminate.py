@@ -15,11 +15,10 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,23 +27,45 @@ from .common import cut, few, fresh, memory_returned, read, small_batches, texts
 WORD = re.compile(r"[^\W_]+")
 #: The bitmap of seeds has 16 bits a seed, but 2^26 bits (8 MB) at most; a fuller one lets more through to the join.
 MIN_BITMAP, MAX_BITMAP = 10, 26
-#: Hashes of words that a task remembers.
-MAX_WORDS = 100_000
+#: Characters hashed at a time, which may end within a word, and texts taken at a time.
+CHARS_AT_ONCE, TEXTS_AT_ONCE = 100_000, 256
 _B = 0x9E3779B97F4A7C15
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered for a while."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def of(self, text: str) -> np.ndarray:
-        words = WORD.findall(text.lower())
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+@cache
+def _in_words() -> np.ndarray:
+    """By code point, whether WORD takes it."""
+    out = np.zeros(0x110000, bool)
+    for run in WORD.finditer("".join(map(chr, range(len(out))))):
+        out[run.start() : run.end()] = True
+    return out
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words by text, 64-bit hashes of all words), from running hashes over the characters. Null texts have no words."""
+    lowered = [t.lower() if t else "" for t in texts]
+    limits = np.cumsum([0, *(len(t) + 1 for t in lowered)])
+    joined = " ".join(lowered)
+    found = [np.empty((3, 0), np.uint64)]
+    for at in range(0, len(joined), CHARS_AT_ONCE):
+        points = np.frombuffer(joined[at : at + CHARS_AT_ONCE].encode("utf-32-le"), np.uint32)
+        inside = np.zeros(len(points) + 2, bool)
+        inside[1:-1] = _in_words()[points]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        running = RunningHash(points.astype(np.uint64))
+        h = np.diff(running.sums[edges])[::2] * running.inverse(edges[::2])
+        found.append(np.stack([edges[::2] + at, edges[1::2] + at, h], dtype=np.uint64, casting="unsafe"))
+    starts, ends, h = np.concatenate(found, axis=1)
+    # A word that a cut went through stands there in parts.
+    first = np.append(True, starts[1:] != ends[:-1])[: len(starts)]
+    whole = np.flatnonzero(first)
+    power = np.ones(len(h), np.uint64)
+    for k in np.flatnonzero(~first):
+        before = starts[k] - starts[whole[np.searchsorted(whole, k) - 1]]
+        power[k] = pow(_B, int(before), 1 << 64)
+    h = np.add.reduceat(h * power, whole) if len(whole) else h
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.diff(np.searchsorted(starts[whole], limits.astype(np.uint64))), h ^ (h >> np.uint64(32))
 
 
 def _values(ids: np.ndarray) -> np.ndarray:
@@ -67,6 +88,10 @@ class RunningHash:
             RunningHash._inverse = np.cumprod(steps)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self._power[: len(values)])])
 
+    def inverse(self, at: np.ndarray) -> np.ndarray:
+        """By these, differences of sums from there on become hashes that don't depend on the place."""
+        return self._inverse[at]
+
     def windows(self, length: int) -> np.ndarray:
         return (self.sums[length:] - self.sums[:-length]) * self._inverse[: max(len(self.sums) - length, 0)]
 
@@ -141,9 +166,10 @@ def benchmark_seeds(items: DataFrame, min_match: int) -> DataFrame:
 
     @F.arrow_udf("struct<n:int,size:int,h:array<long>,times:array<int>>")
     def seeds(texts: pa.Array) -> pa.Array:
-        words, rows = WordHashes(), []
-        for text in texts_in(texts):
-            values = words.of(text)
+        rows = []
+        counts, hashes = word_hashes(texts.to_pylist())
+        for end, n in zip(np.cumsum(counts), counts):
+            values = hashes[end - n : end]
             size = min(min_match, len(values))
             h, times = np.unique(_seed_hashes(values, size) if size else np.empty(0, np.uint64), return_counts=True)
             rows.append({"n": len(values), "size": size, "h": h.view(np.int64), "times": times.astype(np.int32)})
@@ -184,21 +210,27 @@ def candidates(texts: DataFrame, items: DataFrame, min_match: int, threshold: fl
     @F.arrow_udf("array<long>")
     def near(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with memory_returned():
-            (bitmap, sizes), words = shared.value, WordHashes()
+            bitmap, sizes = shared.value
             shift = np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
             for batch in batches:
-                rows = []
-                for text in texts_in(batch):
-                    values = words.of(text)
-                    found = [np.empty(0, np.uint64)]
+                rows = [pa.array([], pa.list_(pa.int64()))]
+                for start in range(0, len(batch), TEXTS_AT_ONCE):
+                    counts, values = word_hashes(batch.slice(start, TEXTS_AT_ONCE).to_pylist())
+                    row = np.repeat(np.arange(len(counts)), counts)
+                    found = [np.empty((2, 0), np.uint64)]
                     for size in sizes:
                         if size <= len(values):
                             h = _seed_hashes(values, size)
                             at = h >> shift
-                            found.append(h[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1])
-                    rows.append(np.unique(np.concatenate(found)).view(np.int64))
-                ends = np.cumsum([0, *map(len, rows)])
-                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, np.int64)])))
+                            hit = (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                            hit &= row[size - 1 :] == row[: len(h)]  # seeds don't reach from text to text
+                            found.append(np.stack([row[: len(h)][hit].astype(np.uint64), h[hit]]))
+                    some = np.concatenate(found, axis=1)
+                    some = some[:, np.lexsort(some[::-1])]
+                    some = some[:, np.append(True, (some[:, 1:] != some[:, :-1]).any(0))[: some.shape[1]]]
+                    ends = np.searchsorted(some[0], np.arange(len(counts) + 1, dtype=np.uint64))
+                    rows.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(some[1].view(np.int64))))
+                yield pa.concat_arrays(rows)
 
     some = texts.select("_k1", "_k2", near("_text").alias("_near")).where(F.size("_near") > 0)
     once = some.groupBy("_k1", "_k2").agg(F.first("_near").alias("_near")).select("_k1", "_k2", F.explode("_near").alias("_h"))

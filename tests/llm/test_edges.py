@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables and clashing columns, for every operator."""
 
 import base64
+import random
+import time
 
 import public_tokenizers
 import pytest
@@ -314,3 +316,27 @@ def test_pipeline_on_edges(spark, tmp_path):
     for table in ("labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{table}.parquet").write.parquet(f"{tmp_path}/none/{table}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 100_000])
+def test_equal_words_and_no_others_hash_alike(monkeypatch, at_once):
+    monkeypatch.setattr(decontaminate, "CHARS_AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    texts = [None, "", "x" * 500, "Ab " * 30, *("".join(rng.choices("abΑΣς'İß_ -.9é文́\x00", k=rng.randint(0, 40))) for _ in range(300))]
+    for some in (texts, texts[::-1], [None], []):
+        counts, hashes = decontaminate.word_hashes(some)
+        words = [decontaminate.WORD.findall(t.lower()) if t else [] for t in some]
+        assert counts.tolist() == [len(w) for w in words]
+        pairs = set(zip([w for own in words for w in own], hashes.tolist(), strict=True))
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+
+def test_hashing_rare_words_costs_less_than_finding_them_one_by_one():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(400)) for _ in range(500)]
+    decontaminate.word_hashes(texts)
+    start = time.process_time()
+    counts, _ = decontaminate.word_hashes(texts)
+    middle = time.process_time()
+    assert [len(decontaminate.WORD.findall(t.lower())) for t in texts] == counts.tolist()
+    assert middle - start < time.process_time() - middle
