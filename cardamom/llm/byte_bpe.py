@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries in each partition.
 
-Encoding: a text is split into words by the tokenizer's pattern. Words not met before in this task become rows
-(place, token), one row a byte; a word's number and its byte's position make the place. A recursive query joins
-neighbouring tokens with the merge table and contracts each word's leftmost pair of minimum rank, until no word has a pair
-left. Decoding: token rows join the vocabulary, and an ordered aggregation puts their bytes together.
+Encoding: a text is split into words by the tokenizer's pattern. Words not met before in this task become rows of a
+word's number and its list of tokens, one a byte at first. A recursive query joins neighbouring tokens with the merge table
+and contracts each word's leftmost pair of minimum rank, until no word has a pair left. Decoding: the tokens of a text, in
+their order, select from the list of the vocabulary's bytes.
 
 Words are cut where no token of the vocabulary can reach across, which no merge can undo; so text without blanks becomes
 short pieces too. Pieces that stay long (runs of one letter) have all pairs of their minimum rank contracted in one
@@ -43,22 +43,21 @@ BLOCK_BYTES, TRIES = 50_000, 16
 ROWS_A_QUERY = 4_000_000
 
 _ENCODE = """
-WITH RECURSIVE step(place, token, done) AS (
-  SELECT place, token, false FROM start
+WITH RECURSIVE step(word, tokens, done) AS (
+  SELECT word, tokens, false FROM start
   UNION ALL
   SELECT * FROM (
     WITH pair AS (
-      SELECT place, token, lead(place) OVER w AS next_place, lead(token) OVER w AS next_token
-      FROM step WHERE NOT done WINDOW w AS (ORDER BY place)),
+      SELECT word, unnest(tokens[:-2]) AS token, unnest(tokens[2:]) AS next_token, unnest(range(1, len(tokens))) AS place FROM step WHERE NOT done),
     best AS (
-      SELECT p.place >> 32 AS word, min(m.rank * 128 + (p.place & 127)) AS best, min_by(p.next_place, m.rank * 128 + (p.place & 127)) AS gone
-      FROM pair p JOIN merges m ON m.a = p.token AND m.b = p.next_token
-      WHERE p.next_place >> 32 = p.place >> 32 GROUP BY p.place >> 32)
-    SELECT s.place, CASE WHEN s.place & 127 = best & 127 THEN best >> 7 ELSE s.token END, best IS NULL
-    FROM step s LEFT JOIN best b ON b.word = s.place >> 32
-    WHERE NOT s.done AND (best IS NULL OR s.place <> gone))
-)
-SELECT place >> 32 AS word, token FROM step WHERE done ORDER BY place
+      SELECT p.word, min(m.rank * 128 + p.place) AS best
+      FROM pair p JOIN merges m ON m.a = p.token AND m.b = p.next_token GROUP BY p.word)
+    SELECT s.word, CASE WHEN best IS NULL THEN s.tokens
+      ELSE s.tokens[:(best & 127) - 1] || [(best >> 7)::INT] || s.tokens[(best & 127) + 2:] END, best IS NULL
+    FROM step s LEFT JOIN best b ON b.word = s.word WHERE NOT s.done)
+),
+ready AS (SELECT word, unnest(tokens) AS token, unnest(range(len(tokens))) AS place FROM step WHERE done)
+SELECT word, token FROM ready ORDER BY word, place
 """
 
 # Pairs that overlap stand in runs; every other one of a run is contracted, from its first on.
@@ -88,10 +87,9 @@ SELECT place, token, done FROM step WHERE done OR n = {steps} ORDER BY place
 _ALL_OF_A_RANK = {"pick": "min(rank)", "same": "b.best = f.rank"}
 _LEFTMOST = {"pick": "min(rank * 4294967296 + (place & 4294967295))", "same": "b.best = f.rank * 4294967296 + (f.place & 4294967295)"}
 
-# Token bytes are text of one character a byte.
+# Token bytes are text of one character a byte. Missing tokens are null, which adds nothing.
 _DECODE = """
-SELECT r.row, string_agg(v.bytes, '' ORDER BY r.pos) AS bytes
-FROM tokens r JOIN vocabulary v ON v.token = r.token GROUP BY r.row
+SELECT t.row, array_to_string(list_select(v.every, t.slots), '') AS bytes FROM tokens t, vocabulary v
 """
 
 
@@ -102,15 +100,18 @@ class ByteBpe:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.pattern, get = regex.compile(pattern), self.ranks.get
-        parts = [(get(t[:k], -1), get(t[k:], -1), rank) for t, rank in self.ranks.items() for k in range(1, len(t))]
-        merges = np.array(parts or [(-1, -1, -1)], np.int64)
-        merges = merges[(merges[:, :2] >= 0).all(1)]
+        parts = [(a, b, rank) for t, rank in self.ranks.items() for k in range(1, len(t))
+                 if (a := get(t[:k])) is not None and (b := get(t[k:])) is not None]
+        merges = np.array(parts, np.int64).reshape(-1, 3)
         # What a query frees goes back to the system, as other workers share the executor's memory.
         freed = {"allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", **freed})
         self._run("CREATE TABLE merges AS SELECT * FROM given", given=pa.table(dict(zip(("a", "b", "rank"), merges.T.copy()))))
-        vocabulary = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})
-        self._run("CREATE TABLE vocabulary AS SELECT * FROM given", given=vocabulary)
+        every: list[str | None] = [None] * (max(self.ranks.values()) + 2)
+        for t, k in self.ranks.items():
+            every[k] = t.decode("latin-1")
+        self.last = len(every) - 1  # stands for all ids that the vocabulary lacks
+        self._run("CREATE TABLE vocabulary AS SELECT * FROM given", given=pa.table({"every": pa.array([every], pa.list_(pa.string()))}))
         self.byte_token = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.size_of = {k: len(t) for t, k in self.ranks.items()}
         self.reach, self.own = None, None
@@ -140,8 +141,10 @@ class ByteBpe:
 
     def contract(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(number of tokens by piece, all tokens), with one pair of each piece a step. For pieces of LONG_BYTES at most."""
-        place, token = self._rows(pieces)
-        out = self._run(_ENCODE, start=pa.table({"place": place, "token": token}))
+        ends = np.cumsum([0, *map(len, pieces)])
+        tokens = pa.array(self.byte_token[np.frombuffer(b"".join(pieces), np.uint8)], pa.int32())
+        start = pa.table({"word": np.arange(len(pieces)), "tokens": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)})
+        out = self._run(_ENCODE, start=start)
         return np.bincount(np.asarray(out["word"]), minlength=len(pieces)), np.asarray(out["token"])
 
     def contract_long(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +160,12 @@ class ByteBpe:
                     self.own = self._long([t], _LEFTMOST)[1].tolist() == [self.ranks[t]]
         if not self.own:
             return self._long(pieces, _LEFTMOST)
-        each = [self._in_blocks(p) if len(p) > BLOCK_BYTES else self._long([p], _ALL_OF_A_RANK)[1] for p in pieces]
+        short = [p for p in pieces if len(p) <= BLOCK_BYTES]
+        own = iter(())
+        if short:
+            sizes, ids = self._long(short, _ALL_OF_A_RANK)
+            own = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+        each = [self._in_blocks(p) if len(p) > BLOCK_BYTES else next(own) for p in pieces]
         return np.array([len(i) for i in each], np.int64), np.concatenate(each)
 
     def _in_blocks(self, piece: bytes) -> np.ndarray:
@@ -251,16 +259,13 @@ class ByteBpe:
         """(number of tokens by word, all tokens)."""
         if not words:
             return np.empty(0, np.int64), np.empty(0, np.int32)
-        found = pa.array(words, pa.string()).dictionary_encode()
-        distinct = found.dictionary.to_pylist()
         if len(self.place) > MAX_WORDS:
             self.forget()
-        at = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         if len(new := np.flatnonzero(at < 0)):
-            first = len(self.place)
-            self.learn([distinct[k] for k in new])
-            at[new] = np.arange(first, first + len(new))
-        at = at[found.indices.to_numpy()]
+            missing = [words[k] for k in new]
+            self.learn(list(dict.fromkeys(missing)))
+            at[new] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
         sizes = self.starts[at + 1] - self.starts[at]
         return sizes, _picked(self.flat, self.starts[at], sizes)
 
@@ -283,11 +288,13 @@ class ByteBpe:
 
     def decode(self, sizes: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """The bytes of each row's tokens; rows of no tokens are empty. Of a row, TOKENS_AT_ONCE tokens at a time."""
-        rows, pos = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(ids))
-        out = [[] for _ in sizes]
+        bounds, out = np.concatenate([[0], np.cumsum(sizes)]), [[] for _ in sizes]
+        slots = pa.array(np.where((ids < 0) | (ids > self.last), self.last, ids) + 1, pa.int64())  # lists count from 1
         for at in range(0, len(ids), TOKENS_AT_ONCE):
-            part = slice(at, at + TOKENS_AT_ONCE)
-            found = self._run(_DECODE, tokens=pa.table({"row": rows[part], "pos": pos[part], "token": pa.array(ids[part], pa.int32())}))
+            inside = np.clip(bounds, at, min(at + TOKENS_AT_ONCE, len(ids)))
+            rows = np.flatnonzero(inside[1:] > inside[:-1])
+            offsets = pa.array(np.append(inside[rows], inside[rows[-1] + 1]), pa.int32())
+            found = self._run(_DECODE, tokens=pa.table({"row": rows, "slots": pa.ListArray.from_arrays(offsets, slots)}))
             for row, characters in zip(found["row"].tolist(), found["bytes"].tolist()):
                 out[row].append(characters.encode("latin-1"))
         return [b"".join(x) for x in out]

@@ -4,7 +4,9 @@ import base64
 import random
 import time
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -340,3 +342,36 @@ def test_hashing_rare_words_costs_less_than_finding_them_one_by_one():
     middle = time.process_time()
     assert [len(decontaminate.WORD.findall(t.lower())) for t in texts] == counts.tolist()
     assert middle - start < time.process_time() - middle
+
+
+def test_decoding_costs_less_than_an_ordered_aggregate():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bpe, rng = byte_bpe.ByteBpe(path, public_tokenizers.PATTERN), random.Random(2)
+    sizes, ids = np.array([20_000, 0, 100_000, 1, 29_999]), np.array(rng.choices(range(50_000), k=150_000))
+    bpe.decode(sizes, ids)
+    start = time.process_time()
+    found = bpe.decode(sizes, ids)
+    middle = time.process_time()
+    vocabulary = pa.table({"token": list(bpe.ranks.values()), "bytes": [t.decode("latin-1") for t in bpe.ranks]})
+    tokens = pa.table({"row": np.repeat(np.arange(5), sizes), "pos": np.arange(len(ids)), "token": ids})
+    sql = "SELECT row, string_agg(bytes, '' ORDER BY pos) AS bytes FROM tokens JOIN own USING (token) GROUP BY row ORDER BY row"
+    want = bpe._run(sql, tokens=tokens, own=vocabulary)["bytes"].tolist()
+    end = time.process_time()
+    assert [f for f in found if f] == [w.encode("latin-1") for w in want] and found[1] == b""
+    assert middle - start < 0.75 * (end - middle)
+    assert bpe.decode(np.array([4]), np.array([5, -1, 10**6, 6])) == bpe.decode(np.array([2]), np.array([5, 6]))  # ids that the vocabulary lacks
+    bpe.close()
+
+
+def test_many_long_pieces_are_encoded_together(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bpe, rng = byte_bpe.ByteBpe(path, public_tokenizers.PATTERN), random.Random(3)
+    words = [" " + "".join(rng.choices("abcdefghij", k=6)) * 20 for _ in range(100)]
+    bpe.ids(words[:1])  # holds the vocabulary against its own bytes first
+    runs, run = [], bpe._run
+    monkeypatch.setattr(bpe, "_run", lambda sql, **tables: runs.append(sql) or run(sql, **tables))
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={}).encode_ordinary
+    sizes, ids = bpe.ids(words[1:])
+    assert [i.tolist() for i in np.split(ids, np.cumsum(sizes)[:-1])] == [want(w) for w in words[1:]]
+    assert len(runs) < 20
+    bpe.close()
