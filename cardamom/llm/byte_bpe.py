@@ -89,7 +89,7 @@ _LEFTMOST = {"pick": "min(rank * 4294967296 + (place & 4294967295))", "same": "b
 
 # Token bytes are text of one character a byte. Missing tokens are null, which adds nothing.
 _DECODE = """
-SELECT t.row, array_to_string(list_select(v.every, t.slots), '') AS bytes FROM tokens t, vocabulary v
+SELECT t.row, coalesce(array_to_string(list_select(v.every, t.slots), ''), '') AS bytes FROM tokens t, vocabulary v
 """
 
 

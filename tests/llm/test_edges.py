@@ -360,6 +360,7 @@ def test_decoding_costs_less_than_an_ordered_aggregate():
     assert [f for f in found if f] == [w.encode("latin-1") for w in want] and found[1] == b""
     assert middle - start < 0.75 * (end - middle)
     assert bpe.decode(np.array([4]), np.array([5, -1, 10**6, 6])) == bpe.decode(np.array([2]), np.array([5, 6]))  # ids that the vocabulary lacks
+    assert bpe.decode(np.array([0, 1, 0, 2, 0]), np.array([10**6, 5, -3])) == [b"", b"", b"", b"&", b""]
     bpe.close()
 
 
