@@ -232,7 +232,9 @@ def candidates(texts: DataFrame, items: DataFrame, min_match: int, threshold: fl
                     rows.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(some[1].view(np.int64))))
                 yield pa.concat_arrays(rows)
 
-    some = texts.select("_k1", "_k2", near("_text").alias("_near")).where(F.size("_near") > 0)
+    # Spark would push the filter below the projection, and so run a second function and worker over the texts that stay.
+    seen = near.asNondeterministic()("_text")
+    some = texts.select("_k1", "_k2", seen.alias("_near")).where(F.size("_near") > 0)
     once = some.groupBy("_k1", "_k2").agg(F.first("_near").alias("_near")).select("_k1", "_k2", F.explode("_near").alias("_h"))
     met = once.join(seeds, "_h").groupBy("_k1", "_k2", "_item").agg(F.sum("_times").alias("_times"), F.first("_n").alias("_n"))
     found = cut(met.where(F.col("_times") * min_match >= threshold * F.col("_n")).select("_k1", "_k2", "_item"))

@@ -376,3 +376,25 @@ def test_many_long_pieces_are_encoded_together(monkeypatch):
     assert [i.tolist() for i in np.split(ids, np.cumsum(sizes)[:-1])] == [want(w) for w in words[1:]]
     assert len(runs) < 20
     bpe.close()
+
+
+def test_decontamination_runs_one_python_function_a_task(spark, monkeypatch):
+    plans, real = [], decontaminate.cut
+    monkeypatch.setattr(decontaminate, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    item = "one two three four five six seven eight"
+    df = spark.createDataFrame([(1, f"before {item} after"), (2, "nothing of the kind is in this text"), (3, None), (4, "")], "doc_id long, text string")
+    kept = decontaminate.drop_contaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
+    assert [p.count("ArrowEvalPython") for p in plans] == [1, 1, 1]
+
+
+def test_frequent_tokens_come_without_python_workers(spark, monkeypatch):
+    tables, real = [], jaccard._met
+    monkeypatch.setattr(jaccard, "_met", lambda postings, hot: tables.append(hot) or real(postings, hot))
+    monkeypatch.setattr(jaccard, "SAMPLE_ONE_IN", 1)
+    monkeypatch.setattr(jaccard, "FREQUENT_FROM", 2)
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j")], "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert out == {1: 1, 2: 1, 3: 3}
+    assert tables[0].count() == 3 and tables[0].schema.simpleString() == "struct<_t:bigint>"
+    assert all("PythonRDD" not in t._jdf.queryExecution().toRdd().toDebugString() for t in tables)
