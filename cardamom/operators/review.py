@@ -150,17 +150,30 @@ def range_sample(df: DataFrame, key: str, parts: int = 8) -> DataFrame:
     return df.groupBy(part.alias("part")).agg(F.min_by(key, digest).alias(key))
 
 
+#: Headwords and texts meet by so many characters first.
+START = 4
+
+
 def reassign_texts(texts: DataFrame, heads: DataFrame) -> DataFrame:
     """entity_key, word_key, owner: the word of the same unit whose headword stands in the text, longest first; the present owner if its own does.
 
-    Texts and words of a unit meet by the words that the texts hold.
+    Case doesn't count, and a headword may stand within a word. Texts without their own are looked up, equal ones of a unit once: from each place of the text its
+    first characters meet the starts of the unit's headwords, and what goes on there meets whole ones, of which equal ones are one row. So work grows with the texts.
     """
-    first = heads.select("unit_key", F.col("word_key").alias("_w"), F.lower("headword").alias("_h")).withColumn("_token", F.substring_index("_h", " ", 1))
-    tokens = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")))
-    near = texts.withColumn("_token", tokens).join(first, ["unit_key", "_token"]).where(F.contains(F.lower("text"), F.col("_h")))
-    order = Window.partitionBy("entity_key").orderBy((F.col("word_key") == F.col("_w")).desc(), F.length("_h").desc(), "_w")
-    best = near.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("entity_key", F.col("_w").alias("owner"))
-    return texts.join(best, "entity_key", "left").select("entity_key", "word_key", "owner")
+    words = heads.where("headword IS NOT NULL").select("unit_key", "word_key", F.lower("headword").alias("_h"), F.length("headword").alias("_n"))
+    rank = lambda first: F.struct(F.lit(first).alias("f"), (-F.col("_n")).alias("n"), F.col("word_key").alias("w")).alias("_c")
+    own = texts.join(words, ["unit_key", "word_key"]).where(F.contains(F.lower("text"), F.col("_h"))).select("entity_key", rank(0))
+    open_ = texts.join(own.select("entity_key"), "entity_key", "left_anti").select("entity_key", "unit_key", F.lower("text").alias("_x"))
+
+    words = words.groupBy("unit_key", "_h").agg(F.min(rank(1)).alias("_c"))
+    starts = words.groupBy("unit_key", F.left("_h", F.lit(START)).alias("_start")).agg(F.collect_set(F.length("_h")).alias("_lengths"))
+    sizes = words.select(F.least(F.length("_h"), F.lit(START)).alias("_k")).distinct()  # only a headword of fewer characters has a shorter start
+    at = F.explode(F.when(F.col("_k") > 0, F.sequence(F.lit(1), F.length("_x") - F.col("_k") + 1)).otherwise(F.array(F.lit(1))))
+    places = open_.select("unit_key", "_x").distinct().join(F.broadcast(sizes), F.length("_x") >= F.col("_k")).select("*", at.alias("_at"))
+    near = places.withColumn("_start", F.substr("_x", F.col("_at"), F.col("_k"))).join(starts, ["unit_key", "_start"]).select("unit_key", "_x", "_at", F.explode("_lengths").alias("_l"))
+    found = near.select("unit_key", "_x", F.substr("_x", F.col("_at"), F.col("_l")).alias("_h")).join(words, ["unit_key", "_h"]).groupBy("unit_key", "_x").agg(F.min("_c").alias("_c"))
+    best = own.unionByName(open_.join(found, ["unit_key", "_x"]).select("entity_key", "_c")).groupBy("entity_key").agg(F.min("_c").alias("_c"))
+    return texts.join(best, "entity_key", "left").select("entity_key", "word_key", F.col("_c.w").alias("owner"))
 
 
 def replay_corrections(fields: DataFrame, corrections: DataFrame) -> DataFrame:

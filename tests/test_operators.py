@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cardamom.functions import text
-from cardamom.operators import aliases, documents, releases, scheduling
+from cardamom.operators import aliases, documents, releases, review, scheduling
 from cardamom.streaming import reviews
 
 
@@ -172,3 +172,26 @@ def test_stable_key_vector(spark):
                                 keys.stable_key(F.lit("b"), F.lit("u"), F.lit("word"), F.lit(1), F.lit("caf\u00e9")).alias("a"),
                                 keys.stable_key(F.lit("b"), F.lit("u"), F.lit("word"), F.lit(1), F.lit("cafe\u0301")).alias("b")).first()
     assert row.k == "9a0f18ada558d783a3a0b13ed152bc2b0120c427c1cad75e15aa4fc0bf391e3d" and row.a == row.b
+
+
+def test_reassign_texts_within_words_and_many_equal_headwords(spark):
+    heads = [("u1", "w1", "old plate"), ("u1", "w2", "Plate"), ("u1", "w3", "a"), ("u2", "w4", "old plate"), ("u2", "w6", "old plate"), ("u2", "w5", None), ("u3", "w7", "\u00e9t\u00e9"), ("u4", "w9", ""), ("u4", "w8", "")]
+    texts = [("e1", "w2", "u1", "A cold plate"), ("e2", "w9", "u1", "A cold plate"), ("e3", "w9", "u1", "replated"), ("e4", "w9", "u1", "xyz"), ("e5", "w9", "u1", "bad"), ("e6", "w6", "u2", "OLD PLATES"),
+             ("e7", "w9", "u2", "OLD PLATES"), ("e8", "w9", "u2", "old"), ("e9", "w5", "u2", None), ("e10", "w9", "u3", "L'\u00c9T\u00c9 2"), ("e11", "w0", "u4", ""), ("e12", "w7", "u9", "old plate")]
+    heads += [("u5", f"x{i:05}", f"large {i % 3}") for i in range(3000)]
+    texts += [(f"t{i}", "x" if i % 2 else f"x{i:05}", "u5", f"a large {i % 7} b") for i in range(3000)]
+    out = review.reassign_texts(spark.createDataFrame(texts, "entity_key string, word_key string, unit_key string, text string"), spark.createDataFrame(heads, "unit_key string, word_key string, headword string"))
+    got = {r.entity_key: r.owner for r in out.collect()}
+    known = {}
+    for unit, word, head in heads:
+        if head is not None:
+            known.setdefault((unit, head.lower()), []).append((len(head), word))
+
+    def owner(word, unit, text):
+        if text is None:
+            return None
+        can = [(w != word, -n, w) for (u, head), rows in known.items() if u == unit and head in text.lower() for n, w in rows]
+        return min(can)[2] if can else None
+
+    assert got == {e: owner(w, u, t) for e, w, u, t in texts}
+    assert got["e2"] == "w1" and got["e3"] == "w2" and got["e5"] == "w3" and got["e7"] == "w4"
