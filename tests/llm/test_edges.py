@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from cardamom.llm import byte_bpe, decontaminate, jaccard, language_id, licenses, quality, secret_scan, sharding, toxicity, url_filter
+from cardamom.llm import byte_bpe, common, decontaminate, jaccard, language_id, licenses, quality, secret_scan, sharding, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, _text string, ids int, host string, shard int, found int"
 LONG = "lorem ipsum dolor sit amet consectetur " * 4000
@@ -398,3 +398,38 @@ def test_frequent_tokens_come_without_python_workers(spark, monkeypatch):
     assert out == {1: 1, 2: 1, 3: 3}
     assert tables[0].count() == 3 and tables[0].schema.simpleString() == "struct<_t:bigint>"
     assert all("PythonRDD" not in t._jdf.queryExecution().toRdd().toDebugString() for t in tables)
+
+
+def _shuffle_files(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    return sum("shuffle" in f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.blockManager().diskBlockManager().getAllFiles()))
+
+
+def test_cut_removes_the_shuffles_before_it(spark):
+    before, setting = _shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    out = common.cut(df)
+    for _ in range(50):
+        if (now := _shuffle_files(spark)) <= before:
+            break
+        time.sleep(0.1)
+    assert now <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect())) == [(k, 100) for k in range(10)]
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_jaccard_shuffles_no_text_of_documents_without_partner(spark, monkeypatch, most):
+    """However many ids are looked for, the documents of others don't leave their tasks."""
+    seen, real = [], jaccard._further_prefixes
+    monkeypatch.setattr(common, "MAX_BROADCAST_IDS", most)
+    monkeypatch.setattr(jaccard, "_further_prefixes", lambda docs, *rest: seen.append(docs) or real(docs, *rest))
+    alone = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(100, 3000)]
+    near = [(i, " ".join(f"n{k}" for k in range(60)) + f" end{i}") for i in range(6)]
+    df = spark.createDataFrame([*alone, *near, (None, "n1 n2 n3"), (7, None), (8, "")], "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    assert out == {None: None, 7: 7, 8: 8} | {i: i for i, _ in alone} | {i: 0 for i, _ in near}
+    assert {*range(6)} <= {r._id for r in seen[0].collect()} and seen[0].count() < 100
+    # Only the ids are dealt out, not what joins them.
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
