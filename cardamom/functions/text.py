@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import difflib
 import heapq
+import re
 import unicodedata
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,44 +143,44 @@ def is_additive_space(old: Column, new: Column) -> Column:
     return (bare(old) == bare(new)) & (F.length(new) > F.length(old))
 
 
-def _word_ends(text: Column) -> Column:
-    """array<int> of how many characters that aren't blanks stand up to the end of each word."""
-    lengths = F.transform(F.regexp_extract_all(text, F.lit(f"[^{BLANKS}]+"), F.lit(0)), F.length)
-    return F.aggregate(lengths, F.array().cast("array<int>"), lambda s, n: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + n)))
+_WORD = re.compile(r"\S+")
 
 
-def _gaps(text: Column) -> Column:
-    """array<struct<at, blank>> of the blanks in a text: how many other characters stand before each, and the blanks themselves."""
-    blanks = F.regexp_extract_all(text, F.lit(f"[{BLANKS}]+"), F.lit(0))
-    first = F.when(text.rlike(f"^[{BLANKS}]"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return F.zip_with(F.slice(F.concat(first, _word_ends(text)), F.lit(1), F.size(blanks)), blanks, lambda at, blank: F.struct(at.alias("at"), blank.alias("blank")))
+def with_spaces(original: str | None, *readings: str | None) -> str | None:
+    """The original with spaces where merge_spaces puts them. A text is compared by the numbers of characters up to its words' ends; work grows with its length."""
+    if original is None or None in readings:
+        return None
+    own, read = original.split(), [r.split() for r in readings]
+    letters = "".join(own)
+    if any("".join(words) != letters for words in read):
+        return None
+    wanted = set.intersection(*[set(accumulate(map(len, words))) for words in read]).difference(accumulate(map(len, own)))
+    new = sorted(p for p in wanted if (pair := letters[p - 1 : p + 1]).isascii() and pair.isalpha())
+    pieces, done, before, k = [], 0, 0, 0
+    for word in _WORD.finditer(original) if new else ():
+        while k < len(new) and new[k] < before + word.end() - word.start():
+            at = word.start() + new[k] - before
+            pieces += [original[done:at], " "]
+            done, k = at, k + 1
+        before += word.end() - word.start()
+    return "".join([*pieces, original[done:]])
 
 
 def merge_spaces(original: Column, first: Column, second: Column | None = None) -> Column:
     """The original with a space wherever the reading (with two, both of them) has blanks between two ASCII letters and the original has none.
 
-    Null unless all have the same characters apart from blanks, or if one is null. The original's own blanks stay as they are. The texts are compared by the
-    numbers of characters before their blanks; work grows with the square of a line's number of words.
+    Null unless all have the same characters apart from blanks, or if one is null. The original's own blanks stay as they are.
     """
-    bare = lambda x: F.regexp_replace(x, f"[{BLANKS}]+", "")
-    places = lambda gaps: F.transform(gaps, lambda g: g["at"])
-    same = bare(original) == bare(first)
-    wanted = _word_ends(first)
-    if second is not None:
-        same, wanted = same & (bare(original) == bare(second)), F.array_intersect(wanted, _word_ends(second))
-
-    def split(s: Column) -> Column:
-        new = F.filter(F.array_except(s["wanted"], places(s["own"])), lambda p: (p > 0) & F.substr(s["letters"], p, F.lit(2)).rlike("^[A-Za-z]{2}$"))
-        return F.struct(s["letters"], F.array_sort(F.concat(s["own"], F.transform(new, lambda p: F.struct(p.alias("at"), F.lit(" ").alias("blank"))))).alias("gaps"))
-
-    def join(s: Column) -> Column:
-        ends = F.concat(s["gaps"], F.array(F.struct(F.length(s["letters"]).alias("at"), F.lit("").alias("blank"))))
-        starts = F.concat(F.array(F.lit(0)), places(s["gaps"]))
-        return F.array_join(F.zip_with(starts, ends, lambda a, e: F.concat(F.substr(s["letters"], a + 1, e["at"] - a), e["blank"])), "")
-
-    # Lambdas name what is used for each word, so that it is made once a line.
-    facts = F.array(F.struct(bare(original).alias("letters"), _gaps(original).alias("own"), wanted.alias("wanted")))
-    return F.when(same, F.transform(F.transform(facts, split), join)[0])
+
+    @F.arrow_udf("string")
+    def merged(texts: pa.Array, one: pa.Array) -> pa.Array:
+        return pa.array(map(with_spaces, texts.to_pylist(), one.to_pylist()), pa.string())
+
+    @F.arrow_udf("string")
+    def merged_by_both(texts: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:
+        return pa.array(map(with_spaces, texts.to_pylist(), one.to_pylist(), two.to_pylist()), pa.string())
+
+    return merged(original, first) if second is None else merged_by_both(original, first, second)
 
 
 def is_prefix_trim(old: Column, new: Column) -> Column:

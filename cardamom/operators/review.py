@@ -100,20 +100,24 @@ def spacing_candidates(first: DataFrame, second: DataFrame | None = None, least:
     model read (MISSING_FIRST, MISSING_SECOND) or whose source or text differ (SOURCE_DIFFERS) are mismatches and give no candidate.
     """
     place = ["page", "block"]
+    # What can't give a candidate goes before the join, which takes one of the two old texts; mismatches need no texts.
+    may = (F.col("review_score") >= least) & (F.col("old_text") != F.col("review_text"))
+    rows = first.where(may).select(*place, "source", "old_text", "review_text", F.col("review_score").alias("score"))
     if second is None:
-        rows = first.withColumns({"_code": F.lit(None).cast("string"), "score": F.col("review_score")})
         merged = text.merge_spaces(F.col("old_text"), F.col("review_text"))
+        bad = first.where(F.lit(False)).select(*place, F.lit(None).cast("string").alias("code"))
     else:
-        other = second.select(*place, *[F.col(c).alias("_" + c) for c in ("source", "old_text", "review_text", "review_score")], F.lit(True).alias("_two"))
-        both = first.withColumn("_one", F.lit(True)).join(other, place, "full")
-        same = F.col("source").eqNullSafe(F.col("_source")) & F.col("old_text").eqNullSafe(F.col("_old_text"))
-        code = F.when(F.col("_one").isNull(), "MISSING_FIRST").when(F.col("_two").isNull(), "MISSING_SECOND").when(~same, "SOURCE_DIFFERS")
-        score = F.when(F.col("review_score").isNotNull() & F.col("_review_score").isNotNull(), F.least("review_score", "_review_score"))
-        rows = both.withColumns({"_code": code, "score": score})
+        digest = F.sha2("old_text", 256)
+        other = second.select(*place, F.col("source").alias("_source"), digest.alias("_digest"))
+        two = second.where(may).select(*place, F.col("source").alias("_source"), digest.alias("_digest"), F.col("review_text").alias("_review_text"), F.col("review_score").alias("_score"))
+        rows = rows.join(two, place).where(F.col("source").eqNullSafe(F.col("_source")) & (digest == F.col("_digest"))).withColumn("score", F.least("score", "_score"))
         merged = text.merge_spaces(F.col("old_text"), F.col("review_text"), F.col("_review_text"))
+        both = first.select(*place, "source", digest.alias("digest"), F.lit(True).alias("_one")).join(other.withColumn("_two", F.lit(True)), place, "full")
+        same = F.col("source").eqNullSafe(F.col("_source")) & F.col("digest").eqNullSafe(F.col("_digest"))
+        code = F.when(F.col("_one").isNull(), "MISSING_FIRST").when(F.col("_two").isNull(), "MISSING_SECOND").when(~same, "SOURCE_DIFFERS")
+        bad = both.select(*place, code.alias("code")).where("code IS NOT NULL")
     changed = F.explode(F.filter(F.array(merged), lambda c: c != F.col("old_text")))  # a generator, so that no filter makes the candidate a second time
-    good = rows.where("_code IS NULL").where(F.col("score") >= least).select(*place, "source", "old_text", changed.alias("candidate"), "score", F.lit("UNREVIEWED").alias("verdict"))
-    return good, rows.where("_code IS NOT NULL").select(*place, F.col("_code").alias("code"))
+    return rows.select(*place, "source", "old_text", changed.alias("candidate"), "score", F.lit("UNREVIEWED").alias("verdict")), bad
 
 
 def classify_sessions(sessions: DataFrame, users: DataFrame, now_ms: int) -> DataFrame:
