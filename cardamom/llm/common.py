@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, shared_folder  # noqa: F401
+from ..functions.lookup import likely
 
 #: A table of ids is broadcast up to so many rows (a few dozen bytes each), and joined by a shuffle beyond.
 MAX_BROADCAST_IDS = 500_000
@@ -21,9 +22,6 @@ BATCH_BYTES = 2 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-
-#: Bits of a bitmap of ids (8 MB), and of each of its rows.
-ID_BITS, ROW_BITS = 1 << 26, 1 << 15
 BLANKS = r"\x20\x09-\x0D"
 
 
@@ -72,17 +70,11 @@ def few(ids: DataFrame) -> DataFrame:
 def only(df: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of df whose id (a column of the same name) is among ids, without a shuffle of df; of more than MAX_BROADCAST_IDS ids, some other rows too.
 
-    Few ids are broadcast, else a bitmap of their hashes is, at most ID_BITS of it however many they are. Join again where other rows matter.
+    Few ids are broadcast, else a bitmap of their hashes is. Join again where other rows matter.
     """
     (name,) = ids.columns
     ids = ids.distinct()
-    if ids.count() <= MAX_BROADCAST_IDS:
-        return df.join(F.broadcast(ids), name, "left_semi")
-    at = F.pmod(F.xxhash64(name), F.lit(ID_BITS))
-    row, bit = (at / ROW_BITS).cast("long"), F.pmod(at, F.lit(ROW_BITS))
-    bitmap = ids.groupBy(row.alias("_row")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
-    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return df.join(F.broadcast(bitmap), (row == F.col("_row")) & (F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1), "left_semi")
+    return df.join(F.broadcast(ids), name, "left_semi") if ids.count() <= MAX_BROADCAST_IDS else likely(df, ids)
 
 
 @contextmanager
