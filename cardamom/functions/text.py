@@ -183,6 +183,50 @@ def merge_spaces(original: Column, first: Column, second: Column | None = None)
     return merged(original, first) if second is None else merged_by_both(original, first, second)
 
 
+def overlap(a: str, b: str) -> int:
+    """Length of the longest end of a that begins b."""
+    most, head = min(len(a), len(b)), b[:8]
+    at = a.find(head, len(a) - most) if most >= len(head) else -1
+    for _ in range(64):
+        if at < 0:
+            return next((n for n in range(min(most, len(head) - 1), 0, -1) if a.endswith(b[:n])), 0)
+        if b.startswith(a[at:]):
+            return len(a) - at
+        at = a.find(head, at + 1)
+    # The beginning comes again and again: by borders of b, in proportion to the lengths.
+    border, n = [0], 0
+    for ch in b[1:most]:
+        while n and b[n] != ch:
+            n = border[n - 1]
+        n += b[n] == ch
+        border.append(n)
+    n = 0
+    for k, ch in enumerate(a[len(a) - most :], 1):
+        while n and (n == most or b[n] != ch):
+            n = border[n - 1]
+        n += b[n] == ch
+    return n
+
+
+def joined_by_overlap(a: str | None, b: str | None) -> str | None:
+    if a is None or b is None:
+        return None
+    a, b = a.rstrip(), b.lstrip()
+    n = overlap(a, b) if a and b else 0
+    word = lambda c: unicodedata.category(c)[0] in "LN"
+    return a + (" " if not n and a and b and word(a[-1]) and word(b[0]) else "") + b[n:]
+
+
+def join_overlapping(left: Column, right: Column) -> Column:
+    """Two readings as one text: the longest end of the first that begins the second stands once; without one, a blank between letters or digits. Null if one is null."""
+
+    @F.arrow_udf("string")
+    def joined(one: pa.Array, two: pa.Array) -> pa.Array:
+        return pa.array(map(joined_by_overlap, one.to_pylist(), two.to_pylist()), pa.string())
+
+    return joined(left, right)
+
+
 def is_prefix_trim(old: Column, new: Column) -> Column:
     return F.startswith(old, new) & (old != new)
 
